@@ -44,8 +44,10 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     """Add `target` to (source, source_size): share of all sizes by weight, at most cap times each size.
 
     Filling by weight until the caps hold is one level L with target = min(cap * size, L * weight).
-    In ascending order of cap * size / weight, L is fixed by the first source that is not capped,
-    which running sums show. The window spans the table of sources, one row each.
+    In ascending order of cap * size / weight, L is fixed by the first source that is not capped:
+    running sums give each source's level if all before it are capped, and of the levels that
+    leave their source below its cap the first is the largest. The window spans the table of
+    sources, one row each.
     """
     by_name = Window.orderBy(F.col("source").asc_nulls_last())
     weight = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.row_number().over(by_name) - 1) % len(weights) + 1)
@@ -55,7 +57,7 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     rest_weight = F.sum("weight").over(every) - F.coalesce(F.sum("weight").over(filled), F.lit(0.0))
     rest_words = F.lit(share) * F.sum("source_size").over(every) - F.coalesce(F.sum("limit").over(filled), F.lit(0.0))
     table = table.withColumn("level", rest_words / rest_weight)
-    open_level = F.min(F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.col("level"))).over(every)
+    open_level = F.max(F.when(F.col("level") * F.col("weight") <= F.col("limit"), F.col("level"))).over(every)
     level = F.coalesce(open_level, F.lit(float("inf")))
     return table.select("source", "source_size", F.least("limit", level * F.col("weight")).alias("target"))
 

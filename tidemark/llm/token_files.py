@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace, splits
+from tidemark.llm.common import Workspace, join_checked, splits
 from tidemark.llm.tokenizing import default_tokenizer, encoder
 
 END_ID = 0
@@ -170,17 +170,21 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     inside = Window.partitionBy("part").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
     firsts = blocks.select("part", "seq", F.coalesce(F.sum("n_ids").over(inside), F.lit(0)).alias("in_part"))
     firsts = firsts.join(parts, "part").select("part", "seq", (F.col("part_first") + F.col("in_part")).alias("first"))
-    names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
-    types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    names = ["part", "seq", "doc_id", "in_block", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
+    types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def decode(batches):
         for b in batches:
-            for first, doc_ids, lengths, control, data in zip(*(b.column(c).to_pylist() for c in ("first", "doc_ids", "lengths", "control", "data")), strict=True):
+            columns = (b.column(c).to_pylist() for c in ("part", "seq", "doc_ids", "lengths", "control", "data"))
+            for part, seq, doc_ids, lengths, control, data in zip(*columns, strict=True):
                 ends = np.cumsum(lengths)
                 raw = table.value[decode_ranks(control, data, int(ends[-1]))].astype("<u4").tobytes()
                 cut = [raw[4 * (e - n) : 4 * e] for e, n in zip(ends.tolist(), lengths, strict=True)]
-                cells = (doc_ids, first + ends - lengths, lengths, [zlib.crc32(x) for x in cut], cut)
+                k = len(doc_ids)
+                cells = ([part] * k, [seq] * k, doc_ids, ends - lengths, lengths, [zlib.crc32(x) for x in cut], cut)
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cells, types, strict=False)][: len(names)], names)
 
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    return blocks.join(firsts, ["part", "seq"]).select("first", "doc_ids", "lengths", "control", "data").mapInArrow(decode, schema)
+    schema = "part int, seq long, doc_id long, in_block long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
+    decoded = blocks.select("part", "seq", "doc_ids", "lengths", "control", "data").mapInArrow(decode, schema)
+    start = (F.col("first") + F.col("in_block")).alias("start")
+    return join_checked(decoded, firsts, ["part", "seq"]).select("doc_id", start, "n_tokens", "ids_crc32", *["ids"] * with_ids)
