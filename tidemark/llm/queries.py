@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, language_id, mixing, packing, pii, token_files, topk
+from tidemark.llm import exact_dedup, language_id, mixing, packing, pii, substring_dedup, suffix_dedup, token_files, topk
 from tidemark.llm.common import Workspace
 
 
@@ -17,10 +17,18 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
 
+def op4_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_earlier(table(spark, sf_dir, "documents"))
+
+
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"))
 
@@ -110,7 +118,9 @@ FROM u JOIN b ON u.source IS NOT DISTINCT FROM b.source AND u.seed = b.seed
 
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
+    "op2_substring_dedup": op2_substring_dedup,
     "op3_topk_search": op3_topk_search,
+    "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_token_files": op6_token_files,
     "op8_source_mixing": op8_source_mixing,
