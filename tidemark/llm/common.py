@@ -5,6 +5,8 @@ from __future__ import annotations
 import gc
 import uuid
 
+import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -86,6 +88,18 @@ def splits(df: DataFrame) -> int:
     return max(1, df.rdd.getNumPartitions())
 
 
+def by_bytes(batches, column: str, most: int = 1 << 21):
+    """Arrow batches cut so that a column holds about `most` bytes (one row at least): bounds a worker's memory."""
+    for b in batches:
+        size = np.cumsum(pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False))
+        start = 0
+        while start < b.num_rows:
+            before = size[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(size, before + most, "right")))
+            yield b.slice(start, stop - start)
+            start = stop
+
+
 def free_name(columns: list[str], name: str) -> str:
     """A column name that the caller's columns do not use."""
     while name.lower() in {c.lower() for c in columns}:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace, free_name
+from tidemark.llm.common import Workspace, by_bytes, free_name
 
 SAMPLE_ROWS = 400
 BUCKETS = 1 << 14
@@ -192,7 +192,7 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
     added = [free_name(docs.columns, "lang_pred"), free_name(docs.columns, "score")]
 
     def run(batches):
-        for b in batches:
+        for b in by_bytes(batches, "text"):
             langs, scores = shared.value.predict(b.column("text").to_pylist())
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, *added])
 

@@ -20,6 +20,8 @@ import re
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from tidemark.llm.common import by_bytes
+
 MIN_SCORE = 0.6
 CONTEXT_CHARS = 48
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn", "local_phone")
@@ -138,7 +140,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
     item = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
     def scan(batches):
-        for b in batches:
+        for b in by_bytes(batches, "text"):
             rows = [
                 [{"kind": k, "start": s, "end": e, "score": v} for k, s, e, v in find_spans(t)] for t in b.column("text").to_pylist()
             ]
