@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, language_id, mixing, packing, pii, substring_dedup, suffix_dedup, token_files, topk
+from tidemark.llm import exact_dedup, jaccard_join, language_id, mixing, packing, pii, substring_dedup, suffix_dedup, token_files, topk
 from tidemark.llm.common import Workspace
 
 
@@ -39,6 +39,10 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read_token_files(spark, path)
 
 
+def op7_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.jaccard_join(table(spark, sf_dir, "documents"))
+
+
 def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
     plan = mixing.mix_plan(docs)
@@ -88,6 +92,23 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+SQL_OP7 = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL
+), g AS (
+  SELECT doc_id, unnest(list_distinct(list_transform(range(1, greatest(len(w) - 4, 1) + 1), lambda i: array_to_string(w[i:i + 4], ' ')))) AS g
+  FROM w WHERE len(w) > 0
+), n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY doc_id), common AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM g a JOIN g b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY ALL
+), link AS (
+  SELECT a, b FROM common JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k::DOUBLE / (x.n + y.n - k) >= 0.8
+), reach AS (
+  SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), c AS (SELECT a, min(b) AS b FROM reach GROUP BY a), l AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT doc_id, coalesce(least(doc_id, c.b), doc_id) AS class_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links
+FROM documents LEFT JOIN c ON c.a = doc_id LEFT JOIN l ON l.a = doc_id
+"""
+
 SQL_OP8 = r"""
 WITH RECURSIVE d AS (
   SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size FROM documents
@@ -123,9 +144,10 @@ QUERIES = {
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
     "op5_best_fit_packing": op5_best_fit_packing,
     "op6_token_files": op6_token_files,
+    "op7_ngram_jaccard_join": op7_ngram_jaccard_join,
     "op8_source_mixing": op8_source_mixing,
     "op9_language_id": op9_language_id,
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL = {"op1_exact_dedup": SQL_OP1, "op3_topk_search": SQL_OP3, "op8_source_mixing": SQL_OP8}
+ORACLE_SQL = {"op1_exact_dedup": SQL_OP1, "op3_topk_search": SQL_OP3, "op7_ngram_jaccard_join": SQL_OP7, "op8_source_mixing": SQL_OP8}
