@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace
+from tidemark.llm.common import Workspace, by_bytes
 from tidemark.llm.tokenizing import default_tokenizer, encoder
 
 MAX_TOKENS = 1024
@@ -48,7 +48,7 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = MAX_TOKENS
 
     def cut_all(batches):
         enc = encoder(path)
-        for b in batches:
+        for b in by_bytes(batches, "text"):
             all_ids, counts = enc.encode([t or "" for t in b.column("text").to_pylist()])
             ends = np.cumsum(counts)
             rows = [[] for _ in names]

@@ -29,13 +29,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace, join_checked, splits
+from tidemark.llm.common import Workspace, by_bytes, join_checked, splits
 from tidemark.llm.tokenizing import default_tokenizer, encoder
 
 END_ID = 0
 BLOCK_IDS = 1 << 19
 
-LENGTHS = (np.arange(256)[:, None] >> (2 * np.arange(4)) & 3) + 1  # of the four ranks behind a control byte
+LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4)) & 3) + 1).astype(np.uint8)  # of the four ranks behind a control byte
 
 
 def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
@@ -44,19 +44,20 @@ def encode_ranks(ranks: np.ndarray) -> tuple[bytes, bytes]:
     codes = np.zeros(-(-len(ranks) // 4) * 4, np.uint8)
     codes[: len(ranks)] = sizes - 1
     control = (codes.reshape(-1, 4) << np.array([0, 2, 4, 6], np.uint8)).sum(1, dtype=np.uint8)
-    as_bytes = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)
-    return control.tobytes(), as_bytes[np.arange(4) < sizes[:, None]].tobytes()
+    widest = int(sizes.max(initial=1))
+    as_bytes = ranks.astype("<u4").view(np.uint8).reshape(-1, 4)[:, :widest]
+    return control.tobytes(), as_bytes[np.arange(widest, dtype=np.uint8) < sizes[:, None]].tobytes()
 
 
 def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
     sizes = LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n]
     raw = np.frombuffer(data, np.uint8)
-    at = np.cumsum(sizes) - sizes
+    at = np.cumsum(sizes, dtype=np.int64) - sizes
     ranks = np.zeros(n, np.uint32)
-    for k in range(4):
+    if n:
+        ranks[:] = raw[at]
+    for k in range(1, int(sizes.max(initial=1))):
         wide = np.flatnonzero(sizes > k)
-        if not len(wide):
-            break
         ranks[wide] |= raw[at[wide] + k].astype(np.uint32) << np.uint32(8 * k)
     return ranks
 
@@ -73,7 +74,7 @@ def _tokenize(docs: DataFrame, path: str, end_id: int, ranges: int) -> DataFrame
     def tokenize(batches):
         enc, part, seq = encoder(path), TaskContext.get().partitionId(), 0
         counts = np.zeros(0, np.int64)
-        for b in batches:
+        for b in by_bytes(batches, "text"):
             ids, sizes = enc.encode([t or "" for t in b.column("text").to_pylist()])
             ends = np.cumsum(sizes)
             rows = [np.append(ids[e - n : e], np.uint32(end_id)) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]

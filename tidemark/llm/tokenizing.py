@@ -19,7 +19,7 @@ from functools import lru_cache
 import numpy as np
 
 WORDS_KEPT = 1_500_000
-CHARS_AT_ONCE = 1 << 20
+CHARS_AT_ONCE = 1 << 19
 
 # Classes of code points.
 OTHER, LETTER, NUMBER, SPACE, UNASSIGNED = 0, 1, 2, 3, 4
