@@ -15,7 +15,7 @@ def wilson(wins: Column, n: Column, side: int, z: float = Z95) -> Column:
     p, nn = wins / F.nullif(n, F.lit(0)), F.nullif(n, F.lit(0)).cast("double")
     mid = p + z * z / (2 * nn)
     half = z * F.sqrt((p * (1 - p) + z * z / (4 * nn)) / nn)
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), (mid + side * half) / (1 + z * z / nn)))
+    return F.when(nn.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), (mid + side * half) / (1 + z * z / nn))))
 
 
 def counts(trades: DataFrame, by: list[str]) -> DataFrame:

@@ -64,7 +64,7 @@ def read_weekly_quotes(spark: SparkSession, path: str, side: str = "mid") -> Dat
     quote = lambda q, p: F.col(have[f"{q}{p}"]).cast("double")
     price = lambda p: (quote("bid", p) + quote("ask", p)) / 2 if side == "mid" else quote(side, p)
     ticks = next((have[k] for k in ("tickqty", "tick_volume", "volume") if k in have), None)
-    stamp = F.coalesce(F.try_to_timestamp(F.col(at)), F.to_timestamp(F.col(at), F.lit("MM/dd/yyyy HH:mm:ss.SSS")))
+    stamp = F.coalesce(F.try_to_timestamp(F.col(at)), F.to_timestamp(F.col(at), "MM/dd/yyyy HH:mm:ss.SSS"))
     out = df.select(
         stamp.alias("ts"), *[price(p).alias(p) for p in PRICES],
         *([F.coalesce(F.col(ticks).try_cast("double"), F.lit(0.0)).alias("volume")] if ticks else []),
