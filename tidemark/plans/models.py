@@ -109,8 +109,7 @@ def folds(rows: DataFrame, n_splits: int, gap: int) -> tuple[DataFrame, list[tup
 def oof_probabilities(rows: DataFrame, kind: str = "logistic", n_splits: int = 5, gap: int = 3, features: list[str] = ML_FEATURES, **options) -> DataFrame:
     """Add `probability_up` from models that saw only earlier rows, less the label horizon; null before the first fold."""
     fit, least = FITS[kind]
-    rows, parts = folds(rows, n_splits, gap)
-    rows = rows.persist()
+    rows, parts = folds(rows.persist(), n_splits, gap)
     out = rows.filter(F.col("pos").isNull() | (F.col("pos") < parts[0][1])).withColumn("probability_up", F.lit(None).cast("double"))
     for end, start, stop in parts:
         train = rows.filter((F.col("pos") < end) & F.col("target_up").isNotNull())

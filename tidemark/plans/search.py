@@ -108,7 +108,8 @@ def evidence_gate(min_resolved: int, payout: float) -> Column:
 
 
 def run_experiment(bars: DataFrame, family: Family, variants: list[Variant], gate: Gate = Gate(), objective: str = "wilson_low",
-                   min_trades: int = 30, min_locked: int = 30, min_expectancy: float | None = None) -> dict:
+                   min_trades: int = 30, min_locked: int = 30, min_expectancy: float | None = None,
+                   payout_column: str | None = None) -> dict:
     """Search on development, gate on validation, and only then open the locked slice.
 
     Each slice is an action of its own: rows of the locked slice are not read unless the gate passed.
@@ -116,13 +117,13 @@ def run_experiment(bars: DataFrame, family: Family, variants: list[Variant], gat
     parts = split_slices(bars).persist()
     try:
         of = lambda name: family.prepared(parts.filter(F.col("slice") == name))
-        ranked = grid_search_matrix(of("development"), family, variants, objective, min_trades, min_expectancy)
+        ranked = grid_search_matrix(of("development"), family, variants, objective, min_trades, min_expectancy, payout_column)
         best = ranked.filter("score IS NOT NULL").orderBy("position").limit(1).collect()
         if not best:
             return {"status": "no_development_candidate"}
         chosen = best[0].asDict()
         v = variants[chosen["variant"]]
-        cfg = Settlement(v.expiry_bars, v.entry_offset_bars, v.payout, min_payout=v.min_payout)
+        cfg = Settlement(v.expiry_bars, v.entry_offset_bars, v.payout, payout_column, v.min_payout)
         rule = family.rule(json.loads(chosen["params"]))
         out = {"family": family.name, "params": json.loads(chosen["params"]), "variant": asdict(v), "development": chosen}
         out["validation"] = evaluate(of("validation"), rule, cfg).first().asDict()

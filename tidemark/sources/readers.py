@@ -111,6 +111,11 @@ def read_payouts(spark: SparkSession, path: str) -> DataFrame:
     return checked_payouts(spark.read.schema(PAYOUT).json(path))
 
 
+def append_payouts(observations: DataFrame, path: str) -> None:
+    """Add observations to a directory of JSON lines."""
+    checked_payouts(observations).write.mode("append").json(path)
+
+
 def checked_payouts(df: DataFrame) -> DataFrame:
     require_columns(df, ["asset", "observed_at", "payout"])
     ok = F.col("payout").between(0, 1)

@@ -22,7 +22,7 @@ def stream_snapshots(candles: DataFrame, lateness: str = "1 hour", keys: tuple[s
     differ = F.lit(False)
     for c in PRICES:
         differ = differ | (F.col(f"lo_{c}") != F.col(f"hi_{c}"))
-    rows = candles.withWatermark("ts", lateness).groupBy(*keys, F.window("ts", "1 second").alias("_w"), "ts").agg(
+    rows = candles.withWatermark("ts", lateness).groupBy(*keys, "ts").agg(
         *[F.min(c).alias(f"lo_{c}") for c in PRICES], *[F.max(c).alias(f"hi_{c}") for c in PRICES], F.count(F.lit(1)).alias("copies"))
     return rows.select(*keys, "ts", *[F.col(f"lo_{c}").alias(c) for c in PRICES], differ.alias("conflict"), "copies")
 
