@@ -79,6 +79,20 @@ WITH d AS (
 SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM d JOIN w USING (h)
 """
 
+SQL_OP2 = r"""
+WITH w AS (
+  SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), h AS (
+  SELECT doc_id, unnest(list_transform(range(1, len(w) - 33), lambda i: md5(array_to_string(w[i:i + 34], ' ')))) AS h, unnest(range(1, len(w) - 33)) AS i
+  FROM w WHERE len(w) >= 35
+), c AS (
+  SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS j FROM (SELECT doc_id, i FROM h QUALIFY count(*) OVER (PARTITION BY h) > 1)
+), t AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS j FROM w), k AS (
+  SELECT doc_id, count(c.j) AS n_removed, string_agg(word, ' ' ORDER BY j) FILTER (WHERE c.j IS NULL) AS kept FROM t LEFT JOIN c USING (doc_id, j) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (doc_id)
+"""
+
 SQL_OP3 = """
 WITH v AS (
   SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(64 * CAST(x AS DOUBLE)) AS BIGINT)) AS e FROM embeddings
@@ -92,6 +106,26 @@ WITH v AS (
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
 """
 
+SQL_OP4 = r"""
+WITH d AS (
+  SELECT doc_id, hex(encode(coalesce(text, ''))) AS x, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents
+), h AS (
+  SELECT doc_id, unnest(list_transform(range(1, n - 98), lambda i: md5(substr(x, 2 * i - 1, 200)))) AS h, unnest(range(1, n - 98)) AS i FROM d WHERE n >= 100
+), l AS (
+  SELECT doc_id, i FROM h QUALIFY row_number() OVER (PARTITION BY h ORDER BY doc_id, i) > 1
+), g AS (SELECT *, lag(i) OVER (PARTITION BY doc_id ORDER BY i) AS p FROM l), r AS (
+  SELECT doc_id, i, sum(CASE WHEN p IS NULL OR i > p + 100 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM g
+), s AS (SELECT doc_id, min(i) AS a, max(i) + 99 AS b FROM r GROUP BY doc_id, run), q AS (
+  SELECT *, coalesce(lag(b) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM s
+), k AS (
+  SELECT doc_id, CAST(sum(b - a + 1) AS BIGINT) AS n_removed, count(*) AS n_spans, max(b) AS last, string_agg(substr(x, 2 * before + 1, 2 * (a - 1 - before)), '' ORDER BY a) AS head
+  FROM q JOIN d USING (doc_id) GROUP BY doc_id
+)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(head, '') || substr(x, 2 * coalesce(last, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN k USING (doc_id)
+"""
+
 SQL_OP7 = r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS w FROM documents WHERE text IS NOT NULL
@@ -150,4 +184,11 @@ QUERIES = {
     "op10_pii": op10_pii,
 }
 
-ORACLE_SQL = {"op1_exact_dedup": SQL_OP1, "op3_topk_search": SQL_OP3, "op7_ngram_jaccard_join": SQL_OP7, "op8_source_mixing": SQL_OP8}
+ORACLE_SQL = {
+    "op1_exact_dedup": SQL_OP1,
+    "op2_substring_dedup": SQL_OP2,
+    "op3_topk_search": SQL_OP3,
+    "op4_suffix_array_dedup": SQL_OP4,
+    "op7_ngram_jaccard_join": SQL_OP7,
+    "op8_source_mixing": SQL_OP8,
+}
