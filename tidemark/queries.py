@@ -65,7 +65,7 @@ def bars_sql(minutes: int = 60, by: str = "'ALL'") -> str:
 
 
 def r(*names: str, places: int = 6) -> str:
-    return ", ".join(f"round({n}, {places}) + 0.0 AS {n}" for n in names)
+    return ", ".join(f"round({n}, {places}) + 0.0::DOUBLE AS {n}" for n in names)
 
 
 def ew_sql(name: str, source: str, specs: dict[str, tuple[str, float, int]], key: str = "bar_idx") -> str:
@@ -426,7 +426,7 @@ for _c in (0, 2):
 
 
 @query("direction_target", f"""WITH {trades_sql(5)}, x AS (SELECT ts, CASE WHEN ok AND exit_price > entry_price THEN 1.0 WHEN ok AND exit_price < entry_price THEN 0.0 END AS target_up FROM l)
-SELECT coalesce(target_up, -1.0) AS target_up, count(*) AS n FROM x GROUP BY ALL""")
+SELECT coalesce(target_up, -1.0)::DOUBLE AS target_up, count(*) AS n FROM x GROUP BY ALL""")
 def target_counts(spark, sf):
     rows = with_breaks(bars(spark, sf, 5)).select(F.coalesce(direction_target(3), F.lit(-1.0)).alias("target_up"))
     return rows.groupBy("target_up").agg(F.count(F.lit(1)).alias("n"))
