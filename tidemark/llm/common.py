@@ -27,6 +27,17 @@ def work_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Bytes of an Arrow batch that goes to a Python worker, unless the session sets its own bound.
+BATCH_BYTES = 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Texts are long: where the session has Spark's default bound of 64 MB a batch, take BATCH_BYTES."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == "67108864b":
+        spark.conf.set(name, f"{BATCH_BYTES}b")
+
+
 class Workspace:
     """Tables of finished steps, below the shared folder.
 
@@ -36,11 +47,12 @@ class Workspace:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        bound_batches(spark)
         self.spark = spark
         self.path = f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
 
-    def write(self, df: DataFrame, name: str) -> DataFrame:
-        df.write.parquet(f"{self.path}/{name}")
+    def write(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
+        df.write.option("compression", codec).parquet(f"{self.path}/{name}")
         release(self.spark)
         return self.read(name, df)
 

@@ -20,6 +20,7 @@ import numpy as np
 
 WORDS_KEPT = 1_500_000
 CHARS_AT_ONCE = 1 << 19
+WORDS_AT_ONCE = 1 << 13
 
 # Classes of code points.
 OTHER, LETTER, NUMBER, SPACE, UNASSIGNED = 0, 1, 2, 3, 4
@@ -119,15 +120,20 @@ class Encoder:
         self.ids = np.zeros(0, np.uint32)
 
     def _many(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of the words joined and the number of each, from one encoding with a line end after each."""
-        if not words:
-            return np.zeros(0, np.uint32), np.zeros(0, np.int32)
-        ids = np.array(self.plain(["\n".join(words) + "\n"])[0], np.uint32)
-        ends = np.flatnonzero(ids == self.line_end)
-        if len(ends) != len(words):
-            found = self.plain(words)
-            return np.array([x for f in found for x in f], np.uint32), np.fromiter(map(len, found), np.int32, len(found))
-        return np.delete(ids, ends), np.diff(ends, prepend=-1).astype(np.int32) - 1
+        """Ids of the words joined and the number of each, from encodings of many with a line end after each."""
+        ids, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int32)]
+        for i in range(0, len(words), WORDS_AT_ONCE):
+            some = words[i : i + WORDS_AT_ONCE]
+            got = np.array(self.plain(["\n".join(some) + "\n"])[0], np.uint32)
+            ends = np.flatnonzero(got == self.line_end)
+            if len(ends) == len(some):
+                ids.append(np.delete(got, ends))
+                counts.append(np.diff(ends, prepend=-1).astype(np.int32) - 1)
+            else:
+                found = self.plain(some)
+                ids.append(np.array([x for f in found for x in f], np.uint32))
+                counts.append(np.fromiter(map(len, found), np.int32, len(found)))
+        return np.concatenate(ids), np.concatenate(counts)
 
     def plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tok.encode_batch_fast(texts, add_special_tokens=False)]
