@@ -218,7 +218,11 @@ def anchors(texts: DataFrame, scheme: Scheme) -> DataFrame:
 
 
 def repeated(rows: DataFrame, *keys: str) -> DataFrame:
-    """Keys of more than one row; partial counts come before the shuffle."""
+    """Keys of more than one row; partial counts come before the shuffle.
+
+    Callers write the keys before they join with them: a join of two plain exchanges is one whose
+    hot keys adaptive execution splits, which it does not where an aggregate stands on one side.
+    """
     return rows.groupBy(*keys).count().filter("count > 1").drop("count")
 
 
@@ -229,9 +233,9 @@ def context_groups(rows: DataFrame) -> DataFrame:
     )
 
 
-def shared_anchors(groups: DataFrame) -> DataFrame:
+def shared_anchors(groups: DataFrame, work: Workspace) -> DataFrame:
     """Groups whose anchor has other groups too, with their number `others`: their windows may be partly equal."""
-    many = groups.groupBy("a").agg(F.count(F.lit(1)).alias("others")).filter("others > 1")
+    many = work.write(groups.groupBy("a").agg(F.count(F.lit(1)).alias("others")).filter("others > 1"), "shared")
     return groups.join(many.hint("merge"), "a")
 
 

@@ -42,16 +42,17 @@ def levels(gram: int, length: int) -> tuple[int, ...]:
 def survivors(texts: DataFrame, scheme: A.Scheme, work: Workspace) -> DataFrame:
     """Anchors whose words repeat at every level."""
     rows = A.anchors(texts, scheme)
-    again = A.repeated(A.anchors(texts, scheme).select("a"), "a")
+    again = work.write(A.repeated(A.anchors(texts, scheme).select("a"), "a"), "again")
     rows = work.write(rows.join(again.hint("merge"), "a", "left_semi"), "level0")
+    work.drop("again")
     for i, m in enumerate(scheme.levels, 1):
         if rows.isEmpty():
             break
-        right = A.repeated(rows.filter(f"r{m} <> 0"), f"r{m}").withColumn("right", F.lit(True))
-        left = A.repeated(rows.filter(f"l{m} <> 0"), f"l{m}").withColumn("left", F.lit(True))
+        right = work.write(A.repeated(rows.filter(f"r{m} <> 0"), f"r{m}").withColumn("right", F.lit(True)), f"right{i}")
+        left = work.write(A.repeated(rows.filter(f"l{m} <> 0"), f"l{m}").withColumn("left", F.lit(True)), f"left{i}")
         longer = rows.join(right.hint("merge"), f"r{m}", "left").join(left.hint("merge"), f"l{m}", "left").filter("right OR left")
         rows = work.write(longer.select(*scheme.names), f"level{i}")
-        work.drop(f"level{i - 1}")
+        work.drop(f"level{i - 1}", f"right{i}", f"left{i}")
     return rows
 
 
@@ -88,8 +89,9 @@ def repeated_spans(texts: DataFrame, scheme: A.Scheme, work: Workspace) -> DataF
     rows = survivors(texts, scheme, work).select("a", "c", "k", "at", "no")
     groups = work.write(A.context_groups(rows), "groups")
     whole = rows.join(groups.filter("n > 1").select("a", "c", "no").hint("merge"), ["a", "c", "no"], "left_semi")
-    single = work.write(window_rows(texts, A.shared_anchors(groups), scheme), "windows")
-    twice = single.join(A.repeated(single, "h1", "h2").hint("merge"), ["h1", "h2"], "left_semi")
+    single = work.write(window_rows(texts, A.shared_anchors(groups, work), scheme), "windows")
+    again = work.write(A.repeated(single, "h1", "h2"), "windows_again")
+    twice = single.join(again.hint("merge"), ["h1", "h2"], "left_semi")
     spans = whole.select("k", "at", F.shiftright("no", A.PLACE_BITS).alias("n")).unionByName(twice.select("k", "at", F.lit(1).cast("long").alias("n")))
     return work.write(A.by_document(spans, "at", "n"), "spans")
 

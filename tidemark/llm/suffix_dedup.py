@@ -125,7 +125,7 @@ def earlier_spans(texts: DataFrame, scheme: A.Scheme, work: Workspace, group_run
     groups = work.write(A.context_groups(rows), "groups")
     copies = groups.filter("n > 1").select("a", "c", "no", F.col("k").alias("k0"), F.col("at").alias("at0"))
     whole = rows.join(copies.hint("merge"), ["a", "c", "no"]).filter("k <> k0 OR at <> at0")
-    part = work.write(A.shared_anchors(groups).select("a", "k", "at", "no", "others"), "part")
+    part = work.write(A.shared_anchors(groups, work).select("a", "k", "at", "no", "others"), "part")
 
     few = A.by_document(part.filter(F.col("others") <= group_runs), "a", "at", "no")
     pieces = texts.join(few.hint("merge"), "k").select("k", "copy", "z", "items").mapInArrow(_run_bytes(scheme.length), "a long, k long, at long, no long, bytes binary")
@@ -134,6 +134,7 @@ def earlier_spans(texts: DataFrame, scheme: A.Scheme, work: Workspace, group_run
 
     many = work.write(window_rows(texts, part.filter(F.col("others") > group_runs), scheme), "windows")
     first = many.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "at")).alias("first")).filter("n > 1")
+    first = work.write(first, "windows_first")
     later = many.join(first.hint("merge"), ["h1", "h2"]).filter("k <> first.k OR at <> first.at")
 
     spans = (
