@@ -25,11 +25,11 @@ def components(edges: DataFrame, work: Workspace, name: str) -> DataFrame:
     while (mark := _print(now)) != seen:
         seen, i = mark, i + 1
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
+        least = work.write(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m")), f"{name}{i}least")
         large = both.join(least.hint("merge"), "a").filter("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         large = work.write(large, f"{name}{i}large")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
+        least = work.write(large.groupBy("a").agg(F.min("b").alias("m")), f"{name}{i}small")
         small = large.join(least.hint("merge"), "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
         now = work.write(small.unionByName(least.select("a", F.col("m").alias("b"))).distinct(), f"{name}{i}")
-        work.drop(f"{name}{i - 1}", f"{name}{i}large")
+        work.drop(f"{name}{i - 1}", f"{name}{i}large", f"{name}{i}least", f"{name}{i}small")
     return now

@@ -105,16 +105,22 @@ def signed_rows(docs: DataFrame, work: Workspace, gram: int, bands: int, rows: i
     return work.write(numbered.mapInArrow(run, f"{fields}, set_hash binary, set_size long, bands array<long>"), "rows")
 
 
-def band_ties(classes: DataFrame) -> DataFrame:
-    """(a, b): each class with the least class of every bucket it shares."""
+def band_ties(classes: DataFrame, work: Workspace) -> DataFrame:
+    """(a, b): each class with the least class of every bucket it shares.
+
+    Here and below aggregates are written before a join with them: then both sides of the join are
+    plain exchanges, and adaptive execution splits a hot bucket or component.
+    """
     buckets = classes.select("uid", F.posexplode("bands").alias("band", "value"))
     least = buckets.groupBy("band", "value").agg(F.min("uid").alias("b"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    least = work.write(least, "least")
     return buckets.join(least.hint("merge"), ["band", "value"]).filter("uid <> b").select(F.col("uid").alias("a"), "b").distinct()
 
 
-def cells(members: DataFrame) -> DataFrame:
+def cells(members: DataFrame, work: Workspace) -> DataFrame:
     """Rows (uid, weight, root, i, j, own): each class in every cell (pair of blocks) of its component."""
     size = members.groupBy("root").agg(F.count(F.lit(1)).alias("n"), F.sum("set_size").alias("grams"))
+    size = work.write(size, "sizes")
     blocks = F.greatest(F.ceil(F.col("n") / BLOCK_CLASSES), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")
     placed = members.join(size.hint("merge"), "root").withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("uid"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -213,10 +219,10 @@ def linked_rows(docs: DataFrame, work: Workspace, gram: int = GRAM, threshold: f
     sets = rows.filter("set_hash IS NOT NULL").groupBy("set_hash").agg(F.min("uid").alias("uid"), F.count(F.lit(1)).alias("weight"))
     sets = work.write(sets, "sets")
     classes = rows.select("uid", "set_size", "bands").join(sets.select("uid", "weight").hint("merge"), "uid")
-    ties = components(band_ties(classes), work, "ties")
+    ties = components(band_ties(classes, work), work, "ties")
     roots = ties.unionByName(ties.select(F.col("b").alias("a"), "b").distinct()).select(F.col("a").alias("uid"), F.col("b").alias("root"))
     members = classes.select("uid", "set_size", "weight").join(roots.hint("merge"), "uid")
-    placed = work.write(cells(members), "cells")
+    placed = work.write(cells(members, work), "cells")
     texts = rows.select("uid", "text").mapInArrow(_compressed, "uid long, z binary").join(placed.hint("merge"), "uid")
     ordered = texts.select("root", "i", "j", "uid", "weight", "own", "z").repartition("root", "i", "j").sortWithinPartitions("root", "i", "j")
     checked = work.write(ordered.mapInArrow(_verify(gram, threshold), "uid long, links long, tied long"), "checked")
@@ -233,8 +239,9 @@ def linked_rows(docs: DataFrame, work: Workspace, gram: int = GRAM, threshold: f
 
 def jaccard_join(docs: DataFrame, gram: int = GRAM, threshold: float = THRESHOLD, recall: float = RECALL) -> DataFrame:
     """One row per document: doc_id, class_id, n_links."""
-    _, linked = linked_rows(docs.select("doc_id", "text"), Workspace(docs.sparkSession, "jaccard_join"), gram, threshold, recall)
-    named = linked.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    work = Workspace(docs.sparkSession, "jaccard_join")
+    _, linked = linked_rows(docs.select("doc_id", "text"), work, gram, threshold, recall)
+    named = work.write(linked.groupBy("root").agg(F.min("doc_id").alias("class_id")), "named")
     return linked.join(named.hint("merge"), "root").select("doc_id", "class_id", "n_links")
 
 
