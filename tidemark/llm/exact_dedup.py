@@ -43,6 +43,10 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def plain_rows(self) -> DataFrame:
+        """The same rows read without their buckets: a join with many rows of one digest may then be split."""
+        return self.spark.read.schema(INDEX_SCHEMA).parquet(self.path)
+
     def append(self, winners: DataFrame) -> None:
         """Append the winners whose digest the index lacks; those it has keep their earlier document."""
         fresh = winners.join(self.rows().hint("merge"), "digest", "left_anti")
@@ -83,7 +87,7 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     before = work.write(known.rows().select("digest"), "before") if index else None
     best = winners(digests)
     known.append(best)
-    kept = known.rows().select("digest", "keep_id", "keep_chars", F.col("copies").alias("first_copies"))
+    kept = known.plain_rows().select("digest", "keep_id", "keep_chars", F.col("copies").alias("first_copies"))
     if before is None:
         sized = kept.select("digest", "keep_id", "keep_chars", F.col("first_copies").alias("group_size"), F.lit(True).alias("new"))
     else:
@@ -105,10 +109,11 @@ def filter_duplicates(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns.
 
     Of rows that repeat one doc_id and text, one stays: the winner is chosen among rows, not
-    ids. Copies are ranked on narrow rows; only one row id per distinct text meets the texts.
+    ids. Rows get their ids by being written once, so a task that runs again sees the same ones.
+    Copies are ranked on narrow rows; only one row id per distinct text meets the texts.
     """
     row, dig = free_name(docs.columns, "row_id"), free_name(docs.columns, "digest")
-    rows = docs.withColumn(row, F.monotonically_increasing_id())
+    rows = Workspace(docs.sparkSession, "exact_dedup").write(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
     best = F.min(F.struct(
         (-F.char_length(F.coalesce("text", F.lit("")))).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("r"),
     ))

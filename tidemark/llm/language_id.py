@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace, by_bytes, free_name
+from tidemark.llm.common import Workspace, by_bytes, free_name, join_checked
 
 SAMPLE_ROWS = 400
 BUCKETS = 1 << 14
@@ -51,6 +51,10 @@ _KEEP = np.arange(256, dtype=np.uint8)
 _KEEP[[b for b in range(128) if not 97 <= b <= 122]] = 32
 
 
+def has_letter(text: str | None) -> bool:
+    return bool(text) and any(m[0].isalpha() for m in _LETTER.finditer(text))
+
+
 def letter_groups(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of all letter groups of the texts, joined, and where each text's begin (and the end)."""
     raw = [b" " + t.lower().encode("utf-8", "replace") + b"  " for t in texts]
@@ -68,20 +72,20 @@ def is_held_out(doc_id: Column) -> Column:
 
 
 def training_rows(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(lang, text) of at most sample_rows rows a language that may be learned from, the first by hash."""
+    """(lang, doc_id, text) of at most sample_rows ids a language that may be learned from, the first by hash; one text an id."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id"))).select(
         "lang", F.col("doc_id").alias("id"), F.xxhash64("doc_id").alias("h")
     )
     # A first cut by hash leaves little more than sample_rows of each language for the window.
     n = rows.groupBy("lang").count()
     part = F.least(F.lit(1.0), F.lit(1.5 * sample_rows + 200) / F.col("count"))
-    cut = rows.join(n, "lang").filter(F.pmod("h", F.lit(1 << 30)) < part * (1 << 30))
+    cut = join_checked(rows, n, ["lang"]).filter(F.pmod("h", F.lit(1 << 30)) < part * (1 << 30)).distinct()
     first = Window.partitionBy("lang").orderBy("h", "id")
     picked = cut.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample_rows).select("id", F.col("lang").alias("learn"))
     # Broadcast: sample_rows ids a language at most.
     return docs.filter(F.col("text").isNotNull()).select("lang", "doc_id", "text").join(
-        F.broadcast(picked.distinct()), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("learn"))
-    ).select("lang", "doc_id", "text")
+        F.broadcast(picked), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("learn"))
+    ).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
 
 
 def fit_pair(counts: list[np.ndarray], values: list[np.ndarray], sign: np.ndarray) -> np.ndarray:
@@ -131,7 +135,7 @@ class LanguageModel:
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         out, scores = [UNKNOWN] * len(texts), [0.0] * len(texts)
-        real = [i for i, t in enumerate(texts) if t and _LETTER.search(t)] if self.languages else []
+        real = [i for i, t in enumerate(texts) if has_letter(t)] if self.languages else []
         start = 0
         while start < len(real):
             stop, size = start, 0

@@ -19,8 +19,9 @@ import re
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from tidemark.llm.common import by_bytes
+from tidemark.llm.common import bound_batches, by_bytes
 
 MIN_SCORE = 0.6
 CONTEXT_CHARS = 48
@@ -107,8 +108,11 @@ def proposals(text: str):
         if _phone_ok(m[0]):
             yield "phone", *m.span()
     for m in _IBAN.finditer(text):
-        if mod97(m[0]):
-            yield "iban", *m.span()
+        found = m[0]
+        while not mod97(found) and " " in found:  # capitals that follow an account number are cut off again
+            found = found.rpartition(" ")[0]
+        if mod97(found):
+            yield "iban", m.start(), m.start() + len(found)
     for m in _SSN.finditer(text) if "-" in text else ():
         if _ssn_ok(m[0]):
             yield "ssn", *m.span()
@@ -137,6 +141,7 @@ def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
 
 def find_pii(docs: DataFrame) -> DataFrame:
     """(doc_id, found): found is an array of (kind, start, end, score)."""
+    bound_batches(docs.sparkSession)
     item = pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())])
 
     def scan(batches):
@@ -146,7 +151,7 @@ def find_pii(docs: DataFrame) -> DataFrame:
             ]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(rows, pa.list_(item))], ["doc_id", "found"])
 
-    return docs.select("doc_id", "text").mapInArrow(
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
         scan, "doc_id long, found array<struct<kind:string,start:long,end:long,score:double>>"
     )
 

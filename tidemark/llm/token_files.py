@@ -33,7 +33,7 @@ from tidemark.llm.common import Workspace, by_bytes, join_checked, splits
 from tidemark.llm.tokenizing import default_tokenizer, encoder
 
 END_ID = 0
-BLOCK_IDS = 1 << 19
+BLOCK_IDS = 1 << 18
 
 LENGTHS = ((np.arange(256)[:, None] >> (2 * np.arange(4)) & 3) + 1).astype(np.uint8)  # of the four ranks behind a control byte
 
@@ -64,10 +64,8 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 def _tokenize(docs: DataFrame, path: str, end_id: int, ranges: int) -> DataFrame:
     """Per range of doc_id and in ascending order: rows of documents' ids; and rows of counts (doc_id null, n null)."""
-    ordered = (
-        docs.select("doc_id", "text").repartitionByRange(ranges, F.col("doc_id").asc_nulls_first())
-        .sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
-    )
+    first = F.col("doc_id").asc_nulls_first()
+    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(ranges, first).sortWithinPartitions(first, "text")
     names = ["part", "seq", "doc_id", "n", "ids"]
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
@@ -116,7 +114,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
     """Write `path`/blocks and `path`/ranks."""
     spark = docs.sparkSession
     work = Workspace(spark, "token_files")
-    ids = work.write(_tokenize(docs, tokenizer or default_tokenizer(), end_id, splits(docs)), "ids")
+    ids = work.write(_tokenize(docs, tokenizer or default_tokenizer(), end_id, splits(docs)), "ids", "zstd")
     rank_ids(ids.filter("n is null")).write.parquet(f"{path}/ranks")
     table = spark.sparkContext.broadcast(_rank_array(spark, path))
     names = ["part", "seq", "n_ids", "doc_ids", "lengths", "control", "data"]
@@ -130,7 +128,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             cells = (part, seq, size, doc_ids, [len(r) for r in rows], control, data)
             return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(cells, types, strict=True)], names)
 
-        for b in batches:
+        for b in by_bytes(batches, "ids"):
             for p, s, d, n, raw in zip(*(b.column(c).to_pylist() for c in ("part", "seq", "doc_id", "n", "ids")), strict=True):
                 if rows and (p != part or s != seq + len(rows) or size + n > BLOCK_IDS):
                     yield block()
@@ -175,7 +173,7 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def decode(batches):
-        for b in batches:
+        for b in by_bytes(batches, "data"):
             columns = (b.column(c).to_pylist() for c in ("part", "seq", "doc_ids", "lengths", "control", "data"))
             for part, seq, doc_ids, lengths, control, data in zip(*columns, strict=True):
                 ends = np.cumsum(lengths)

@@ -44,21 +44,21 @@ VECTOR_SCHEMA = "vec_id long, norm double, ints binary"
 def _integers(batches):
     """Valid vectors as (vec_id, norm, whole numbers held in doubles)."""
     for b in batches:
-        ids, norms, rows = [], [], []
-        for vec_id, vec in zip(b.column("vec_id").to_pylist(), b.column("embedding").to_pylist(), strict=True):
-            if vec is None or any(x is None for x in vec):
-                continue
-            x = np.array(vec, np.float64)
-            if not np.isfinite(x).all():
-                continue
-            with np.errstate(over="ignore"):
-                ints = np.clip(np.floor(SCALE * x), -(2.0**1000), 2.0**1000)
-                top = np.abs(ints).max(initial=0.0) or 1.0
-                norm = float(top * np.sqrt(np.sum((ints / top) ** 2)))
-            ids.append(vec_id)
-            norms.append(norm)
-            rows.append(ints.astype("<f8").tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(norms, pa.float64()), pa.array(rows, pa.binary())], ["vec_id", "norm", "ints"])
+        vectors = b.column("embedding")
+        at = vectors.offsets.to_numpy().astype(np.int64)
+        x = vectors.values.cast(pa.float64()).to_numpy(zero_copy_only=False)  # null components become NaN
+        odd = np.append(0, np.cumsum(~np.isfinite(x)))
+        whole = np.flatnonzero((odd[at[1:]] == odd[at[:-1]]) & vectors.is_valid().to_numpy(zero_copy_only=False))
+        with np.errstate(over="ignore", invalid="ignore"):
+            ints = np.clip(np.floor(SCALE * x), -(2.0**1000), 2.0**1000).astype("<f8")
+        norms, rows = [], []
+        for i in whole:
+            v = ints[at[i] : at[i + 1]]
+            top = np.abs(v).max(initial=0.0) or 1.0
+            norms.append(float(top * np.sqrt(np.sum((v / top) ** 2))))
+            rows.append(v.tobytes())
+        ids = b.column("vec_id").take(pa.array(whole))
+        yield pa.RecordBatch.from_arrays([ids, pa.array(norms, pa.float64()), pa.array(rows, pa.binary())], ["vec_id", "norm", "ints"])
 
 
 def integer_vectors(vectors: DataFrame) -> DataFrame:
