@@ -97,16 +97,22 @@ def _widen(raw: bytes, n: int) -> np.ndarray:
 
 
 def rank_ids(counts: DataFrame) -> DataFrame:
-    """(id, rank) from rows of count arrays: most frequent first, ties to the smaller id."""
+    """(id, rank) from rows of count arrays: most frequent first, ties to the smaller id.
 
-    def explode(batches):
+    A task adds up the arrays it reads before it gives rows, at most one per id of the vocabulary.
+    """
+
+    def total(batches):
+        counts = np.zeros(0, np.int64)
         for b in batches:
             for raw in b.column("ids").to_pylist():
                 c = np.frombuffer(raw, "<i8")
-                at = np.flatnonzero(c)
-                yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(c[at])], ["id", "n"])
+                counts = np.pad(counts, (0, max(0, len(c) - len(counts))))
+                counts[: len(c)] += c
+        at = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["id", "n"])
 
-    summed = counts.select("ids").mapInArrow(explode, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    summed = counts.select("ids").mapInArrow(total, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return summed.select("id", (F.row_number().over(Window.orderBy(F.desc("n"), "id")) - 1).alias("rank"))
 
 
