@@ -96,3 +96,19 @@ def test_diagnostics(candles):
         validate.validate(candles([(*RISING[0], 0), (*RISING[1], 1), (*RISING[2], 3)]), allow_gaps=False)
     a, b = candles(RISING), candles(RISING).orderBy(F.desc("ts"))
     assert validate.fingerprint(a).first() == validate.fingerprint(b).first()
+
+
+def test_gapped_series_hide_no_invalid_one(spark):
+    import datetime as dt
+
+    def table(last):
+        rows = [(f"s{i:02}", m, *RISING[m % 6]) for i in range(60) for m in (0, 1, 3)] + [("z", m, *p) for m, p in last]
+        named = spark.createDataFrame([(s, dt.datetime(2024, 1, 1, 0, m, tzinfo=dt.UTC), *map(float, p)) for s, m, *p in rows], "series_id string, ts timestamp, open double, high double, low double, close double")
+        return named.repartition(4, "series_id")
+
+    for last, message in (([(0, RISING[0]), (0, RISING[1])], "z: 1 duplicate"), ([(0, (10, 9, 8, 10))], "z: 1 bars with invalid")):
+        with pytest.raises(ValueError, match=message):
+            validate.validate(table(last))
+    assert validate.validate(table([(0, RISING[0])])).count() == 181
+    with pytest.raises(ValueError, match="s00: 1 missing"):
+        validate.validate(table([(0, RISING[0])]), allow_gaps=False)
