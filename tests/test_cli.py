@@ -61,6 +61,42 @@ def test_model_protocol(spark):
         models.fit_frozen(bars, "0" * 64)
 
 
+def test_folds_of_several_series(spark, monkeypatch):
+    from datetime import UTC, datetime, timedelta
+
+    from pyspark.sql import functions as F
+
+    seen = []
+
+    class Half:
+        def transform(self, rows):
+            return rows.withColumn("probability_up", F.lit(0.5))
+
+    def fit(train, features):
+        seen.append(train.agg(F.max("ts").alias("last"), F.count(F.lit(1)).alias("n")).first())
+        return Half()
+
+    def scored(firsts, m, n_splits):
+        seen.clear()
+        rows = [(f"s{k}", "all", datetime(2024, 1, 1, tzinfo=UTC) + timedelta(hours=first + i), i % 2, True) for k, first in enumerate(firsts) for i in range(m)]
+        table = spark.createDataFrame(rows, "series_id string, slice string, ts timestamp, target_up int, eligible boolean")
+        return models.oof_probabilities(table, "logistic", n_splits, 2, []).orderBy("series_id", "ts").toPandas()
+
+    monkeypatch.setitem(models.FITS, "logistic", (fit, 1))
+    for k, n_splits in ((1, 5), (6, 5), (4, 3)):
+        got = scored([0] * k, 48, n_splits)
+        head = 48 // (n_splits + 1)
+        assert len(got) == 48 * k and (got["probability_up"].isna() == (got["pos"] < head)).all()
+        assert [r["n"] for r in seen] == [k * (head * i - 2) for i in range(1, n_splits + 1)]
+    got = scored([0, 30], 50, 3)  # times 0 to 79, cut at 20, 40 and 60; training ends two rows earlier
+    assert (got["probability_up"].isna() == ((got["series_id"] == "s0") & (got["pos"] < 20))).all()
+    assert [r["n"] for r in seen] == [18, 38 + 8, 48 + 28]
+    hours = lambda r: (r["last"] - datetime(2024, 1, 1)).total_seconds() / 3600
+    assert all(hours(r) + 2 < cut for r, cut in zip(seen, (20, 40, 60), strict=True))
+    with pytest.raises(ValueError, match="not enough"):
+        scored([0, 0, 0, 0], 2, 3)
+
+
 def test_benchmark_report(spark):
     bars = numbered(synthetic_ohlc(spark, 600).drop("payout"))
     report = public_benchmark(bars, "synthetic", BenchmarkPolicy(("sweep_reversal",), (1,)))

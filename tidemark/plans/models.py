@@ -6,7 +6,10 @@ scores as one column expression; a boosted model scores through its transformer.
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from dataclasses import dataclass
+from functools import reduce
+from itertools import accumulate
 
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -94,31 +97,53 @@ def fit_boosted(rows: DataFrame, features: list[str] = ML_FEATURES, rounds: int
 FITS = {"logistic": (fit_logistic, 50), "boosted": (fit_boosted, 200)}
 
 
-def folds(rows: DataFrame, n_splits: int, gap: int) -> tuple[DataFrame, list[tuple[int, int, int]]]:
-    """Rows with `pos` among the eligible, and per fold (end of training, start and end of test) in such positions."""
+DAY_US = 86_400_000_000
+
+
+def micros(ts: str):
+    return F.unix_micros(F.col(ts).cast("timestamp"))
+
+
+def folds(rows: DataFrame, n_splits: int, gap: int) -> tuple[DataFrame, list[int]]:
+    """Rows with `pos` among their series' eligible and `known_us`, and the microsecond at which each fold's test starts.
+
+    All series share the folds, as one model learns from all: the distinct times of eligible rows are cut, so a fold's
+    test is later than all its training. `known_us` is the time `gap` eligible rows later in the series, null at its
+    end; a row may be learned from where that is before the test. Times are counted by day, and ranked only
+    within the days that hold a cut.
+    """
     order = Window.partitionBy("series_id", "eligible").orderBy("ts")
-    rows = rows.withColumn("pos", F.when(F.col("eligible"), F.row_number().over(order) - 1))
-    n = rows.filter("eligible").count()
+    rows = rows.withColumns({"pos": F.when(F.col("eligible"), F.row_number().over(order) - 1), "known_us": F.when(F.col("eligible"), F.lead(micros("ts"), gap).over(order))})
+    times = rows.filter("eligible").select(micros("ts").alias("us")).distinct().withColumn("day", F.floor(F.col("us") / DAY_US))
+    days = times.groupBy("day").count().orderBy("day").collect()
+    ends = list(accumulate(r["count"] for r in days))
+    n = ends[-1] if ends else 0
     size = n // (n_splits + 1)
     if size < 1:
-        raise ValueError("not enough eligible rows for that many folds")
-    starts = range(n - n_splits * size, n, size)
-    return rows, [(max(0, s - gap), s, s + size) for s in starts]
+        raise ValueError("not enough times of eligible rows for that many folds")
+    cuts = []  # (day, rank within it)
+    for s in range(n - n_splits * size, n, size):
+        d = bisect_right(ends, s)
+        cuts.append((days[d]["day"], s - ends[d] + days[d]["count"] + 1))
+    ranked = times.filter(F.col("day").isin([d for d, _ in cuts])).withColumn("n", F.row_number().over(Window.partitionBy("day").orderBy("us")))
+    is_cut = reduce(lambda a, b: a | b, [(F.col("day") == d) & (F.col("n") == k) for d, k in cuts])
+    return rows, sorted(r["us"] for r in ranked.filter(is_cut).collect())
 
 
 def oof_probabilities(rows: DataFrame, kind: str = "logistic", n_splits: int = 5, gap: int = 3, features: list[str] = ML_FEATURES, **options) -> DataFrame:
     """Add `probability_up` from models that saw only earlier rows, less the label horizon; null before the first fold."""
     fit, least = FITS[kind]
-    rows, parts = folds(rows.persist(), n_splits, gap)
-    out = rows.filter(F.col("pos").isNull() | (F.col("pos") < parts[0][1])).withColumn("probability_up", F.lit(None).cast("double"))
-    for end, start, stop in parts:
-        train = rows.filter((F.col("pos") < end) & F.col("target_up").isNotNull())
-        test = rows.filter((F.col("pos") >= start) & (F.col("pos") < stop))
+    rows, starts = folds(rows.persist(), n_splits, gap)
+    at = micros("ts")
+    out = rows.filter(F.col("pos").isNull() | (at < starts[0])).withColumn("probability_up", F.lit(None).cast("double"))
+    for start, stop in zip(starts, [*starts[1:], None], strict=True):
+        train = rows.filter((F.col("known_us") < start) & F.col("target_up").isNotNull())
+        test = rows.filter(F.col("pos").isNotNull() & (at >= start) & (F.lit(True) if stop is None else at < stop))
         known = train.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("target_up").alias("k")).first()
         usable = known["n"] >= least and known["k"] == 2
         scored = fit(train, features, **options).transform(test) if usable else test.withColumn("probability_up", F.lit(None).cast("double"))
         out = out.unionByName(scored)
-    return out
+    return out.drop("known_us")
 
 
 def threshold_scores(rows: DataFrame, cfg: Settlement, thresholds=THRESHOLDS, objective: str = "wilson_low", min_trades: int = 200, min_expectancy: float | None = 0.0) -> DataFrame:
