@@ -13,15 +13,12 @@ from pyspark.sql import functions as F
 from tidemark.llm import exact_dedup, jaccard_join, language_id, mixing, packing
 from tidemark.llm.common import Workspace
 
-#: A document goes if its language is unknown or predicted with less confidence than this.
-MIN_LANGUAGE_SCORE = 0.3
-
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Language ID: documents without a letter, or of no language with some confidence, go."""
+    """Language ID: documents of unknown language go. A score falls with the number of languages, so it drops none."""
     scored = language_id.predict(docs, language_id.fit(docs))
-    *kept, pred, score = scored.columns
-    return scored.filter((F.col(pred) != language_id.UNKNOWN) & (F.col(score) >= MIN_LANGUAGE_SCORE)).select(*kept)
+    *kept, pred, _ = scored.columns
+    return scored.filter(F.col(pred) != language_id.UNKNOWN).select(*kept)
 
 
 def distinct_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

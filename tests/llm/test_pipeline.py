@@ -39,3 +39,16 @@ def test_empty_table(spark, docs):
         empty = stage(spark, empty, SF)
         assert empty.count() == 0, name
     assert P.STAGES[-1][1](spark, docs([]), SF).count() == 0
+
+
+def test_only_unknown_languages_go(spark, docs, monkeypatch):
+    from pyspark.sql import functions as F
+
+    long = spark.read.parquet(f"{SF}/documents.parquet").filter("lang IS NOT NULL AND text IS NOT NULL")
+    short = long.withColumns({"doc_id": -F.col("doc_id") - 1, "text": F.substring_index("text", " ", 2)})
+    rows = long.unionByName(short).filter("text RLIKE '[a-zA-Z]'")
+    assert P.known_language(spark, rows, SF).count() == rows.count()
+    unsure = lambda d, model: d.withColumns({"lang_pred": F.when(F.col("doc_id") == 3, "und").otherwise("en"), "score": F.when(F.col("doc_id") == 3, 0.0).otherwise(0.26)})
+    monkeypatch.setattr(P.language_id, "predict", unsure)
+    kept = P.known_language(spark, docs([(1, "a b", "en"), (2, "ein Satz", "de"), (3, "1 2", "en")]), SF)
+    assert [r["doc_id"] for r in kept.orderBy("doc_id").collect()] == [1, 2]
