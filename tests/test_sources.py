@@ -88,6 +88,14 @@ def test_acquisition_fails_closed(spark, tmp_path):
         objects.weekly_url("http://h", "EURUSD", 2015, 54)
 
 
+def test_acquisition_counts_all_failures(spark, tmp_path):
+    urls = spark.range(1205).select(F.concat(F.lit("nosuch://x/"), "id").alias("url"))
+    with pytest.raises(objects.AcquisitionError, match="^1205 objects") as e:
+        objects.acquire(urls, str(tmp_path / "got"), passes=2, attempts=1, backoff=0.0)
+    assert e.value.count == 1205 and e.value.manifest in str(e.value) and e.value.manifest.endswith("/pass1")
+    assert spark.read.parquet(e.value.manifest).filter("status = 'failed'").select("url").distinct().count() == 1205
+
+
 def test_weekly_quotes(spark, tmp_path):
     text = "DateTime,BidOpen,BidHigh,BidLow,BidClose,AskOpen,AskHigh,AskLow,AskClose,TickQty\n"
     text += "2015-01-05 00:00:00,1.1000,1.1004,1.0998,1.1002,1.1002,1.1006,1.1000,1.1004,100\n2015-01-05 00:01:00,1.1002,1.1004,1.0998,1.1003,1.1004,1.1006,1.1000,1.1005,50\n"

@@ -24,11 +24,11 @@ PERIODS = ("m1", "H1")
 
 
 class AcquisitionError(RuntimeError):
-    """Objects that could not be had; `failures` is the manifest of (url, error)."""
+    """Objects that could not be had: `count` of them. The rows of `manifest` with status failed are all; `failures` has (url, error) of some."""
 
-    def __init__(self, failures: list[tuple[str, str]]):
-        super().__init__(f"{len(failures)} objects could not be fetched, first: {failures[0]}")
-        self.failures = failures
+    def __init__(self, failures: list[tuple[str, str]], count: int, manifest: str):
+        super().__init__(f"{count} objects could not be fetched, all with status failed in {manifest}; one: {failures[0]}")
+        self.failures, self.count, self.manifest = failures, count, manifest
 
 
 def hourly_url(base: str, symbol: str) -> F.Column:
@@ -99,7 +99,8 @@ def acquire(urls: DataFrame, path: str, passes: int = 3, **options) -> DataFrame
         urls = done.filter("status = 'failed'").select("url")
         if urls.isEmpty():
             return spark.read.schema(PROVENANCE).parquet(*[f"{path}/pass{i}" for i in range(n + 1)]).filter("status <> 'failed'")
-    raise AcquisitionError([(r["url"], r["error"]) for r in done.filter("status = 'failed'").select("url", "error").limit(1000).collect()])
+    failed = done.filter("status = 'failed'").select("url", "error")
+    raise AcquisitionError([(r["url"], r["error"]) for r in failed.limit(1000).collect()], failed.count(), f"{path}/pass{n}")
 
 
 def decode_ticks(objects: DataFrame, symbol: str) -> DataFrame:
