@@ -43,10 +43,10 @@ def corpus(seed, n=80):
     return rows + [(500, None), (501, ""), (502, " \n"), (None, rows[0][1]), (3, rows[3][1]), (503, "z " * 40_000)]
 
 
-@pytest.mark.parametrize("seed,block", [(1, 2048), (2, 3), (3, 2048)])
-def test_equals_brute_force(docs, monkeypatch, seed, block):
+@pytest.mark.parametrize("seed,block,homes", [(1, 2048, 32), (2, 3, 32), (3, 3, 1)])
+def test_equals_brute_force(docs, monkeypatch, seed, block, homes):
     monkeypatch.setattr(J, "BLOCK_CLASSES", block)
-    monkeypatch.setattr(J, "COLUMNS_AT_ONCE", 7)
+    monkeypatch.setattr(J, "WIDE_HOMES", homes)
     rows = corpus(seed)
     got = J.jaccard_join(docs(rows).selectExpr("*", "1 AS uid", "2 AS bands"))
     assert sorted((tuple(r) for r in got.collect()), key=str) == brute(rows)
@@ -74,6 +74,28 @@ def test_banding_reaches_recall():
     assert hits >= 99
 
 
+def test_pairs_at_the_threshold_are_found(docs):
+    """400 pairs of similarity 0.8 to 0.82 among other texts: all are linked, and nothing else is."""
+    r = random.Random(8)
+    vocab = [f"v{i}" for i in range(5000)]
+    rows = []
+    for i in range(400):
+        w = r.choices(vocab, k=80)  # 76 n-grams; 8 new words at the end leave 68 common of 84
+        rows += [(2 * i, " ".join(w)), (2 * i + 1, " ".join(w[:-8] + r.choices(vocab, k=8)))]
+    got = {d: (c, n) for d, c, n in J.jaccard_join(docs(rows)).collect()}
+    assert got == {i: (i - i % 2, 1) for i in range(800)}
+
+
+def test_matrix_product_is_exact():
+    r = np.random.RandomState(3)
+    sets = [np.unique(r.randint(0, 300, 200).astype(np.uint64)) for _ in range(40)]
+    want = [[len(np.intersect1d(a, b)) for b in sets] for a in sets]
+    got = J.intersections(sets)
+    np.fill_diagonal(got, 0)
+    np.fill_diagonal(want := np.array(want), 0)
+    assert (got == want).all()
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(1, 40)] + [(100, 50), (50, 70), (200, 200)]
     work = Workspace(spark, "test_components")

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import gc
+import tempfile
 import uuid
+from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,12 +23,18 @@ BROADCAST_ROWS = 10_000
 
 
 def work_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir; where that is unset (tests), one of our own."""
+    """The shared folder named by spark.checkpoint.dir. Only a session in one process (tests) may leave it unset."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = "/tmp/checkpoints/tidemark"
-        spark.sparkContext.setCheckpointDir(root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return _own_root()
+
+
+@lru_cache(1)
+def _own_root() -> str:
+    return tempfile.mkdtemp(prefix="tidemark-")
 
 
 #: Bytes of an Arrow batch that goes to a Python worker, unless the session sets its own bound.
@@ -43,13 +53,14 @@ class Workspace:
 
     A written table cuts the lineage: a lost executor costs the tasks of the current step only.
     Steps that are no longer read are deleted by drop(); what the returned DataFrame still
-    reads stays until its owner removes the folder.
+    reads stays until the application ends, when its file system client deletes the folder.
     """
 
     def __init__(self, spark: SparkSession, name: str):
         bound_batches(spark)
         self.spark = spark
         self.path = f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
+        delete_at_end(spark, self.path)
 
     def write(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         df.write.option("compression", codec).parquet(f"{self.path}/{name}")
@@ -60,20 +71,42 @@ class Workspace:
         return self.spark.read.schema(like.schema).parquet(f"{self.path}/{name}")
 
     def write_bucketed(self, df: DataFrame, name: str, buckets: int, *keys: str) -> DataFrame:
-        """A table bucketed and sorted by its keys, which later joins on them read without a shuffle."""
+        """A table bucketed and sorted by its keys, which later joins on them read without a shuffle.
+
+        The catalog forgets it at once; the DataFrame keeps its files and buckets.
+        """
         table = f"{name}_{uuid.uuid4().hex}"
         df.write.bucketBy(buckets, *keys).sortBy(*keys).option("path", f"{self.path}/{name}").saveAsTable(table)
         release(self.spark)
-        return self.spark.table(table)
+        out = self.spark.table(table)
+        self.spark.sql(f"DROP TABLE {table}")
+        return out
 
     def drop(self, *names: str) -> None:
         for name in names:
             delete(self.spark, f"{self.path}/{name}")
 
 
-def delete(spark: SparkSession, path: str) -> None:
+def _file_system(spark: SparkSession, path: str):
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(jpath, True)
+    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
+
+
+def delete_at_end(spark: SparkSession, path: str) -> None:
+    """Create the folder and have it deleted when the application ends."""
+    fs, jpath = _file_system(spark, path)
+    fs.mkdirs(jpath)
+    fs.deleteOnExit(jpath)
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    fs, jpath = _file_system(spark, path)
+    fs.delete(jpath, True)
+
+
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, jpath = _file_system(spark, path)
+    return fs.exists(jpath)
 
 
 def release(spark: SparkSession) -> None:
@@ -112,6 +145,29 @@ def by_bytes(batches, column: str, most: int = 1 << 21):
             start = stop
 
 
+def lean(run):
+    """A function for mapInArrow after whose tasks the reused Python worker keeps no tables and no freed memory."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+
+    return wrapped
+
+
+def give_back() -> None:
+    from tidemark.llm import hashing
+
+    hashing.powers.cache_clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc keeps what was freed until asked
+    if trim:
+        trim(0)
+
+
 def free_name(columns: list[str], name: str) -> str:
     """A column name that the caller's columns do not use."""
     while name.lower() in {c.lower() for c in columns}:
