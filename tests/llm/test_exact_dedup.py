@@ -1,6 +1,8 @@
 import hashlib
 import re
 
+import pytest
+
 from tidemark.llm import exact_dedup
 from tidemark.llm.common import Workspace
 from tidemark.llm.exact_dedup import DigestIndex
@@ -17,6 +19,51 @@ def test_one_row_stays_of_equal_texts(docs):
         assert got[doc_id]["text_sha256"] == hashlib.sha256(re.sub(r"[\x20\x09-\x0D]", "", text or "").encode()).hexdigest()
 
 
+def test_index_lives_on_between_sessions(spark, docs, monkeypatch):
+    """Appends, a reopened index, another bucket count, compaction: never a digest twice."""
+    monkeypatch.setattr(exact_dedup, "MOST_WRITES", 2)
+    path = f"{Workspace(spark, 'test_index').path}/index"
+    index = DigestIndex(spark, path, 4)
+    assert exact_dedup.exact_dedup(docs([(1, "x"), (2, "y")]), index).filter("kept").count() == 2
+    index.close()
+
+    with pytest.raises(ValueError, match="4 buckets"):
+        DigestIndex(spark, path, 16)
+    again = DigestIndex(spark, path)
+    got = {r["doc_id"]: r for r in exact_dedup.exact_dedup(docs([(3, "x "), (4, "z"), (5, "zz"), (6, "z z")]), again).collect()}
+    assert (got[3]["keep_id"], got[3]["kept"], got[3]["group_size"]) == (1, False, 1)
+    assert (got[6]["keep_id"], got[6]["kept"]) == (6, True) and not got[5]["kept"] and got[4]["kept"]
+
+    exact_dedup.exact_dedup(docs([(7, "u")]), again).collect()  # the third write compacts
+    assert (again.generation, again.writes) == (1, 0)
+    again.rebucket(16)
+    again.close()
+    last = DigestIndex(spark, path)
+    assert last.buckets == 16 and last.rows().count() == last.rows().select("digest").distinct().count() == 5
+    assert exact_dedup.exact_dedup(docs([(8, "x"), (9, "u"), (10, "new")]), last).filter("kept").count() == 1
+    assert exact_dedup.filter_duplicates(docs([(11, "new"), (12, "newer"), (13, "newer")]), last).select("doc_id").collect() == [(12,)]
+    last.close()
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
+
+
+def test_index_is_not_shuffled(spark, docs):
+    index = DigestIndex(spark, f"{Workspace(spark, 'test_index').path}/index", 4)
+    exact_dedup.exact_dedup(docs([(i, f"text {i}") for i in range(50)]), index).count()
+    best = Workspace(spark, "test_index").write(exact_dedup.winners(docs([(1, "x")]).selectExpr("doc_id", "1 AS chars", "text AS digest")), "best")
+    plan = index.fresh(best)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange") == 1, plan
+    index.close()
+
+
+def test_filter_keeps_rows_and_columns(spark, docs):
+    df = docs([(1, "a"), (1, "a"), (2, " a"), (None, None), (7, "")]).selectExpr("*", "1 AS row_id", "'q' AS digest")
+    got = exact_dedup.filter_duplicates(df)
+    assert got.columns == df.columns
+    assert sorted((r["doc_id"], r["text"]) for r in got.collect()) == [(2, " a"), (7, "")]
+    assert exact_dedup.filter_duplicates(docs([])).count() == 0
+    assert exact_dedup.exact_dedup(docs([])).count() == 0
+
+
 def test_index_remembers_earlier_batches(spark, docs):
     index = DigestIndex(spark, f"{Workspace(spark, 'test_index').path}/index", 4)
     first = exact_dedup.exact_dedup(docs([(1, "x"), (2, "y")]), index)
@@ -28,6 +75,7 @@ def test_index_remembers_earlier_batches(spark, docs):
     assert again.rows().count() == 3
 
 
+def test_filter_keeps_one_of_repeated_rows(spark, docs):
 def test_filter_keeps_one_of_repeated_rows(spark, docs):
     rows = docs([(1, "a"), (1, "a"), (2, "b"), (3, None), (4, ""), (5, "q" * 300_000), (6, "q" * 300_000 + " ")])
     kept = exact_dedup.filter_duplicates(rows.selectExpr("*", "7 AS row_id", "8 AS digest"))

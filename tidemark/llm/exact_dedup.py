@@ -2,9 +2,15 @@
 
 The index is a table of one row per distinct text, bucketed and sorted by digest. A batch is
 first reduced to one winner per digest (partial aggregation runs before the shuffle, so a
-group of copies of any size costs each map task one row), then anti-joined with the index by
-a sort-merge join that reads the index bucket by bucket without shuffling it, and the rest is
-appended. Digests, ids and lengths are all that is shuffled; texts are not.
+group of copies of any size costs each map task one row) and dealt to the index's buckets; a
+sort-merge anti-join, which reads the index bucket by bucket without an exchange of its own,
+leaves the winners whose text is new, and these are appended. Digests, ids and lengths are all
+that is shuffled; texts are not.
+
+The index is a folder: `data-<g>` has the bucketed files of generation g, `log` a row for each
+write (generation, buckets, writes). The stored number of buckets holds whenever the index is
+opened; another can be had by rebucket() only. After MOST_WRITES appends the buckets are
+written anew as one sorted file each, so that joins keep reading sorted buckets.
 
 Defined cases: null text counts as empty; texts without a visible character are all equal;
 null doc_id loses a tie against any other; rows that repeat a doc_id and text count as copies
@@ -19,9 +25,12 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import SPACES, Workspace, free_name, release, splits
+from tidemark.llm.common import SPACES, Workspace, delete, exists, free_name, release, splits
 
 INDEX_SCHEMA = "digest string, keep_id long, keep_chars int, copies long"
+LOG_SCHEMA = "generation int, buckets int, writes int"
+BUCKETS = 64
+MOST_WRITES = 8
 
 
 def digest(text):
@@ -30,44 +39,83 @@ def digest(text):
 
 
 class DigestIndex:
-    """Digests seen so far, kept in `path`; opening an existing path goes on from its rows."""
+    """Digests seen so far, kept in `path`; opening an existing path goes on from its rows.
+
+    buckets: for a new index (BUCKETS if not given); for an existing one it must be left out or equal the stored number.
+    """
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int):
-        self.spark, self.path, self.buckets = spark, path, buckets
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        self.spark, self.path, self.table = spark, path, None
+        if exists(spark, f"{path}/log/_SUCCESS"):
+            last = spark.read.schema(LOG_SCHEMA).parquet(f"{path}/log").orderBy(F.desc("generation"), F.desc("writes")).first()
+            self.generation, self.buckets, self.writes = last["generation"], last["buckets"], last["writes"]
+            if buckets not in (None, self.buckets):
+                raise ValueError(f"the index has {self.buckets} buckets, not {buckets}; rebucket() changes that")
+        else:
+            self.generation, self.buckets, self.writes = 0, buckets or BUCKETS, 0
+            self._log()
+        self._open()
+
+    def _log(self) -> None:
+        row = self.spark.createDataFrame([(self.generation, self.buckets, self.writes)], LOG_SCHEMA)
+        row.coalesce(1).write.mode("append").parquet(f"{self.path}/log")
+
+    @property
+    def data(self) -> str:
+        return f"{self.path}/data-{self.generation}"
+
+    def _open(self) -> None:
+        self.close()
         self.table = f"digest_index_{uuid.uuid4().hex}"
-        spark.sql(
-            f"CREATE TABLE {self.table} ({INDEX_SCHEMA}) USING parquet OPTIONS (path '{path}') "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS"
+        self.spark.sql(
+            f"CREATE TABLE {self.table} ({INDEX_SCHEMA}) USING parquet OPTIONS (path '{self.data}') "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS"
         )
 
     def rows(self) -> DataFrame:
         return self.spark.table(self.table)
 
-    def plain_rows(self) -> DataFrame:
-        """The same rows read without their buckets: a join with many rows of one digest may then be split."""
-        return self.spark.read.schema(INDEX_SCHEMA).parquet(self.path)
-
-    def append(self, winners: DataFrame) -> None:
-        """Append the winners whose digest the index lacks; those it has keep their earlier document."""
-        fresh = winners.join(self.rows().hint("merge"), "digest", "left_anti")
-        (
-            fresh.select("digest", "keep_id", "keep_chars", "copies")
-            .repartition(self.buckets, "digest")
-            .write.bucketBy(self.buckets, "digest").sortBy("digest").mode("append").saveAsTable(self.table)
-        )
+    def fresh(self, winners: DataFrame) -> DataFrame:
+        """The winners whose digest the index lacks."""
+        return winners.repartition(self.buckets, "digest").join(self.rows().hint("merge"), "digest", "left_anti")
+
+    def earlier(self, winners: DataFrame) -> DataFrame:
+        """The index's own rows of the winners' digests."""
+        return winners.select("digest").repartition(self.buckets, "digest").join(self.rows().hint("merge"), "digest")
+
+    def append(self, fresh: DataFrame) -> None:
+        """Append rows that fresh() gave; they lie in the index's buckets already."""
+        self._put(fresh, "append")
+        self.writes += 1
+        self._log()
+        if self.writes > MOST_WRITES:
+            self.rebucket(self.buckets)
+
+    def _put(self, rows: DataFrame, mode: str) -> None:
+        rows.select("digest", "keep_id", "keep_chars", "copies").write.bucketBy(self.buckets, "digest").sortBy("digest").mode(mode).saveAsTable(self.table)
         self.spark.catalog.refreshTable(self.table)
 
+    def rebucket(self, buckets: int) -> None:
+        """Write all rows anew as one sorted file a bucket. Readers of the generation before must have ended."""
+        rows, before = self.spark.read.schema(INDEX_SCHEMA).parquet(self.data).repartition(buckets, "digest"), self.data
+        self.generation, self.buckets, self.writes = self.generation + 1, buckets, 0
+        self._open()
+        self._put(rows, "append")
+        self._log()
+        delete(self.spark, before)
+
     def close(self) -> None:
         """Forget the catalog entry; the files stay for the next session."""
-        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+        if self.table:
+            self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
 
 
-def winners(digests: DataFrame) -> DataFrame:
-    """Per digest the document that stays: most code points, then smallest doc_id, null last."""
-    best = F.min(F.struct((-F.col("chars")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id"))
+def winners(digests: DataFrame, *more: str) -> DataFrame:
+    """Per digest the row that stays: most code points, then smallest doc_id, null last, then `more`, which are kept too."""
+    best = F.min(F.struct((-F.col("chars")).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", *more))
     return (
         digests.groupBy("digest").agg(best.alias("b"), F.count(F.lit(1)).alias("copies"))
-        .select("digest", F.col("b.doc_id").alias("keep_id"), (-F.col("b.n")).alias("keep_chars"), "copies")
+        .select("digest", F.col("b.doc_id").alias("keep_id"), (-F.col("b.n")).alias("keep_chars"), "copies", *[F.col(f"b.{c}").alias(c) for c in more])
     )
 
 
@@ -84,18 +132,16 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
         "digests",
     )
     known = index or DigestIndex(spark, f"{work.path}/index", max(8, splits(docs)))
-    before = work.write(known.rows().select("digest"), "before") if index else None
-    best = winners(digests)
-    known.append(best)
-    kept = known.plain_rows().select("digest", "keep_id", "keep_chars", F.col("copies").alias("first_copies"))
-    if before is None:
-        sized = kept.select("digest", "keep_id", "keep_chars", F.col("first_copies").alias("group_size"), F.lit(True).alias("new"))
-    else:
-        sized = (
-            kept.join(best.select("digest", F.col("copies").alias("group_size")), "digest")
-            .join(before.withColumn("old", F.lit(True)), "digest", "left")
-            .select("digest", "keep_id", "keep_chars", "group_size", F.col("old").isNull().alias("new"))
-        )
+    best = work.write(winners(digests), "winners") if index else winners(digests)
+    fresh = work.write(known.fresh(best), "fresh")
+    sized = fresh.select("digest", "keep_id", "keep_chars", F.col("copies").alias("group_size"), F.lit(True).alias("new"))
+    if index:
+        old = known.earlier(best).select("digest", "keep_id", "keep_chars")
+        old = work.write(old.join(best.select("digest", F.col("copies").alias("group_size")), "digest").withColumn("new", F.lit(False)), "old")
+        sized = sized.unionByName(old)
+    known.append(fresh)
+    if not index:
+        known.close()
     out = digests.join(sized.hint("merge"), "digest").select(
         "doc_id", "keep_id", "group_size",
         (F.col("new") & F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("chars") == F.col("keep_chars"))).alias("kept"),
@@ -105,17 +151,21 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     return out
 
 
-def filter_duplicates(docs: DataFrame) -> DataFrame:
-    """The rows that stay, with all their columns.
+def filter_duplicates(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
+    """The rows that stay, with all their columns; texts that the index has already go too.
 
     Of rows that repeat one doc_id and text, one stays: the winner is chosen among rows, not
     ids. Rows get their ids by being written once, so a task that runs again sees the same ones.
     Copies are ranked on narrow rows; only one row id per distinct text meets the texts.
     """
-    row, dig = free_name(docs.columns, "row_id"), free_name(docs.columns, "digest")
-    rows = Workspace(docs.sparkSession, "exact_dedup").write(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
-    best = F.min(F.struct(
-        (-F.char_length(F.coalesce("text", F.lit("")))).alias("n"), F.col("doc_id").isNull().alias("no_id"), "doc_id", F.col(row).alias("r"),
-    ))
-    keep = rows.select("doc_id", "text", row, digest(F.col("text")).alias(dig)).groupBy(dig).agg(best.alias("b")).select(F.col("b.r").alias(row))
-    return rows.join(keep.hint("merge"), row, "left_semi").drop(row)
+    spark = docs.sparkSession
+    work = Workspace(spark, "exact_dedup")
+    row = free_name(docs.columns, "row_id")
+    rows = work.write(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    digests = rows.select("doc_id", F.char_length(F.coalesce("text", F.lit(""))).alias("chars"), digest(F.col("text")).alias("digest"), F.col(row).alias("row"))
+    known = index or DigestIndex(spark, f"{work.path}/index", max(8, splits(docs)))
+    fresh = work.write(known.fresh(winners(digests, "row")), "fresh")
+    known.append(fresh)
+    if not index:
+        known.close()
+    return rows.join(fresh.select(F.col("row").alias(row)).hint("merge"), row, "left_semi").drop(row)
