@@ -3,6 +3,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from tidemark.llm import anchors, substring_dedup, suffix_dedup
@@ -54,23 +55,57 @@ def corpus(seed, n=60):
     return rows
 
 
-@pytest.mark.parametrize("seed,size,chunk", [(1, 35, 1 << 19), (2, 35, 256), (3, 12, 300), (4, 9, 1 << 19), (5, 70, 1 << 19)])
-def test_words(docs, monkeypatch, seed, size, chunk):
-    monkeypatch.setattr(anchors, "CHUNK", chunk)
+@pytest.mark.parametrize("seed,size,gram", [(1, 35, 9), (2, 35, 4), (3, 12, 9), (4, 9, 9), (5, 70, 9)])
+def test_words(docs, seed, size, gram):
     rows = corpus(seed)
-    got = substring_dedup.remove_repeats(docs(rows).selectExpr("*", "1 AS k", "2 AS at"), size)
+    got = substring_dedup.remove_repeats(docs(rows).selectExpr("*", "1 AS k", "2 AS at"), size, gram)
     assert sorted((tuple(r) for r in got.collect()), key=str) == words_by_brute_force(rows, size)
 
 
-@pytest.mark.parametrize("seed,size,group_runs,chunk", [(1, 100, 20_000, 1 << 19), (2, 100, 2, 1 << 19), (3, 100, 20_000, 700), (4, 30, 5, 1 << 19), (5, 16, 20_000, 1 << 19)])
-def test_bytes(docs, monkeypatch, seed, size, group_runs, chunk):
-    monkeypatch.setattr(anchors, "CHUNK", chunk)
-    monkeypatch.setattr(suffix_dedup, "RUNS_AT_ONCE", 16)
+@pytest.mark.parametrize("seed,size,gathered,gram", [(1, 100, 1024, 32), (2, 100, 2, 16), (3, 100, 0, 32), (4, 30, 5, 16), (5, 16, 1024, 16)])
+def test_bytes(docs, seed, size, gathered, gram):
     rows = corpus(seed)
-    got = suffix_dedup.remove_earlier(docs(rows), size, group_runs=group_runs)
+    got = suffix_dedup.remove_earlier(docs(rows), size, gram, gathered)
     assert sorted((tuple(r) for r in got.collect()), key=str) == bytes_by_brute_force(rows, size)
 
 
+@pytest.mark.parametrize("chunk", [256, 700, 1 << 19])
+def test_anchors_of_long_texts(monkeypatch, chunk):
+    """However texts are cut, equal windows have equal anchors at equal places, and each window is in one run."""
+    monkeypatch.setattr(anchors, "CHUNK", chunk)
+    scheme = anchors.Scheme("bytes", 100, 32)
+    texts = [(k, d, (t or "").encode()) for k, (d, t) in enumerate(r for r in corpus(7) if r[0] is not None)]
+    seen, windows = {}, set()
+    for tokens, pieces in anchors.chunks(texts, "bytes", 100):
+        for a, _, _, k, at, no in zip(*(c.tolist() for c in anchors.anchors_of(tokens, pieces, scheme)), strict=True):
+            for i in range(no >> anchors.PLACE_BITS):
+                assert (k, at + i) not in windows
+                windows.add((k, at + i))
+                key = (a, (no & ((1 << anchors.PLACE_BITS) - 1)) - i)
+                assert seen.setdefault(texts[k][2][at + i : at + i + 100], key) == key
+    assert windows == {(k, i) for k, _, t in texts for i in range(len(t) - 99)}
+
+
+def test_radix_passes_order_suffixes():
+    raw = b"banana bandana banana banded " * 6
+    text, at = np.frombuffer(raw, np.uint8), np.arange(len(raw) - 20)
+    alive, group = suffix_dedup.radix_groups(text, at, np.zeros(len(at), np.int64), 20)
+    found = [raw[i : i + 20] for i in alive]
+    assert found == sorted(found) and [a == b for a, b in zip(found, found[1:])] == (np.diff(group) == 0).tolist()
+    assert Counter(found) == {s: n for s, n in Counter(raw[i : i + 20] for i in at).items() if n > 1}
+
+
+def test_many_rows_without_id(docs):
+    """Rows that share an id, or have none, are no hot key: each is a document of its own."""
+    r = random.Random(5)
+    texts = [" ".join(r.choices(["red", "blue", "tin", "oak", "sun"], k=60)) for _ in range(300)]
+    for doc_id in (None, 7):
+        rows = [(doc_id, t) for t in texts]
+        got = substring_dedup.remove_repeats(docs(rows), 8, 4)
+        assert sorted((tuple(r) for r in got.collect()), key=str) == words_by_brute_force(rows, 8)
+        assert suffix_dedup.remove_earlier(docs(rows)).count() == 300
+
+
 def test_repeated_rows_and_nothing(docs):
     same = "one two three four five six seven eight nine ten " * 12
     rows = [(1, same), (1, same), (2, "x")]
@@ -83,7 +118,10 @@ def test_repeated_rows_and_nothing(docs):
     assert suffix_dedup.remove_earlier(docs([])).count() == 0
 
 
-def test_levels_cover_every_window():
-    for length in (12, 35, 70, 200):
-        for m in substring_dedup.levels(9, length):
-            assert all(i + m <= length or i + 9 >= m for i in range(length - 9 + 1))
+def test_levels_double():
+    assert substring_dedup.levels(9, 35) == [18, 35] and substring_dedup.levels(9, 70) == [18, 36, 70]
+    assert substring_dedup.first_offsets([18, 35]).tolist() == [0, 17]
+    for length in (9, 12, 35, 70, 200):
+        sizes = substring_dedup.levels(9, length)
+        covered = {o + i for o in substring_dedup.first_offsets(sizes).tolist() for i in range(sizes[0])}
+        assert covered == set(range(length))

@@ -7,13 +7,13 @@ neighbouring windows mostly share theirs: one anchor stands for a run of windows
 start at consecutive tokens. Shuffling anchors instead of windows moves a few rows per
 hundred tokens and loses no pair of equal windows.
 
-Texts are first dealt by document into a bucketed table of compressed texts; every later
-step that needs texts again joins that table by document without shuffling it.
+Texts get a row id k and are dealt by it into a bucketed table of compressed texts; every later
+step that needs texts again joins that table by k without shuffling it. Nothing is dealt by
+doc_id, so rows that repeat one, or have none, are no hot key.
 """
 
 from __future__ import annotations
 
-from functools import lru_cache
 from typing import NamedTuple
 
 import numpy as np
@@ -22,119 +22,52 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace, splits
+from tidemark.llm.common import Workspace, lean, splits
+from tidemark.llm.hashing import CHUNK, Hashes, Rolling, decompress, mix, tokens_of
 
-CHUNK = 1 << 19  # tokens hashed at once
 PLACE_BITS = 20  # of the place within a chunk, kept beside a gram's hash
-POS_BITS = 40  # `at` holds the copy of a document id above and the token position below
-BASE = 0x9E3779B97F4A7C15
 NO_ID = -(2**63)
 
-Hashes = np.ndarray
+ROW = ("k", "d", "z")  # of the table of texts: row id, doc_id (null: the least long), compressed text
 
 
 class Scheme(NamedTuple):
     unit: str  # "words" or "bytes"
     length: int
     gram: int
-    levels: tuple[int, ...] = ()  # lengths between gram and length at which both sides of an anchor are hashed too
 
     @property
     def names(self) -> list[str]:
-        return ["a", "c", "k", "at", "no", *(f"{side}{m}" for m in self.levels for side in "rl")]
+        return ["a", "c", "d", "k", "at", "no"]
 
     @property
     def schema(self) -> str:
         return ", ".join(f"{n} long" for n in self.names)
 
 
-def mix(x: Hashes) -> Hashes:
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
-    x = (x ^ (x >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
-    return x ^ (x >> np.uint64(33))
-
-
-@lru_cache(4)
-def _powers(base: int, n: int) -> tuple[Hashes, Hashes]:
-    out = []
-    for b in (base, pow(base, -1, 2**64)):
-        p = np.full(n, b, np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
-
-
-class Rolling:
-    """Hashes of any spans of a token array: sums of token times power, taken back to the span's start."""
-
-    def __init__(self, tokens: Hashes, base: int = BASE):
-        room = max(CHUNK + 4096, 1 << len(tokens).bit_length())
-        power, self.back = _powers(base | 1, room)
-        self.sums = np.zeros(len(tokens) + 1, np.uint64)
-        np.cumsum(tokens * power[: len(tokens)], out=self.sums[1:])
-
-    def span(self, start, end) -> Hashes:
-        return mix((self.sums[end] - self.sums[start]) * self.back[start])
-
-
-@lru_cache(1)
-def _byte_values() -> Hashes:
-    return mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(BASE))
-
-
-def word_bounds(raw: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end bytes of the words of UTF-8 bytes."""
-    space = (raw == 32) | ((raw >= 9) & (raw <= 13))
-    edges = np.diff(np.concatenate([[True], space, [True]]).astype(np.int8))
-    return np.flatnonzero(edges == -1), np.flatnonzero(edges == 1)
-
-
-def tokens_of(text: bytes, unit: str) -> Hashes:
-    raw = np.frombuffer(text, np.uint8)
-    values = _byte_values()[raw]
-    if unit == "bytes":
-        return values
-    start, end = word_bounds(raw)
-    return Rolling(values).span(start, end)
-
-
-def decompress(z: bytes) -> bytes:
-    return zstandard.ZstdDecompressor().decompress(z) if z else b""
-
-
 def store_texts(docs: DataFrame, work: Workspace) -> DataFrame:
-    """Bucketed table (k, copy, doc_id, z): k is doc_id (null: the least long), copy numbers its rows, z the text compressed."""
+    """Bucketed table (k, d, doc_id, z)."""
 
     def pack(batches):
         press = zstandard.ZstdCompressor(level=1)
         for b in batches:
             z = [press.compress(t.encode()) if t else b"" for t in b.column("text").to_pylist()]
-            k = [NO_ID if d is None else d for d in b.column("doc_id").to_pylist()]
-            yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), b.column("doc_id"), pa.array(z, pa.binary())], ["k", "doc_id", "z"])
-
-    def number(batches):
-        last, copy = None, 0
-        for b in batches:
-            copies = []
-            for k in b.column("k").to_pylist():
-                last, copy = k, copy + 1 if k == last else 0
-                copies.append(copy)
-            yield pa.RecordBatch.from_arrays([b.column("k"), pa.array(copies, pa.int32()), b.column("doc_id"), b.column("z")], ["k", "copy", "doc_id", "z"])
+            yield pa.RecordBatch.from_arrays([b.column("k"), b.column("doc_id").fill_null(NO_ID), b.column("doc_id"), pa.array(z, pa.binary())], ["k", "d", "doc_id", "z"])
 
     n = max(8, splits(docs))
-    packed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(pack, "k long, doc_id long, z binary")
-    dealt = packed.repartition(n, "k").sortWithinPartitions("k", "z").mapInArrow(number, "k long, copy int, doc_id long, z binary")
-    return work.write_bucketed(dealt, "texts", n, "k")
+    numbered = docs.select(F.monotonically_increasing_id().alias("k"), F.col("doc_id").cast("long"), "text")
+    packed = numbered.mapInArrow(lean(pack), "k long, d long, doc_id long, z binary")
+    return work.write_bucketed(packed.repartition(n, "k"), "texts", n, "k")
 
 
 def chunks(rows, unit: str, length: int):
-    """(tokens, pieces) of joined texts of rows (k, copy, text), CHUNK tokens or few more at once.
+    """(tokens, pieces) of joined texts of rows (k, d, text), CHUNK tokens or few more at once.
 
-    A piece is (k, copy, token of the text at which it begins, its start and end in tokens). A text
+    A piece is (k, d, token of the text at which it begins, its start and end in tokens). A text
     longer than CHUNK is cut into pieces that overlap by length - 1: each window is in one piece.
     """
     waiting, pieces, size = [], [], 0
-    for k, copy, text in rows:
+    for k, d, text in rows:
         tokens = tokens_of(text, unit)
         for begin in range(0, max(1, len(tokens) - length + 1), CHUNK):
             part = tokens[begin : begin + CHUNK + length - 1]
@@ -144,7 +77,7 @@ def chunks(rows, unit: str, length: int):
                 yield np.concatenate(waiting), pieces
                 waiting, pieces, size = [], [], 0
             waiting.append(part)
-            pieces.append((k, copy, begin, size, size + len(part)))
+            pieces.append((k, d, begin, size, size + len(part)))
             size += len(part)
     if waiting:
         yield np.concatenate(waiting), pieces
@@ -168,8 +101,8 @@ def anchors_of(tokens: Hashes, pieces, scheme: Scheme) -> list[np.ndarray]:
     """Columns of scheme.names for the anchors of joined texts.
 
     a: hash of the gram. c: hash of all tokens of the run's windows, and of their number and the
-    anchor's place. k, at: document and first window. no: number of windows << 20 | the anchor's
-    place from the first window. r and l: hashes of m tokens from the anchor on, and of m up to its end, 0 where not there.
+    anchor's place. d, k, at: document, row and first window. no: number of windows << 20 | the
+    anchor's place from the first window.
     """
     length, gram = scheme.length, scheme.gram
     roll = Rolling(tokens)
@@ -188,23 +121,14 @@ def anchors_of(tokens: Hashes, pieces, scheme: Scheme) -> list[np.ndarray]:
     real = inside[first]
     first, count = first[real], count[real]
     place, own = at[first], own[first]
-    a = grams[place]
     no = count << PLACE_BITS | (place - first)
     c = mix(roll.span(first, first + count - 1 + length) ^ mix(no.astype(np.uint64)))
-    k = np.array([p[0] for p in pieces], np.int64)[own]
-    base = np.array([(p[1] << POS_BITS) + p[2] - p[3] for p in pieces], np.int64)[own]
-    out = [a.view(np.int64), c.view(np.int64), k, base + first, no]
-    for m in scheme.levels:
-        right, left = place + m, place + gram - m
-        ok = right <= end[own]
-        out.append(np.where(ok, roll.span(place, np.minimum(right, n)), 0).view(np.int64))
-        ok = left >= start[own]
-        out.append(np.where(ok, roll.span(np.maximum(left, 0), place + gram), 0).view(np.int64))
-    return out
+    k, d, base = (np.array(x, np.int64)[own] for x in ([p[0] for p in pieces], [p[1] for p in pieces], [p[2] - p[3] for p in pieces]))
+    return [grams[place].view(np.int64), c.view(np.int64), d, k, base + first, no]
 
 
 def texts_in(batch):
-    return ((k, copy, decompress(z)) for k, copy, z in zip(*(batch.column(c).to_pylist() for c in ("k", "copy", "z")), strict=True))
+    return ((k, d, decompress(z)) for k, d, z in zip(*(batch.column(c).to_pylist() for c in ROW), strict=True))
 
 
 def anchors(texts: DataFrame, scheme: Scheme) -> DataFrame:
@@ -214,7 +138,7 @@ def anchors(texts: DataFrame, scheme: Scheme) -> DataFrame:
                 columns = [pa.array(x) for x in anchors_of(tokens, pieces, scheme)]
                 yield pa.RecordBatch.from_arrays(columns, scheme.names)
 
-    return texts.select("k", "copy", "z").mapInArrow(run, scheme.schema)
+    return texts.select(*ROW).mapInArrow(lean(run), scheme.schema)
 
 
 def repeated(rows: DataFrame, *keys: str) -> DataFrame:
@@ -226,11 +150,19 @@ def repeated(rows: DataFrame, *keys: str) -> DataFrame:
     return rows.groupBy(*keys).count().filter("count > 1").drop("count")
 
 
+def repeated_anchors(texts: DataFrame, scheme: Scheme, work: Workspace) -> DataFrame:
+    """Anchors whose gram is an anchor elsewhere too."""
+    rows = work.write(anchors(texts, scheme), "anchors")
+    again = work.write(repeated(rows.select("a"), "a"), "again")
+    out = work.write(rows.join(again.hint("merge"), "a", "left_semi"), "repeated")
+    work.drop("again", "anchors")
+    return out
+
+
 def context_groups(rows: DataFrame) -> DataFrame:
-    """Per equal run of windows (a, c, no): its number of occurrences n and the first (k, at)."""
-    return rows.groupBy("a", "c", "no").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "at")).alias("first")).select(
-        "a", "c", "no", "n", F.col("first.k").alias("k"), F.col("first.at").alias("at")
-    )
+    """Per equal run of windows (a, c, no): its number of occurrences n and the first (d, k, at)."""
+    first = F.min(F.struct("d", "k", "at")).alias("first")
+    return rows.groupBy("a", "c", "no").agg(F.count(F.lit(1)).alias("n"), first).select("a", "c", "no", "n", "first.*")
 
 
 def shared_anchors(groups: DataFrame, work: Workspace) -> DataFrame:
@@ -239,27 +171,25 @@ def shared_anchors(groups: DataFrame, work: Workspace) -> DataFrame:
     return groups.join(many.hint("merge"), "a")
 
 
-def by_document(rows: DataFrame, *fields: str) -> DataFrame:
-    """(k, items): what concerns one document, as large as the document."""
+def by_text(rows: DataFrame, *fields: str) -> DataFrame:
+    """(k, items): what concerns one text, as large as the text."""
     return rows.groupBy("k").agg(F.collect_list(F.struct(*fields)).alias("items"))
 
 
-def covered(items, copy: int, n_tokens: int, length: int) -> np.ndarray:
+def covered(items, n_tokens: int, length: int) -> np.ndarray:
     """Mask of the tokens of one text that the windows in items, (at, number), cover."""
     edge = np.zeros(n_tokens + 1, np.int64)
     if len(items):
-        at, n = items[:, 0], items[:, 1]
-        mine = at >> POS_BITS == copy
-        start = at[mine] & ((1 << POS_BITS) - 1)
-        np.add.at(edge, start, 1)
-        np.add.at(edge, start + n[mine] - 1 + length, -1)
+        np.add.at(edge, items[:, 0], 1)
+        np.add.at(edge, items[:, 0] + items[:, 1] - 1 + length, -1)
     return np.cumsum(edge[:-1]) > 0
 
 
 def item_arrays(column) -> list[np.ndarray]:
-    """Per row of a list<struct<at, n>> column: an array of two columns; none for null."""
+    """Per row of a list<struct<long, ...>> column: an array of a column per field; none for null."""
     flat = column.flatten()
-    both = np.stack([flat.field(0).to_numpy(), flat.field(1).to_numpy()], axis=1) if len(flat) else np.zeros((0, 2), np.int64)
+    width = column.type.value_type.num_fields
+    both = np.stack([flat.field(i).to_numpy() for i in range(width)], axis=1) if len(flat) else np.zeros((0, width), np.int64)
     sizes = [x or 0 for x in column.value_lengths().to_pylist()]
     ends = np.cumsum(sizes)
     return [both[e - s : e] for e, s in zip(ends.tolist(), sizes, strict=True)]

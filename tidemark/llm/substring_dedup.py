@@ -1,12 +1,13 @@
 """Substring dedup over words: remove what windows cover whose words also occur elsewhere.
 
-Level-wise doubling. A window of WORDS words holds an anchor, a gram chosen by content (see
-anchors). The first level keeps anchors whose gram of GRAM words occurs more than once. Each
-further level doubles the length: an anchor stays if the twice as long words on its right or
-on its left occur more than once (every window holds one of the two). When twice the length
-reaches WORDS, the windows themselves are judged: runs of windows that are equal as a whole
-by one aggregate, and single windows only where runs that share an anchor differ. Levels
-only ever handle survivors of the level before, and end when none survive.
+Level-wise doubling. The first level is grams of GRAM words, thinned to the anchors that windows
+of WORDS words choose by content (see anchors): an anchor that occurs once stops here. Runs of
+windows that are equal as a whole are settled by one aggregate with partial counts, so copies go
+on as one run; of these, only runs whose anchor other runs share go on. Each further level
+doubles the length: its candidates are the windows of twice the length both of whose halves
+survived, and those whose words occur again survive. The last level joins two overlapping halves
+into WORDS words and is keyed by the pair of their hashes; what repeats there is removed. Levels
+only handle survivors of the level before, and end when none survive.
 
 Defined cases: null or empty texts have no words; a text of fewer words than a window loses
 nothing; windows may overlap and repeat within one text; rows that repeat a doc_id are
@@ -24,82 +25,94 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import anchors as A
-from tidemark.llm.common import Workspace
+from tidemark.llm.common import Workspace, lean
+from tidemark.llm.hashing import Rolling, decompress, tokens_of
 
 WORDS = 35
 GRAM = 9
 
 
-def levels(gram: int, length: int) -> tuple[int, ...]:
-    """Doubled lengths at which each window of `length` is sure to hold the right or left words of its anchor."""
-    out, m = [], 2 * gram
-    while 2 * m <= length + gram + 1:
-        out.append(m)
-        m *= 2
-    return tuple(out)
+def levels(gram: int, length: int) -> list[int]:
+    """Lengths after the first level: doubled, the last one `length`."""
+    out = []
+    while gram < length:
+        gram = min(2 * gram, length)
+        out.append(gram)
+    return out or [length]
 
 
-def survivors(texts: DataFrame, scheme: A.Scheme, work: Workspace) -> DataFrame:
-    """Anchors whose words repeat at every level."""
-    rows = A.anchors(texts, scheme)
-    again = work.write(A.repeated(A.anchors(texts, scheme).select("a"), "a"), "again")
-    rows = work.write(rows.join(again.hint("merge"), "a", "left_semi"), "level0")
-    work.drop("again")
-    for i, m in enumerate(scheme.levels, 1):
-        if rows.isEmpty():
-            break
-        right = work.write(A.repeated(rows.filter(f"r{m} <> 0"), f"r{m}").withColumn("right", F.lit(True)), f"right{i}")
-        left = work.write(A.repeated(rows.filter(f"l{m} <> 0"), f"l{m}").withColumn("left", F.lit(True)), f"left{i}")
-        longer = rows.join(right.hint("merge"), f"r{m}", "left").join(left.hint("merge"), f"l{m}", "left").filter("right OR left")
-        rows = work.write(longer.select(*scheme.names), f"level{i}")
-        work.drop(f"level{i - 1}", f"right{i}", f"left{i}")
-    return rows
+def first_offsets(sizes: list[int]) -> np.ndarray:
+    """Where the windows of sizes[0] begin from which a window of sizes[-1] is joined."""
+    out = {0}
+    for small, large in zip(sizes[-2::-1], sizes[:0:-1], strict=True):
+        out = {o + x for o in out for x in (0, large - small)}
+    return np.array(sorted(out))
+
 
+def _windows(size: int, half: int, offsets: np.ndarray | None):
+    """Rows (h1, h2, k, at) of windows of `size` words, keyed by their first and last `half` words.
 
-def _windows(scheme: A.Scheme):
-    """Rows (h1, h2, k, at) of the windows of the runs in items."""
+    offsets: items are runs (at, number of windows), and windows begin at these offsets from theirs.
+    Without offsets items are the places of surviving windows of `half` words, and windows begin where both halves survived.
+    """
     names = ["h1", "h2", "k", "at"]
 
     def run(batches):
         for b in batches:
-            rows = zip(b.column("k").to_pylist(), b.column("copy").to_pylist(), b.column("z").to_pylist(), A.item_arrays(b.column("items")), strict=True)
-            for k, copy, z, items in rows:
-                items = items[items[:, 0] >> A.POS_BITS == copy]
-                if not len(items):
+            for k, z, items in zip(b.column("k").to_pylist(), b.column("z").to_pylist(), A.item_arrays(b.column("items")), strict=True):
+                if offsets is None:
+                    alive = np.unique(items[:, 0])
+                    at = alive[np.isin(alive + (size - half), alive, assume_unique=True)]
+                else:
+                    n = items[:, 1]
+                    ends = np.cumsum(n)
+                    starts = np.repeat(items[:, 0] - (ends - n), n) + np.arange(ends[-1])
+                    at = np.unique(starts[:, None] + offsets)
+                if not len(at):
                     continue
-                tokens = A.tokens_of(A.decompress(z), scheme.unit)
-                start, n = items[:, 0] & ((1 << A.POS_BITS) - 1), items[:, 1] >> A.PLACE_BITS
-                ends = np.cumsum(n)
-                at = np.repeat(start - (ends - n), n) + np.arange(ends[-1])
-                first, second = A.Rolling(tokens), A.Rolling(A.mix(tokens), A.BASE ^ 0x5555)
-                h = [r.span(at, at + scheme.length).view(np.int64) for r in (first, second)]
-                yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), pa.array(np.full(len(at), k)), pa.array(at + (copy << A.POS_BITS))], names)
+                roll = Rolling(tokens_of(decompress(z), "words"))
+                h = [roll.span(s, s + half).view(np.int64) for s in (at, at + (size - half))]
+                yield pa.RecordBatch.from_arrays([pa.array(h[0]), pa.array(h[1]), pa.array(np.full(len(at), k)), pa.array(at)], names)
 
     return run
 
 
-def window_rows(texts: DataFrame, runs: DataFrame, scheme: A.Scheme) -> DataFrame:
-    """One row per window of the runs (k, at, no)."""
-    lists = A.by_document(runs, "at", "no")
-    return texts.join(lists.hint("merge"), "k").select("k", "copy", "z", "items").mapInArrow(_windows(scheme), "h1 long, h2 long, k long, at long")
+def survivors(texts: DataFrame, lists: DataFrame, size: int, half: int, offsets: np.ndarray | None, work: Workspace) -> DataFrame:
+    """(k, at): candidates of one level whose words occur more than once."""
+    found = texts.join(lists.hint("merge"), "k").select("k", "z", "items").mapInArrow(lean(_windows(size, half, offsets)), "h1 long, h2 long, k long, at long")
+    found = work.write(found, f"windows{size}")
+    again = work.write(A.repeated(found, "h1", "h2"), f"again{size}")
+    alive = work.write(found.join(again.hint("merge"), ["h1", "h2"], "left_semi").select("k", "at"), f"level{size}")
+    work.drop(f"windows{size}", f"again{size}")
+    return alive
 
 
 def repeated_spans(texts: DataFrame, scheme: A.Scheme, work: Workspace) -> DataFrame:
-    """(k, at, n): runs of windows whose words start elsewhere too."""
-    rows = survivors(texts, scheme, work).select("a", "c", "k", "at", "no")
+    """(k, items of (at, n)): runs of windows whose words start elsewhere too."""
+    rows = A.repeated_anchors(texts, scheme, work)
     groups = work.write(A.context_groups(rows), "groups")
     whole = rows.join(groups.filter("n > 1").select("a", "c", "no").hint("merge"), ["a", "c", "no"], "left_semi")
-    single = work.write(window_rows(texts, A.shared_anchors(groups, work), scheme), "windows")
-    again = work.write(A.repeated(single, "h1", "h2"), "windows_again")
-    twice = single.join(again.hint("merge"), ["h1", "h2"], "left_semi")
-    spans = whole.select("k", "at", F.shiftright("no", A.PLACE_BITS).alias("n")).unionByName(twice.select("k", "at", F.lit(1).cast("long").alias("n")))
-    return work.write(A.by_document(spans, "at", "n"), "spans")
+    whole = work.write(whole.select("k", "at", F.shiftright("no", A.PLACE_BITS).alias("n")), "whole")
+    work.drop("repeated")
+    number = F.shiftright("no", A.PLACE_BITS).alias("number")
+    lists = work.write(A.by_text(A.shared_anchors(groups, work).select("k", "at", number), "at", "number"), "runs")
+
+    sizes = levels(scheme.gram, scheme.length)
+    half, offsets = sizes[0], first_offsets(sizes)
+    for size in sizes:
+        alive = survivors(texts, lists, size, half, offsets, work)
+        half, offsets = size, None
+        if size == sizes[-1] or alive.isEmpty():
+            break
+        lists = work.write(A.by_text(alive, "at"), f"lists{size}")
+    last = alive if size == sizes[-1] else alive.limit(0)
+    spans = whole.unionByName(last.withColumn("n", F.lit(1).cast("long")))
+    return work.write(A.by_text(spans, "at", "n"), "spans")
 
 
 def remove_repeats(docs: DataFrame, words: int = WORDS, gram: int = GRAM, with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_words, n_removed, kept_sha256 (and with_text the kept words, joined by a space)."""
-    gram = min(gram, words)
-    scheme = A.Scheme("words", words, gram, levels(gram, words))
+    scheme = A.Scheme("words", words, min(gram, words))
     work = Workspace(docs.sparkSession, "substring_dedup")
     texts = A.store_texts(docs, work)
     spans = repeated_spans(texts, scheme, work)
@@ -108,15 +121,14 @@ def remove_repeats(docs: DataFrame, words: int = WORDS, gram: int = GRAM, with_t
     def cut(batches):
         for b in batches:
             out = [[] for _ in names]
-            for doc_id, copy, z, items in zip(b.column("doc_id").to_pylist(), b.column("copy").to_pylist(), b.column("z").to_pylist(), A.item_arrays(b.column("items")), strict=True):
-                text = A.decompress(z)
-                found = text.split()
-                gone = A.covered(items, copy, len(found), words)
+            for doc_id, z, items in zip(b.column("doc_id").to_pylist(), b.column("z").to_pylist(), A.item_arrays(b.column("items")), strict=True):
+                found = decompress(z).split()
+                gone = A.covered(items, len(found), words)
                 kept = b" ".join(w for w, x in zip(found, gone.tolist(), strict=True) if not x) if gone.any() else b" ".join(found)
                 for column, value in zip(out, (doc_id, len(found), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode()), strict=False):
                     column.append(value)
             types = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=False)], names)
 
-    joined = texts.join(spans.hint("merge"), "k", "left").select("doc_id", "copy", "z", "items")
-    return joined.mapInArrow(cut, "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else ""))
+    joined = texts.join(spans.hint("merge"), "k", "left").select("doc_id", "z", "items")
+    return joined.mapInArrow(lean(cut), "doc_id long, n_words long, n_removed long, kept_sha256 string" + (", kept string" if with_text else ""))

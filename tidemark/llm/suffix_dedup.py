@@ -2,17 +2,20 @@
 
 Depth-limited radix sort, most significant digit first. Suffixes are ordered only through
 LENGTH bytes; after that many, equal groups are exactly the repeated strings. The first digit
-is the suffix's anchor, a gram chosen by content (see anchors), so the shuffle by it deals out
-runs of suffixes instead of one row per byte; groups of one are dropped at once. The second
-digit is the whole run: equal runs are settled by one aggregate with partial minima, which a
-group of any number of copies passes as one row per map task. Only where runs with one anchor
-differ are suffixes ordered singly: by passes over DIGIT bytes within an anchor and place,
-dropping groups of one after each pass. Anchors shared by more than GROUP_RUNS different runs
-are not gathered in a task; their suffixes are aggregated by the hash of LENGTH bytes.
+is the suffix's anchor, a gram chosen by content, and its place (see anchors), so the shuffle by it
+deals out runs of suffixes instead of one row per byte; anchors that occur once are dropped at
+once, and runs that are equal as a whole go on as one, their later copies settled by an aggregate
+with partial minima. Within an anchor and place suffixes are sorted by digits of DIGIT bytes, as
+big-endian numbers, from the first byte on; groups of one are dropped after each pass.
+
+An anchor's runs are sorted in one task's arrays only up to GATHERED runs. The suffixes of larger
+ones are sorted by Spark: their further digits deal them to ranges, so that one anchor spreads over
+as many tasks as it needs, and each range is sorted by all bytes; a stream over the
+order, which holds one suffix at a time, tells equal neighbours. Both ways compare all bytes.
 
 Defined cases: null text is empty; a text shorter than LENGTH loses nothing; rows that repeat
-a doc_id are documents of their own, ordered by their stored bytes; a null doc_id comes before
-all others; overlaps count; an empty table gives an empty result; other columns are ignored.
+a doc_id are documents of their own, ordered as the table's splits and rows are; a null doc_id comes
+before all others; overlaps count; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,25 +28,32 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm import anchors as A
-from tidemark.llm.common import Workspace
-from tidemark.llm.substring_dedup import survivors, window_rows
+from tidemark.llm.common import Workspace, lean
+from tidemark.llm.hashing import decompress
 
 LENGTH = 100
-GRAM = 16
-DIGIT = 25
-GROUP_RUNS = 20_000
+GRAM = 32
+DIGIT = 8
+GATHERED = 1024
 RUNS_AT_ONCE = 4096
 
 
-def radix_groups(text: np.ndarray, at: np.ndarray, group: np.ndarray, length: int, digit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes equal through `length` bytes: (indices into at, group numbers), groups of one left out.
+def digits(text: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
+    """The `size` bytes (DIGIT at most) at each place as a number, first byte most significant."""
+    out = np.zeros(len(at), np.uint64)
+    for i in range(size):
+        out = out << np.uint64(8) | text[at + i]
+    return out
+
+
+def radix_groups(text: np.ndarray, at: np.ndarray, group: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """Suffixes equal through `length` bytes, in order: (indices into at, group numbers), groups of one left out.
 
-    text: joined bytes. at: where each suffix begins. group: what is known to differ already.
+    text: joined bytes. at: where each suffix begins. group: the first digit.
     """
-    roll = A.Rolling(A.tokens_of(text.tobytes(), "bytes"))
     alive = np.arange(len(at))
-    for depth in range(0, length, digit):
-        value = roll.span(at[alive] + depth, at[alive] + min(depth + digit, length))
+    for depth in range(0, length, DIGIT):
+        value = digits(text, at[alive] + depth, min(DIGIT, length - depth))
         order = np.lexsort((value, group))
         g, v = group[order], value[order]
         new = np.ones(len(order), bool)
@@ -56,13 +66,13 @@ def radix_groups(text: np.ndarray, at: np.ndarray, group: np.ndarray, length: in
     return alive, group
 
 
-def _sort_runs(length: int, digit: int):
-    """From runs (a, k, at, no, bytes) sorted by anchor: spans (k, at, n) of suffixes that start earlier too."""
+def _sort_runs(length: int):
+    """From runs (a, d, k, at, no, bytes) sorted by anchor: spans (k, at, n) of suffixes that start earlier too."""
     names = ["k", "at", "n"]
 
     def settle(rows):
-        a, k, at, no = (np.array([r[i] for r in rows], np.int64) for i in range(4))
-        raw = [r[4] for r in rows]
+        a, d, k, at, no = (np.array([r[i] for r in rows], np.int64) for i in range(5))
+        raw = [r[5] for r in rows]
         begin = np.cumsum([0, *map(len, raw[:-1])])
         n, place = no >> A.PLACE_BITS, no & ((1 << A.PLACE_BITS) - 1)
         ends = np.cumsum(n)
@@ -70,10 +80,10 @@ def _sort_runs(length: int, digit: int):
         run = np.repeat(np.arange(len(rows)), n)
         anchor = np.cumsum(np.append(True, a[1:] != a[:-1]))[run]
         group = anchor * (1 << A.PLACE_BITS) + place[run] - step  # equal suffixes have the anchor at the same place
-        alive, same = radix_groups(np.frombuffer(b"".join(raw), np.uint8), begin[run] + step, group, length, digit)
+        alive, same = radix_groups(np.frombuffer(b"".join(raw), np.uint8), begin[run] + step, group, length)
         if not len(alive):
             return None
-        order = np.lexsort((at[run[alive]] + step[alive], k[run[alive]], same))
+        order = np.lexsort((at[run[alive]] + step[alive], k[run[alive]], d[run[alive]], same))
         alive, same = alive[order], same[order]
         late = alive[np.append(False, same[1:] == same[:-1])]  # all but the first of each group
         late.sort()
@@ -87,7 +97,7 @@ def _sort_runs(length: int, digit: int):
     def work(batches):
         waiting = []
         for b in batches:
-            for row in zip(*(b.column(c).to_pylist() for c in ("a", "k", "at", "no", "bytes")), strict=True):
+            for row in zip(*(b.column(c).to_pylist() for c in ("a", "d", "k", "at", "no", "bytes")), strict=True):
                 if len(waiting) >= RUNS_AT_ONCE and row[0] != waiting[-1][0]:
                     if (out := settle(waiting)) is not None:
                         yield out
@@ -99,65 +109,91 @@ def _sort_runs(length: int, digit: int):
     return work
 
 
-def _run_bytes(length: int):
-    names = ["a", "k", "at", "no", "bytes"]
+def _equal_neighbours(batches):
+    """From suffixes (a, place, bytes, d, k, at) in that order: spans (k, at, 1) of all but the first of equal ones."""
+    last = None
+    for b in batches:
+        keys = list(zip(*(b.column(c).to_pylist() for c in ("a", "place", "bytes")), strict=True))
+        late = [i for i, key in enumerate(keys) if key == (keys[i - 1] if i else last)]
+        last = keys[-1] if keys else last
+        found = b.take(pa.array(late, pa.int64()))
+        yield pa.RecordBatch.from_arrays([found.column("k"), found.column("at"), pa.array([1] * len(late), pa.int64())], ["k", "at", "n"])
+
+
+def _cut_runs(length: int, single: bool):
+    """The bytes of the runs in items (a, at, no): one row a run, or, single, one a suffix with its place."""
+    names = ["a", "place" if single else "no", "bytes", "d", "k", "at"]
+    place_of = (1 << A.PLACE_BITS) - 1
 
     def run(batches):
         for b in batches:
             out = [[] for _ in names]
-            columns = (b.column(c).to_pylist() for c in ("k", "copy", "z", "items"))
-            for k, copy, z, items in zip(*columns, strict=True):
-                mine = [i for i in items if i["at"] >> A.POS_BITS == copy]
-                text = A.decompress(z) if mine else b""
-                for i in mine:
-                    start = i["at"] & ((1 << A.POS_BITS) - 1)
-                    piece = text[start : start + (i["no"] >> A.PLACE_BITS) - 1 + length]
-                    for column, value in zip(out, (i["a"], k, i["at"], i["no"], piece), strict=True):
-                        column.append(value)
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if x is out[4] else pa.int64()) for x in out], names)
+            for k, d, z, items in zip(*(b.column(c).to_pylist() for c in A.ROW), A.item_arrays(b.column("items")), strict=True):
+                text = decompress(z)
+                for a, at, no in items.tolist():
+                    n = no >> A.PLACE_BITS
+                    if single:
+                        rows = [(a, (no & place_of) - i, text[at + i : at + i + length], d, k, at + i) for i in range(n)]
+                    else:
+                        rows = [(a, no, text[at : at + n - 1 + length], d, k, at)]
+                    for row in rows:
+                        for column, value in zip(out, row, strict=True):
+                            column.append(value)
+                if len(out[0]) > RUNS_AT_ONCE:
+                    yield batch(out)
+                    out = [[] for _ in names]
+            yield batch(out)
+
+    def batch(out):
+        return pa.RecordBatch.from_arrays([pa.array(x, pa.binary() if i == 2 else pa.int64()) for i, x in enumerate(out)], names)
 
     return run
 
 
-def earlier_spans(texts: DataFrame, scheme: A.Scheme, work: Workspace, group_runs: int = GROUP_RUNS) -> DataFrame:
+def cut_runs(texts: DataFrame, runs: DataFrame, length: int, single: bool) -> DataFrame:
+    lists = A.by_text(runs, "a", "at", "no")
+    schema = f"a long, {'place' if single else 'no'} long, bytes binary, d long, k long, at long"
+    return texts.join(lists.hint("merge"), "k").select(*A.ROW, "items").mapInArrow(lean(_cut_runs(length, single)), schema)
+
+
+def earlier_spans(texts: DataFrame, scheme: A.Scheme, work: Workspace, gathered: int = GATHERED) -> DataFrame:
     """(k, items of (at, n)): runs of suffixes that start earlier too."""
-    rows = survivors(texts, scheme, work)
+    rows = A.repeated_anchors(texts, scheme, work)
     groups = work.write(A.context_groups(rows), "groups")
     copies = groups.filter("n > 1").select("a", "c", "no", F.col("k").alias("k0"), F.col("at").alias("at0"))
     whole = rows.join(copies.hint("merge"), ["a", "c", "no"]).filter("k <> k0 OR at <> at0")
+    whole = work.write(whole.select("k", "at", F.shiftright("no", A.PLACE_BITS).alias("n")), "whole")
+    work.drop("repeated")
     part = work.write(A.shared_anchors(groups, work).select("a", "k", "at", "no", "others"), "part")
-
-    few = A.by_document(part.filter(F.col("others") <= group_runs), "a", "at", "no")
-    pieces = texts.join(few.hint("merge"), "k").select("k", "copy", "z", "items").mapInArrow(_run_bytes(scheme.length), "a long, k long, at long, no long, bytes binary")
-    ordered = pieces.repartition("a").sortWithinPartitions("a")
-    settled = work.write(ordered.mapInArrow(_sort_runs(scheme.length, DIGIT), "k long, at long, n long"), "settled")
-
-    many = work.write(window_rows(texts, part.filter(F.col("others") > group_runs), scheme), "windows")
-    first = many.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("k", "at")).alias("first")).filter("n > 1")
-    first = work.write(first, "windows_first")
-    later = many.join(first.hint("merge"), ["h1", "h2"]).filter("k <> first.k OR at <> first.at")
-
-    spans = (
-        whole.select("k", "at", F.shiftright("no", A.PLACE_BITS).alias("n"))
-        .unionByName(settled).unionByName(later.select("k", "at", F.lit(1).cast("long").alias("n")))
-    )
-    return work.write(A.by_document(spans, "at", "n"), "spans")
-
-
-def remove_earlier(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, group_runs: int = GROUP_RUNS, with_text: bool = False) -> DataFrame:
+    work.drop("groups", "shared")
+
+    few = cut_runs(texts, part.filter(F.col("others") <= gathered), scheme.length, False)
+    settled = few.repartition("a").sortWithinPartitions("a").mapInArrow(lean(_sort_runs(scheme.length)), "k long, at long, n long")
+    spans = whole.unionByName(work.write(settled, "settled"))
+    many = part.filter(F.col("others") > gathered)
+    if not many.isEmpty():
+        suffixes = work.write(cut_runs(texts, many, scheme.length, True), "suffixes")
+        dealt = suffixes.repartitionByRange("a", "place", "bytes").sortWithinPartitions("a", "place", "bytes", "d", "k", "at")
+        later = dealt.mapInArrow(lean(_equal_neighbours), "k long, at long, n long")
+        spans = spans.unionByName(work.write(later, "later"))
+        work.drop("suffixes")
+    return work.write(A.by_text(spans, "at", "n"), "spans")
+
+
+def remove_earlier(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, gathered: int = GATHERED, with_text: bool = False) -> DataFrame:
     """Per document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and with_text the kept bytes)."""
     scheme = A.Scheme("bytes", length, min(gram, length))
     work = Workspace(docs.sparkSession, "suffix_dedup")
     texts = A.store_texts(docs, work)
-    spans = earlier_spans(texts, scheme, work, group_runs)
+    spans = earlier_spans(texts, scheme, work, gathered)
     names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * with_text
 
     def cut(batches):
         for b in batches:
             out = [[] for _ in names]
-            for doc_id, copy, z, items in zip(b.column("doc_id").to_pylist(), b.column("copy").to_pylist(), b.column("z").to_pylist(), A.item_arrays(b.column("items")), strict=True):
-                text = A.decompress(z)
-                gone = A.covered(items, copy, len(text), length)
+            for doc_id, z, items in zip(b.column("doc_id").to_pylist(), b.column("z").to_pylist(), A.item_arrays(b.column("items")), strict=True):
+                text = decompress(z)
+                gone = A.covered(items, len(text), length)
                 kept = np.frombuffer(text, np.uint8)[~gone].tobytes() if gone.any() else text
                 runs = int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
                 for column, value in zip(out, (doc_id, len(text), int(gone.sum()), runs, hashlib.sha256(kept).hexdigest(), kept), strict=False):
@@ -165,6 +201,6 @@ def remove_earlier(docs: DataFrame, length: int = LENGTH, gram: int = GRAM, grou
             types = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(out, types, strict=False)], names)
 
-    joined = texts.join(spans.hint("merge"), "k", "left").select("doc_id", "copy", "z", "items")
+    joined = texts.join(spans.hint("merge"), "k", "left").select("doc_id", "z", "items")
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if with_text else "")
-    return joined.mapInArrow(cut, schema)
+    return joined.mapInArrow(lean(cut), schema)
