@@ -4,9 +4,7 @@ from __future__ import annotations
 
 import ctypes
 import gc
-import tempfile
 import uuid
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -14,6 +12,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import file_system, shared_folder
+
 #: Separators of words: space and the ASCII controls 0x09 to 0x0D.
 SPACES = " \t\n\x0b\x0c\r"
 WORD = r"[^\x20\x09-\x0D]+"
@@ -22,21 +22,6 @@ WORD = r"[^\x20\x09-\x0D]+"
 BROADCAST_ROWS = 10_000
 
 
-def work_root(spark: SparkSession) -> str:
-    """The shared folder named by spark.checkpoint.dir. Only a session in one process (tests) may leave it unset."""
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return _own_root()
-
-
-@lru_cache(1)
-def _own_root() -> str:
-    return tempfile.mkdtemp(prefix="tidemark-")
-
-
 #: Bytes of an Arrow batch that goes to a Python worker, unless the session sets its own bound.
 BATCH_BYTES = 8 << 20
 
@@ -59,8 +44,7 @@ class Workspace:
     def __init__(self, spark: SparkSession, name: str):
         bound_batches(spark)
         self.spark = spark
-        self.path = f"{work_root(spark)}/{name}-{uuid.uuid4().hex}"
-        delete_at_end(spark, self.path)
+        self.path = shared_folder(spark, name)
 
     def write(self, df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
         df.write.option("compression", codec).parquet(f"{self.path}/{name}")
@@ -87,25 +71,13 @@ class Workspace:
             delete(self.spark, f"{self.path}/{name}")
 
 
-def _file_system(spark: SparkSession, path: str):
-    jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return jpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jpath
-
-
-def delete_at_end(spark: SparkSession, path: str) -> None:
-    """Create the folder and have it deleted when the application ends."""
-    fs, jpath = _file_system(spark, path)
-    fs.mkdirs(jpath)
-    fs.deleteOnExit(jpath)
-
-
 def delete(spark: SparkSession, path: str) -> None:
-    fs, jpath = _file_system(spark, path)
+    fs, jpath = file_system(spark, path)
     fs.delete(jpath, True)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    fs, jpath = _file_system(spark, path)
+    fs, jpath = file_system(spark, path)
     return fs.exists(jpath)
 
 

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace, by_bytes
+from tidemark.llm.common import Workspace, by_bytes, lean
 from tidemark.llm.tokenizing import default_tokenizer, encoder
 
 MAX_TOKENS = 1024
@@ -47,21 +47,21 @@ def pieces(docs: DataFrame, tokenizer: str | None = None, size: int = MAX_TOKENS
     names = ["doc_id", "row", "piece", "start", "length", "ids_crc32"] + ["ids"] * with_ids
 
     def cut_all(batches):
-        enc = encoder(path)
-        for b in by_bytes(batches, "text"):
-            all_ids, counts = enc.encode([t or "" for t in b.column("text").to_pylist()])
-            ends = np.cumsum(counts)
-            rows = [[] for _ in names]
-            for doc_id, row, e, n in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), ends.tolist(), counts.tolist(), strict=True):
-                ids = np.append(all_ids[e - n : e], np.uint32(end_id)).astype("<u4")
-                for k, (s, length) in enumerate(cut(n + 1, size)):
-                    part = ids[s : s + length].tobytes()
-                    for out, value in zip(rows, (doc_id, row, k, s, length, zlib.crc32(part), part), strict=False):
-                        out.append(value)
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=False)], names)
-
-    return docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(cut_all, schema)
+        with encoder(path) as enc:
+            for b in by_bytes(batches, "text"):
+                all_ids, counts = enc.encode([t or "" for t in b.column("text").to_pylist()])
+                ends = np.cumsum(counts)
+                rows = [[] for _ in names]
+                for doc_id, row, e, n in zip(b.column("doc_id").to_pylist(), b.column("row").to_pylist(), ends.tolist(), counts.tolist(), strict=True):
+                    ids = np.append(all_ids[e - n : e], np.uint32(end_id)).astype("<u4")
+                    for k, (s, length) in enumerate(cut(n + 1, size)):
+                        part = ids[s : s + length].tobytes()
+                        for out, value in zip(rows, (doc_id, row, k, s, length, zlib.crc32(part), part), strict=False):
+                            out.append(value)
+                types = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+                yield pa.RecordBatch.from_arrays([pa.array(r, t) for r, t in zip(rows, types, strict=False)], names)
+
+    return docs.select("doc_id", F.monotonically_increasing_id().alias("row"), "text").mapInArrow(lean(cut_all), schema)
 
 
 class OpenBins:
@@ -113,7 +113,7 @@ def pack_pieces(rows: DataFrame, size: int = MAX_TOKENS, open_bins: int = OPEN_B
             yield pa.RecordBatch.from_arrays([*b.columns, *added.columns], [*b.schema.names, *added.schema.names])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema)
-    packed = dealt.mapInArrow(pack, f"{fields}, sequence_id long, offset long")
+    packed = dealt.mapInArrow(lean(pack), f"{fields}, sequence_id long, offset long")
     return packed.unionByName(full.withColumn("offset", F.lit(0).cast("long")))
 
 

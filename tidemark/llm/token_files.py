@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace, by_bytes, join_checked, splits
+from tidemark.llm.common import Workspace, by_bytes, join_checked, lean, splits
 from tidemark.llm.tokenizing import default_tokenizer, encoder
 
 END_ID = 0
@@ -70,26 +70,27 @@ def _tokenize(docs: DataFrame, path: str, end_id: int, ranges: int) -> DataFrame
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
 
     def tokenize(batches):
-        enc, part, seq = encoder(path), TaskContext.get().partitionId(), 0
+        part, seq = TaskContext.get().partitionId(), 0
         counts = np.zeros(0, np.int64)
-        for b in by_bytes(batches, "text"):
-            ids, sizes = enc.encode([t or "" for t in b.column("text").to_pylist()])
-            ends = np.cumsum(sizes)
-            rows = [np.append(ids[e - n : e], np.uint32(end_id)) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-            seen = np.bincount(np.append(ids, np.uint32(end_id)))
-            seen[end_id] += len(rows) - 1
-            counts = np.pad(counts, (0, max(0, len(seen) - len(counts))))
-            counts[: len(seen)] += seen
-            narrow = len(counts) <= 1 << 16
-            packed = [r.astype("<u2" if narrow else "<u4").tobytes() for r in rows]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([part] * len(rows), types[0]), pa.array(range(seq, seq + len(rows)), types[1]), b.column("doc_id"),
-                 pa.array([len(r) for r in rows], types[3]), pa.array(packed, types[4])], names)
-            seq += len(rows)
+        with encoder(path) as enc:
+            for b in by_bytes(batches, "text"):
+                ids, sizes = enc.encode([t or "" for t in b.column("text").to_pylist()])
+                ends = np.cumsum(sizes)
+                rows = [np.append(ids[e - n : e], np.uint32(end_id)) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                seen = np.bincount(np.append(ids, np.uint32(end_id)))
+                seen[end_id] += len(rows) - 1
+                counts = np.pad(counts, (0, max(0, len(seen) - len(counts))))
+                counts[: len(seen)] += seen
+                narrow = len(counts) <= 1 << 16
+                packed = [r.astype("<u2" if narrow else "<u4").tobytes() for r in rows]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([part] * len(rows), types[0]), pa.array(range(seq, seq + len(rows)), types[1]), b.column("doc_id"),
+                     pa.array([len(r) for r in rows], types[3]), pa.array(packed, types[4])], names)
+                seq += len(rows)
         if len(counts):
             yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip((part, -1, None, None, counts.astype("<i8").tobytes()), types, strict=True)], names)
 
-    return ordered.mapInArrow(tokenize, "part int, seq long, doc_id long, n long, ids binary")
+    return ordered.mapInArrow(lean(tokenize), "part int, seq long, doc_id long, n long, ids binary")
 
 
 def _widen(raw: bytes, n: int) -> np.ndarray:
@@ -112,7 +113,7 @@ def rank_ids(counts: DataFrame) -> DataFrame:
         at = np.flatnonzero(counts)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[at])], ["id", "n"])
 
-    summed = counts.select("ids").mapInArrow(total, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    summed = counts.select("ids").mapInArrow(lean(total), "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
     return summed.select("id", (F.row_number().over(Window.orderBy(F.desc("n"), "id")) - 1).alias("rank"))
 
 
@@ -148,7 +149,7 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str | None = None,
             yield block()
 
     schema = "part int, seq long, n_ids long, doc_ids array<long>, lengths array<long>, control binary, data binary"
-    ids.filter("n is not null").mapInArrow(code, schema).write.parquet(f"{path}/blocks")
+    ids.filter("n is not null").mapInArrow(lean(code), schema).write.parquet(f"{path}/blocks")
     work.drop("ids")
 
 
@@ -190,6 +191,6 @@ def read_token_files(spark: SparkSession, path: str, with_ids: bool = False) ->
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(cells, types, strict=False)][: len(names)], names)
 
     schema = "part int, seq long, doc_id long, in_block long, n_tokens long, ids_crc32 long" + (", ids binary" if with_ids else "")
-    decoded = blocks.select("part", "seq", "doc_ids", "lengths", "control", "data").mapInArrow(decode, schema)
+    decoded = blocks.select("part", "seq", "doc_ids", "lengths", "control", "data").mapInArrow(lean(decode), schema)
     start = (F.col("first") + F.col("in_block")).alias("start")
     return join_checked(decoded, firsts, ["part", "seq"]).select("doc_id", start, "n_tokens", "ids_crc32", *["ids"] * with_ids)

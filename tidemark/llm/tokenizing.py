@@ -2,8 +2,8 @@
 
 The tokenizer's own pre-tokenizer cuts a text into words that are encoded independently, so a
 batch of texts is cut by array operations on code points, each distinct word is encoded once
-by the tokenizers library, and the ids of all words are gathered. Workers keep the ids of
-words they have met, up to a number of distinct words, after which they start anew: that
+by the tokenizers library, and the ids of all words are gathered. A task keeps the ids of
+words it has met, up to a number of distinct words, after which it starts anew: that
 bounds memory and changes no result. Texts that hold an added token's string or a code point
 that this Python's Unicode tables lack, and tokenizers with another pre-tokenizer, go to the
 library as they are.
@@ -14,11 +14,14 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
+from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
 
-WORDS_KEPT = 1_500_000
+from tidemark.llm.hashing import CHUNK, powers
+
+WORDS_KEPT = 400_000
 CHARS_AT_ONCE = 1 << 19
 WORDS_AT_ONCE = 1 << 13
 
@@ -49,16 +52,6 @@ def _classes() -> np.ndarray:
     return table
 
 
-@lru_cache(1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    out = []
-    for base in (int(_MULT), pow(int(_MULT), -1, 2**64)):
-        p = np.full(n, base, np.uint64)
-        p[0] = 1
-        out.append(np.cumprod(p, dtype=np.uint64))
-    return out[0], out[1]
-
-
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
     return x ^ (x >> np.uint64(29))
@@ -111,9 +104,9 @@ class Encoder:
             and not spec.get("normalizer") and spec["model"]["type"] == "BPE" and not spec["model"].get("dropout")
         )
         self.line_end = self.plain(["\n"])[0][0] if self.by_word else None
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.keys = np.zeros(0, np.uint64)  # sorted hashes of known words
         self.at = np.zeros(0, np.int64)  # where their ids begin in ids
         self.count = np.zeros(0, np.int32)
@@ -174,7 +167,7 @@ class Encoder:
             return
         starts = word_starts(points, first[:-1])
         ends = np.append(starts[1:], len(points))
-        power, inverse = _powers(1 << max(21, int(len(points) + 1).bit_length()))
+        power, inverse = powers(max(CHUNK + 4096, 1 << int(len(points)).bit_length()))
         sums = np.zeros(len(points) + 1, np.uint64)
         np.cumsum(_mixed(points.astype(np.uint64) + np.uint64(1)) * power[: len(points)], out=sums[1:])
         hashes = _mixed((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64) * _MULT)
@@ -185,7 +178,7 @@ class Encoder:
         known[inside] = self.keys[slot[inside]] == unique[inside]
         if not known.all():
             if len(self.keys) > WORDS_KEPT:
-                self._forget()
+                self.forget()
                 known[:] = False
             self._learn(joined, unique[~known], starts[example[~known]], ends[example[~known]])
             slot = np.searchsorted(self.keys, unique)
@@ -213,7 +206,16 @@ class Encoder:
         self.keys, self.at, self.count = np.insert(self.keys, where, keys), np.insert(self.at, where, at), np.insert(self.count, where, count)
 
 
-@lru_cache(2)
-def encoder(path: str) -> Encoder:
-    """One encoder per worker and tokenizer file."""
+@lru_cache(1)
+def _loaded(path: str) -> Encoder:
     return Encoder(path)
+
+
+@contextmanager
+def encoder(path: str):
+    """The worker's encoder for a tokenizer file; it forgets its words afterwards."""
+    enc = _loaded(path)
+    try:
+        yield enc
+    finally:
+        enc.forget()
