@@ -1,5 +1,7 @@
 import math
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tidemark.llm import topk
@@ -24,7 +26,8 @@ def check(spark, rows, k=5):
 def test_equals_brute_force(spark, monkeypatch):
     monkeypatch.setattr(topk, "BATCH", 16)
     monkeypatch.setattr(topk, "SLICE_ROWS", 90)
-    monkeypatch.setattr(topk, "QUERY_BLOCK", 5)
+    monkeypatch.setattr(topk, "BLOCK_VALUES", 24 * 5)
+    monkeypatch.setattr(topk, "SEED_VALUES", 24 * 40)
     rows = [(i, [math.sin(i * (j + 1)) * (1 + i % 7) for j in range(24)]) for i in range(300)]
     rows += [(500 + i, rows[i % 3][1]) for i in range(40)]
     check(spark, rows)
@@ -35,3 +38,33 @@ def test_odd_vectors(spark):
             (0, [1.0, 2.0]), (3, []), (4, [1e12, -1e12, 3.0]), (100, [1e7, 1e7, 1e7]), (5, [0.0, 0.0])]
     check(spark, rows)
     assert topk.top_k(spark.createDataFrame([], "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).count() == 0
+
+
+def spread_norms(r):
+    return r.standard_normal((3000, 48)) * np.exp(1.2 * r.standard_normal((3000, 1)))
+
+
+def clustered(r):
+    centres = r.standard_normal((20, 48))
+    return centres[r.integers(0, 20, 3000)] + 0.1 * r.standard_normal((3000, 48))
+
+
+@pytest.mark.parametrize("made", [spread_norms, clustered])
+def test_most_pairs_are_never_multiplied(made):
+    """One block meets all vectors by descending length: fewer than half of all pairs reach a whole product, and results stay exact."""
+    ints = np.floor(64 * made(np.random.default_rng(2)))
+    norms = np.sqrt((ints**2).sum(1))
+    order = np.argsort(-norms, kind="stable")
+    ids, q = np.arange(len(ints)), np.arange(0, len(ints), 20)
+    turn = np.linalg.svd(ints, full_matrices=True)[2].T
+    block = topk.Block(q, q, ints[q], norms[q], np.full(len(q), -np.inf), turn, 16, 20)
+    for i in range(0, len(order), 250):
+        some = order[i : i + 250]
+        if not block.meet(ids[some], ids[some], ints[some], norms[some]):
+            break
+    assert block.multiplied < 0.5 * len(q) * len(ints)
+    scores = ints[q] @ ints.T
+    scores[np.arange(len(q)), q] = -np.inf
+    for i in range(len(q)):
+        best = np.lexsort((ids, -scores[i]))[:20]
+        assert block.found[i] == [(-int(scores[i, j]), j, j) for j in best]

@@ -1,16 +1,20 @@
 """Exact top-k search by inner product: norm-sorted, rotated, pruned by Cauchy-Schwarz.
 
-Vectors become integers, floor(SCALE * x). Queries are taken in blocks, candidates in slices
-that each span all norms; a task meets one block with one slice as a stream sorted by
-descending length, so it holds the block, one batch of candidates and k results per query.
-Vectors are also rotated by the right singular vectors of a sample (at most SAMPLE_ROWS rows,
-by hash), which gathers their length into the first HEAD coordinates: the inner product is at
-most the product over these plus the product of the lengths of the rests. Pairs whose bound is
-below the query's k-th score are not computed; once the bound by whole lengths rules out every
-query of the block, the rest of the slice is skipped. The rotation only steers pruning: scores
-are computed on the integers, exactly (in floats while the lengths guarantee it, else in
-Python's integers, held to the range of a long). Results of the slices, k per query each, are
-merged by a window over the query.
+Vectors become integers, floor(SCALE * x), and are rotated by the right singular vectors of a
+sample (at most SAMPLE_ROWS rows, by hash), which gathers their length into the first coordinates.
+Each query first meets the longest vectors, a table of at most SEED_VALUES coordinates that every
+task has; its k-th score there is a threshold that any later candidate must reach. Candidates are cut
+into BANDS of descending length, and bands into parts of about SLICE_ROWS rows; a query is dealt only to the
+bands whose longest vector could still reach its threshold. A task meets one block of
+queries with one part as a stream sorted by descending length, so it holds the block, one batch
+of candidates and k results per query, and stops once the bound by lengths rules out every query.
+
+In a batch inner products are summed over coordinates in steps (HEAD, then twice as many, and so
+on). After each step a pair's bound is its sum so far plus the product of the lengths of the rests;
+only pairs whose bound reaches the query's k-th score are carried on, from the sum they have. The
+rotation and the sums only steer pruning: the pairs that are left get their scores from the integers,
+exactly (in floats while the lengths guarantee it, else in Python's integers, held to the range
+of a long). Results of the parts, k per query each, are merged by a window over the query.
 
 Defined cases: vectors that are null or hold a null, NaN or infinity take no part; vectors of
 different lengths are filled up with zeros; of rows that repeat a vec_id, each is a query of
@@ -25,15 +29,18 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace
+from tidemark.llm.common import Workspace, join_checked, lean
 
 SCALE = 64.0
 K = 20
 HEAD = 16
 SAMPLE_ROWS = 4096
-QUERY_BLOCK = 8192
-SLICE_ROWS = 8192
+SEED_VALUES = 1 << 18  # coordinates of the longest vectors that every query meets first
+BANDS = 8
+BLOCK_VALUES = 1 << 19  # coordinates of a block of queries
+SLICE_ROWS = 16384
 BATCH = 1024
+DENSE = 1 / 8  # from this share of surviving pairs on, a step is one matrix product
 EXACT = 2.0**52
 LONG = (-(2**63), 2**63 - 1)
 NO_ID = np.iinfo(np.int64).max
@@ -81,58 +88,113 @@ def rotation(vectors: DataFrame, dim: int) -> np.ndarray:
 
 
 def products(q: np.ndarray, c: np.ndarray, top: float) -> np.ndarray:
-    """Exact inner products of whole numbers as int64; top bounds every one."""
+    """Exact inner products, row by row, of whole numbers as int64; top bounds every one."""
     if top < EXACT:
-        return np.rint(q @ c.T).astype(np.int64)
-    exact = np.array([[sum(int(a) * int(b) for a, b in zip(x, y, strict=True)) for y in c] for x in q], object).reshape(len(q), len(c))
-    return np.clip(exact, *LONG).astype(np.int64)
+        return np.rint(np.einsum("ij,ij->i", q, c)).astype(np.int64)
+    return np.array([min(max(sum(int(a) * int(b) for a, b in zip(x, y, strict=True)), LONG[0]), LONG[1]) for x, y in zip(q, c, strict=True)], np.int64)
 
 
-class Block:
-    """A block of queries and the best k candidates that each has met."""
+def steps(dim: int, head: int) -> list[tuple[int, int]]:
+    """Ranges of coordinates that are added one after the other."""
+    ends = [0]
+    while ends[-1] < dim:
+        ends.append(min(dim, max(head, 2 * ends[-1], 1)))
+    return list(zip(ends, ends[1:]))
+
+
+def rests(turned: np.ndarray, ranges: list[tuple[int, int]]) -> np.ndarray:
+    """Per row and step the length of the coordinates after the step."""
+    return np.stack([np.sqrt((turned[:, e:] ** 2).sum(1)) for _, e in ranges]) if ranges else np.zeros((0, len(turned)))
+
 
-    def __init__(self, uids, vec_ids, ints, norms, turn, head, k):
-        self.uids, self.vec_ids, self.ints, self.norms, self.turn, self.head, self.k = uids, vec_ids, ints, norms, turn, head, k
-        turned = ints @ turn
-        self.front, self.rest = turned[:, :head], np.sqrt((turned[:, head:] ** 2).sum(1))
+class Block:
+    """A block of queries and the best k candidates that each has met; least: no score below it counts."""
+
+    def __init__(self, uids, vec_ids, ints, norms, least, turn, head, k):
+        self.uids, self.vec_ids, self.ints, self.norms, self.turn, self.k = uids, vec_ids, ints, norms, turn, k
+        self.least = np.array(least, float)
+        self.steps = steps(len(turn), head)
+        self.turned = ints @ turn
+        self.rests = rests(self.turned, self.steps)
         self.found: list[list[tuple[int, int, int]]] = [[] for _ in uids]  # (-score, vec_id, uid), best first
-        self.least = np.full(len(uids), -np.inf)
+        self.met = self.multiplied = 0  # pairs that came here, and those whose whole products were computed
 
     def meet(self, uids, vec_ids, ints, norms) -> bool:
         """Meet a batch no longer than any before; False once no later batch can change a result."""
-        longest = norms.max()
-        active = np.flatnonzero(self.norms * longest * (1 + 1e-9) + 1e-6 >= self.least)
-        if not len(active):
-            return False
+        active = np.flatnonzero(self.norms * norms.max() * (1 + 1e-9) + 1e-6 >= self.least)
         turned = ints @ self.turn
-        rest = np.sqrt((turned[:, self.head :] ** 2).sum(1))
-        with np.errstate(invalid="ignore", over="ignore"):
-            bound = self.front[active] @ turned[:, : self.head].T + np.outer(self.rest[active], rest)
-            slack = 1e-9 * np.outer(self.norms[active], norms) + 1e-6
-            may = ~(bound + slack < self.least[active, None])
-        may &= self.uids[active, None] != uids[None, :]
-        rows, columns = np.flatnonzero(may.any(1)), np.flatnonzero(may.any(0))
+        rest = rests(turned, self.steps)
+        self.met += len(self.uids) * len(uids)
+        for i in range(0, len(active), BATCH):
+            self._meet(active[i : i + BATCH], uids, vec_ids, ints, norms, turned, rest)
+        return len(active) > 0
+
+    def _meet(self, active, uids, vec_ids, ints, norms, turned, rest) -> None:
+        least = self.least[active]
+        may = self.uids[active, None] != uids[None, :]
+        sums = np.zeros(may.shape)
+        rows = columns = None  # of the surviving pairs, once they are few
+        last = len(self.steps) - 1
+        for n, (s, e) in enumerate(self.steps):
+            if rows is None and n and np.count_nonzero(may) < DENSE * may.size:
+                rows, columns = np.nonzero(may)
+                sums = sums[rows, columns]
+            if n == last:
+                self.multiplied += may.size if rows is None else len(rows)
+            with np.errstate(invalid="ignore", over="ignore"):
+                if rows is None:
+                    sums += self.turned[active, s:e] @ turned[:, s:e].T
+                    slack = 1e-9 * np.outer(self.norms[active], norms) + 1e-6
+                    may &= ~(sums + np.outer(self.rests[n, active], rest[n]) + slack < least[:, None])
+                else:
+                    q = active[rows]
+                    sums += np.einsum("ij,ij->i", self.turned[q, s:e], turned[columns, s:e])
+                    slack = 1e-9 * self.norms[q] * norms[columns] + 1e-6
+                    left = ~(sums + self.rests[n, q] * rest[n, columns] + slack < least[rows])
+                    rows, columns, sums = rows[left], columns[left], sums[left]
+        if rows is None:
+            rows, columns = np.nonzero(may)
+            sums = sums[rows, columns]
         if not len(rows):
-            return True
-        top = self.norms[active[rows]].max() * norms[columns].max()
-        scores = products(self.ints[active[rows]], ints[columns], top)
-        for i, row in enumerate(rows):
-            q = active[row]
-            hits = np.flatnonzero(may[row, columns] & (scores[i] >= self.least[q]))
-            if not len(hits):
-                continue
+            return
+        bounds = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+        for at, end in zip(bounds.tolist(), [*bounds[1:].tolist(), len(rows)]):
+            q, hits = active[rows[at]], columns[at:end]
             if len(hits) > 4 * self.k:
-                cut = np.partition(scores[i][hits], -self.k)[-self.k]
-                hits = hits[scores[i][hits] >= cut]
-            new = [(-int(scores[i][h]), int(vec_ids[columns[h]]), int(uids[columns[h]])) for h in hits]
+                slack = 2e-9 * self.norms[q] * norms.max() + 2e-6
+                hits = hits[~(sums[at:end] + slack < np.partition(sums[at:end], -self.k)[-self.k])]
+            scores = products(np.broadcast_to(self.ints[q], (len(hits), len(self.turn))), ints[hits], self.norms[q] * norms[hits].max())
+            new = [(-x, v, u) for x, v, u in zip(scores.tolist(), vec_ids[hits].tolist(), uids[hits].tolist()) if x >= self.least[q]]
             self.found[q] = best = sorted(self.found[q] + new)[: self.k]
             if len(best) == self.k:
-                self.least[q] = -best[-1][0]
-        return True
+                self.least[q] = max(self.least[q], -best[-1][0] if -best[-1][0] > LONG[0] else -np.inf)
+
+
+def _seeded(table, k: int):
+    """Add to queries the k-th score among the seeds (uid, norm, ints) other than themselves, minus infinity without k such scores."""
 
+    def run(batches):
+        uids, norms = np.array([s[0] for s in table.value], np.int64), np.array([s[1] for s in table.value])
+        dim = max((len(s[2]) // 8 for s in table.value), default=0)
+        seeds = _matrix([s[2] for s in table.value], dim)
+        for b in batches:
+            rows = b.column("ints").to_pylist()
+            queries = _matrix(rows, max([dim, *(len(r) // 8 for r in rows)]))[:, :dim]
+            own, norm = b.column("uid").to_numpy(), b.column("norm").to_numpy()
+            least = np.full(len(rows), -np.inf)
+            for i in range(0, len(rows) if len(uids) > k else 0, BATCH // 4):
+                scores = queries[i : i + BATCH // 4] @ seeds.T
+                scores[own[i : i + BATCH // 4, None] == uids[None, :]] = -np.inf
+                kth = np.partition(scores, -k, axis=1)[:, -k]
+                small = norm[i : i + BATCH // 4] * norms.max() < EXACT  # else a float may lie above the true score
+                least[i : i + BATCH // 4][small] = np.rint(kth[small])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(least)], [*b.schema.names, "least"])
+
+    return run
 
-def _search(turn: np.ndarray, head: int, k: int):
-    """Stream groups of (block, slice): queries first, then candidates by descending norm."""
+
+def _search(turned, head: int, k: int):
+    """Stream groups of (block, band, part): queries first, then candidates by descending norm."""
     names = ["query_uid", "query_id", "vec_id", "uid", "score"]
 
     def results(block):
@@ -141,7 +203,7 @@ def _search(turn: np.ndarray, head: int, k: int):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names)
 
     def run(batches):
-        key, queries, waiting, block, over = None, [], [], None, False
+        turn, key, queries, waiting, block, over = turned.value, None, [], [], None, False
 
         def arrays(rows):
             uids = np.array([r[0] for r in rows], np.int64)
@@ -151,20 +213,20 @@ def _search(turn: np.ndarray, head: int, k: int):
         def flush():
             nonlocal block, queries, waiting, over
             if block is None and queries:
-                uids, ids, ints, norms = arrays(queries)
-                block, queries = Block(uids, ids, ints, norms, turn, head, k), []
+                block, queries = Block(*arrays(queries), [r[4] for r in queries], turn, head, k), []
             if waiting and block is not None and not over:
                 over = not block.meet(*arrays(waiting))
             waiting = []
 
         for b in batches:
-            columns = (b.column(c).to_pylist() for c in ("block", "slice", "is_candidate", "uid", "vec_id", "norm", "ints"))
-            for at, part, candidate, *row in zip(*columns, strict=True):
-                if key != (at, part):
+            columns = (b.column(c).to_pylist() for c in ("block", "band", "part", "is_candidate", "uid", "vec_id", "norm", "ints", "least"))
+            for *at, candidate, u, v, n, x, least in zip(*columns, strict=True):
+                row = (u, v, n, x, least)
+                if key != at:
                     flush()
                     if block is not None:
                         yield results(block)
-                    key, queries, waiting, block, over = (at, part), [], [], None, False
+                    key, queries, waiting, block, over = at, [], [], None, False
                 if not candidate:
                     queries.append(row)
                 elif not over:
@@ -178,23 +240,45 @@ def _search(turn: np.ndarray, head: int, k: int):
     return run
 
 
+def banded(rows: DataFrame, n: int) -> tuple[DataFrame, list[tuple[float, int]]]:
+    """rows with band and part, and per band its greatest norm and number of parts."""
+    cuts = sorted(set(rows.approxQuantile("norm", [i / BANDS for i in range(1, BANDS)], 0.01))) if n > SLICE_ROWS else []
+    band = F.lit(len(cuts)) - sum((F.when(F.col("norm") > c, 1).otherwise(0) for c in cuts), F.lit(0))
+    rows = rows.withColumn("band", band.cast("int"))
+    stats = {r["band"]: (r["top"], max(1, -(-r["n"] // SLICE_ROWS))) for r in rows.groupBy("band").agg(F.max("norm").alias("top"), F.count(F.lit(1)).alias("n")).collect()}
+    bands = [stats.get(i, (0.0, 1)) for i in range(len(cuts) + 1)]
+    parts = F.element_at(F.array(*[F.lit(p) for _, p in bands]), F.col("band") + 1)
+    return rows.withColumn("part", F.pmod(F.xxhash64("uid"), parts).cast("int")), bands
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = K, head: int = HEAD) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for the rows of (vec_id, embedding) that is_query (over vec_id) marks."""
     work = Workspace(vectors.sparkSession, "topk")
     rows = work.write(integer_vectors(vectors).withColumn("uid", F.monotonically_increasing_id()), "vectors")
     size = rows.agg(F.count(F.lit(1)).alias("n"), F.count_if(is_query).alias("q"), (F.max(F.length("ints")) / 8).cast("int").alias("dim")).first()
-    blocks, slices, dim = max(1, -(-size["q"] // QUERY_BLOCK)), max(1, -(-size["n"] // SLICE_ROWS)), size["dim"] or 0
+    dim = size["dim"] or 0
+    blocks = max(1, -(-size["q"] // max(1, BLOCK_VALUES // max(1, dim))))
     turn = rotation(rows, dim) if dim else np.eye(0)
+    seeds = [(r["uid"], r["norm"], bytes(r["ints"])) for r in rows.orderBy(F.desc("norm"), "uid").limit(max(k + 1, SEED_VALUES // max(1, dim))).select("uid", "norm", "ints").collect()]
+    seeds, turned = (vectors.sparkSession.sparkContext.broadcast(x) for x in (seeds, turn))
+    placed, bands = banded(rows, size["n"])
 
-    spread = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
-    dealt = lambda n, name: F.pmod(F.xxhash64("uid"), F.lit(n)).cast("int").alias(name)
     cells = ["uid", "vec_id", "norm", "ints"]
-    queries = rows.filter(is_query).select(dealt(blocks, "block"), spread(slices, "slice"), F.lit(False).alias("is_candidate"), *cells)
-    candidates = rows.select(spread(blocks, "block"), dealt(slices, "slice"), F.lit(True).alias("is_candidate"), *cells)
+    queries = rows.filter(is_query).mapInArrow(lean(_seeded(seeds, k)), "vec_id long, norm double, ints binary, uid long, least double")
+    reach = lambda top: F.col("norm") * F.lit(top * (1 + 1e-9)) + 1e-6 >= F.col("least")
+    wanted = F.flatten(F.array(*[
+        F.when(reach(top), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda p, i=i: F.struct(F.lit(i).alias("band"), p.alias("part")))).otherwise(F.array())
+        for i, (top, n) in enumerate(bands)
+    ]))
+    queries = work.write(queries.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int")).withColumn("wanted", wanted), "queries")
+    # One row per band: the blocks that have a query for it.
+    per_band = work.write(queries.select("block", F.explode("wanted.band").alias("band")).distinct().groupBy("band").agg(F.collect_list("block").alias("blocks")), "bands")
+    dealt_queries = queries.select("block", F.explode("wanted").alias("at"), F.lit(False).alias("is_candidate"), *cells, "least").select("block", "at.*", "is_candidate", *cells, "least")
+    dealt = join_checked(placed, per_band, ["band"]).select(F.explode("blocks").alias("block"), "band", "part", F.lit(True).alias("is_candidate"), *cells, F.lit(None).cast("double").alias("least"))
     met = (
-        queries.unionByName(candidates).repartition(blocks * slices, "block", "slice")
-        .sortWithinPartitions("block", "slice", "is_candidate", F.desc("norm"), "uid")
-        .mapInArrow(_search(turn, min(head, dim), k), "query_uid long, query_id long, vec_id long, uid long, score long")
+        dealt_queries.unionByName(dealt).repartition(blocks * sum(n for _, n in bands), "block", "band", "part")
+        .sortWithinPartitions("block", "band", "part", "is_candidate", F.desc("norm"), "uid")
+        .mapInArrow(lean(_search(turned, min(head, dim), k)), "query_uid long, query_id long, vec_id long, uid long, score long")
     )
     best = Window.partitionBy("query_uid").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last(), "uid")
     return met.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
