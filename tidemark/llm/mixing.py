@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import WORD, free_name, join_checked
+from tidemark.llm.common import WORD, Workspace, free_name, join_checked
 
 WEIGHTS = (5.0, 2.0, 1.0)
 SHARE = 1.5
@@ -62,10 +62,18 @@ def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
     return table.select("source", "source_size", F.least("limit", level * F.col("weight")).alias("target"))
 
 
-def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
-    """All columns of docs plus size, source_size, target, copies (how often the mix emits the row)."""
-    size, draw, extra = (free_name(docs.columns, n) for n in ("size", "draws", "fraction"))
-    sized = docs.withColumn(size, words(F.col("text")))
+def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP, size: str | None = None) -> DataFrame:
+    """All columns of docs plus size, source_size, target, copies (how often the mix emits the row).
+
+    size names a column of sizes; without it the words of text are counted. Sizes are written once, for three passes.
+    """
+    sized = docs
+    if size is None:
+        size = free_name(docs.columns, "size")
+        sized = docs.withColumn(size, words(F.col("text")))
+    docs = sized
+    draw, extra = (free_name(docs.columns, n) for n in ("draws", "fraction"))
+    sized = Workspace(docs.sparkSession, "mixing").write(docs, "sized")
     sums = sized.groupBy("source").agg(F.sum(size).alias("source_size"))
     rates = targets(sums, weights, share, cap).withColumn(
         "rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
@@ -91,6 +99,6 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float = CAP) -> DataFrame:
     """The mixed documents with the columns of docs; a document appears as often as the plan says."""
-    copies = free_name(docs.columns, "copies")
+    copies = free_name([*docs.columns, free_name(docs.columns, "size")], "copies")
     plan = mix_plan(docs, weights, share, cap).filter(F.col(copies) > 0)
     return plan.withColumn(copies, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*docs.columns)
