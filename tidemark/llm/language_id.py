@@ -4,8 +4,8 @@ Every decision is a linear support vector machine between two classes, over coun
 letter groups of two and three bytes in lower case. Families are told apart first, each
 against each; within the predicted family each language votes against each other, ties by
 the sum of margins. Machines are fitted one per task from a sample of at most SAMPLE_ROWS whole
-texts a language, the first by a hash of doc_id; only fitted weights reach the driver, as
-many as there are pairs of families and of languages of one family.
+texts a language, the first by a hash of doc_id, of at most MOST_LANGUAGES languages, those of most
+rows; only fitted weights reach the driver, one vector per pair of families and of languages of one family.
 
 Defined cases: text that is null or has no letter is `und` with score 0; with no labelled row
 every text is `und`; with one learned language every text with a letter is that; texts of any
@@ -23,9 +23,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.llm.common import Workspace, by_bytes, free_name, join_checked
+from tidemark.llm.common import Workspace, by_bytes, free_name, join_checked, lean
 
 SAMPLE_ROWS = 400
+MOST_LANGUAGES = 128
 BUCKETS = 1 << 14
 SCALE = 10.0  # of a text's shares of letter groups
 EPOCHS = 20
@@ -71,21 +72,23 @@ def is_held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def training_rows(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """(lang, doc_id, text) of at most sample_rows ids a language that may be learned from, the first by hash; one text an id."""
+def training_rows(docs: DataFrame, work: Workspace, sample_rows: int = SAMPLE_ROWS, most_languages: int = MOST_LANGUAGES) -> DataFrame:
+    """(lang, doc_id, text) of at most sample_rows ids for each of at most most_languages languages; one text an id.
+
+    The languages of most rows are taken, ties by name, and of each the ids that come first by hash.
+    """
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id"))).select(
         "lang", F.col("doc_id").alias("id"), F.xxhash64("doc_id").alias("h")
     )
+    n = work.write(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages), "languages")
     # A first cut by hash leaves little more than sample_rows of each language for the window.
-    n = rows.groupBy("lang").count()
     part = F.least(F.lit(1.0), F.lit(1.5 * sample_rows + 200) / F.col("count"))
     cut = join_checked(rows, n, ["lang"]).filter(F.pmod("h", F.lit(1 << 30)) < part * (1 << 30)).distinct()
     first = Window.partitionBy("lang").orderBy("h", "id")
-    picked = cut.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample_rows).select("id", F.col("lang").alias("learn"))
-    # Broadcast: sample_rows ids a language at most.
-    return docs.filter(F.col("text").isNotNull()).select("lang", "doc_id", "text").join(
-        F.broadcast(picked), (F.col("doc_id") == F.col("id")) & (F.col("lang") == F.col("learn"))
-    ).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    picked = cut.withColumn("n", F.row_number().over(first)).filter(F.col("n") <= sample_rows).select("lang", F.col("id").alias("doc_id"))
+    picked = work.write(picked, "picked")
+    texts = docs.filter(F.col("text").isNotNull()).select("lang", "doc_id", "text")
+    return join_checked(texts, picked, ["lang", "doc_id"]).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
 
 
 def fit_pair(counts: list[np.ndarray], values: list[np.ndarray], sign: np.ndarray) -> np.ndarray:
@@ -110,7 +113,6 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return found, SCALE * n / max(1, len(groups))
 
 
-
 class LanguageModel:
     """Fitted machines: for families and for the languages of each, (first, second, weights)."""
 
@@ -166,7 +168,7 @@ class LanguageModel:
 def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     """Learn from text and lang of the rows that are not held out."""
     work = Workspace(docs.sparkSession, "language_id")
-    sample = work.write(training_rows(docs, sample_rows), "sample")
+    sample = work.write(training_rows(docs, work, sample_rows), "sample")
     languages = [r["lang"] for r in sample.select("lang").distinct().collect()]
     families = sorted({FAMILY_OF.get(x, "other") for x in languages})
     pairs = [("family", a, b) for a in families for b in families if a < b]
@@ -185,7 +187,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
         w = fit_pair([f for f, _ in made], [v for _, v in made], rows["sign"].to_numpy())
         return pd.DataFrame({"grp": [key[0]], "a": [key[1]], "b": [key[2]], "w": [w.astype("<f4").tobytes()]})
 
-    fitted = sample.join(F.broadcast(table), "lang").groupBy("grp", "a", "b").applyInPandas(fit_group, "grp string, a string, b string, w binary")
+    fitted = join_checked(sample, table, ["lang"]).groupBy("grp", "a", "b").applyInPandas(fit_group, "grp string, a string, b string, w binary")
     machines = [(r["grp"], r["a"], r["b"], np.frombuffer(bytes(r["w"]), "<f4")) for r in fitted.collect()]
     return LanguageModel(languages, sorted(machines, key=lambda m: m[:3]))
 
@@ -201,4 +203,4 @@ def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64())], [*b.schema.names, *added])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema)
-    return docs.mapInArrow(run, f"{fields}, {added[0]} string, {added[1]} double")
+    return docs.mapInArrow(lean(run), f"{fields}, {added[0]} string, {added[1]} double")
