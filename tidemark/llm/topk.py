@@ -266,14 +266,13 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, head: int = HEAD) ->
     cells = ["uid", "vec_id", "norm", "ints"]
     queries = rows.filter(is_query).mapInArrow(lean(_seeded(seeds, k)), "vec_id long, norm double, ints binary, uid long, least double")
     reach = lambda top: F.col("norm") * F.lit(top * (1 + 1e-9)) + 1e-6 >= F.col("least")
-    wanted = F.flatten(F.array(*[
-        F.when(reach(top), F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda p, i=i: F.struct(F.lit(i).alias("band"), p.alias("part")))).otherwise(F.array())
-        for i, (top, n) in enumerate(bands)
-    ]))
+    wanted = F.array_compact(F.array(*[F.when(reach(top), F.lit(i)) for i, (top, _) in enumerate(bands)]))
+    last_part = F.element_at(F.array(*[F.lit(n - 1) for _, n in bands]), F.col("band") + 1)
     queries = work.write(queries.withColumn("block", F.pmod(F.xxhash64("uid"), F.lit(blocks)).cast("int")).withColumn("wanted", wanted), "queries")
     # One row per band: the blocks that have a query for it.
-    per_band = work.write(queries.select("block", F.explode("wanted.band").alias("band")).distinct().groupBy("band").agg(F.collect_list("block").alias("blocks")), "bands")
-    dealt_queries = queries.select("block", F.explode("wanted").alias("at"), F.lit(False).alias("is_candidate"), *cells, "least").select("block", "at.*", "is_candidate", *cells, "least")
+    per_band = work.write(queries.select("block", F.explode("wanted").alias("band")).distinct().groupBy("band").agg(F.collect_list("block").alias("blocks")), "bands")
+    dealt_queries = queries.select("block", F.explode("wanted").alias("band"), F.lit(False).alias("is_candidate"), *cells, "least")
+    dealt_queries = dealt_queries.select("block", "band", F.explode(F.sequence(F.lit(0), last_part)).alias("part"), "is_candidate", *cells, "least")
     dealt = join_checked(placed, per_band, ["band"]).select(F.explode("blocks").alias("block"), "band", "part", F.lit(True).alias("is_candidate"), *cells, F.lit(None).cast("double").alias("least"))
     met = (
         dealt_queries.unionByName(dealt).repartition(blocks * sum(n for _, n in bands), "block", "band", "part")
