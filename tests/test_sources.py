@@ -105,6 +105,27 @@ def test_weekly_quotes(spark, tmp_path):
     assert (bid[1]["close"], ask[1]["close"]) == (1.1003, 1.1005)
 
 
+def test_year_of_weeks(spark, tmp_path):
+    from tidemark.sources.objects import download_year
+
+    head = "DateTime,BidOpen,BidHigh,BidLow,BidClose,AskOpen,AskHigh,AskLow,AskClose"
+    row = lambda day: f"\n{day} 00:00:00,1.1,1.2,1.0,1.15,1.102,1.202,1.002,1.152"
+    folder = tmp_path / "m1/EURUSD/2015"
+    folder.mkdir(parents=True)
+    (folder / "2.csv.gz").write_bytes(gzip.compress((head + row("2015-01-05") + row("2015-01-06")).encode()))
+    (folder / "3.csv.gz").write_bytes(gzip.compress((head.lower() + row("2015-01-12")).encode()))
+    got, missing = download_year(spark, f"file://{tmp_path}", "eur/usd", 2015, str(tmp_path / "got"), attempts=1, backoff=0.0)
+    rows = got.orderBy("ts").collect()
+    assert missing == [w for w in range(1, 54) if w not in (2, 3)]
+    assert [str(r["ts"])[:10] for r in rows] == ["2015-01-05", "2015-01-06", "2015-01-12"] and rows[0]["open"] == pytest.approx(1.101)
+    assert spark.read.parquet(str(tmp_path / "got/pass0")).filter("status = 'ok' AND sha256 IS NOT NULL").count() == 2
+    with pytest.raises(ValueError, match="no week"):
+        download_year(spark, f"file://{tmp_path}", "GBPUSD", 2015, str(tmp_path / "none"), attempts=1, backoff=0.0)
+    (folder / "4.csv.gz").write_bytes(gzip.compress((head + row("2015-01-05")).encode()))
+    with pytest.raises(ValueError, match="duplicate"):
+        download_year(spark, f"file://{tmp_path}", "EURUSD", 2015, str(tmp_path / "again"), attempts=1, backoff=0.0)
+
+
 def test_candle_payloads(spark):
     arrays = json.dumps({"candles": [[1704067200, 1.0, 1.2, 1.3, 0.9], [1704067260000, 1.2, 1.1, 1.25, 1.0], ["x"], [1, 2]]})
     objects_ = json.dumps([{"time": 1704067200, "open": 1, "high": 2, "low": 0.5, "close": 1.5}, {"time": 1}])
@@ -145,24 +166,42 @@ def test_payouts_as_of_never_use_the_future(spark):
     assert joins.asof_backward(e, o.limit(0), 120).filter("payout IS NOT NULL").count() == 0
 
 
+CANDIDATES = "model_version string, asset string, market_type string, signal_timestamp timestamp, direction string, probability double, probability_threshold double, expiry_bars int, payout double, payout_observed_at timestamp"
+OUTCOMES = "candidate_id string, entry_timestamp timestamp, expiry_timestamp timestamp, entry_price double, exit_price double, result string, pnl double"
+
+
 def test_ledger_chain_and_rules(spark, tmp_path):
     path = str(tmp_path / "ledger")
     at = dt.datetime(2026, 1, 1, 12, 0, tzinfo=dt.UTC)
-    made = dict(model_version="v", asset="A", market_type="otc", signal_timestamp=at, direction="call", probability=0.7, probability_threshold=0.625, expiry_bars=3)
-    r = ledgers.append_candidate(spark, path, **made, payout=0.9, payout_observed_at=at - dt.timedelta(seconds=5))
-    key = json.loads(r["payload"])["candidate_id"]
-    for wrong in ({}, {"direction": "put"}, {"probability": 0.6}, {"payout_observed_at": at + dt.timedelta(seconds=1)}, {"signal_timestamp": dt.datetime(2026, 1, 1)}):
-        with pytest.raises(ValueError):
-            ledgers.append_candidate(spark, path, **(made | wrong))
-    settled = dict(candidate=key, entry_timestamp=at + dt.timedelta(minutes=1), expiry_timestamp=at + dt.timedelta(minutes=3), entry_price=1.0, exit_price=1.1, result="win", pnl=0.9)
-    with pytest.raises(ValueError):
-        ledgers.append_outcome(spark, path, **(settled | {"pnl": -1.0}))
-    ledgers.append_outcome(spark, path, **settled)
-    with pytest.raises(ValueError, match="already"):
-        ledgers.append_outcome(spark, path, **settled)
-    row = ledgers.forward_ledger(spark, path).first()
-    assert row["settled"] and row["outcome_result"] == "win" and ledgers.verify(spark, path)
-    tampered = ledgers.read_ledger(spark, path).withColumn("payload", F.regexp_replace("payload", "0.7", "0.8"))
+    good = dict(model_version="v", asset="A", market_type="otc", signal_timestamp=at, direction="call", probability=0.7, probability_threshold=0.625, expiry_bars=3,
+                payout=0.9, payout_observed_at=at - dt.timedelta(seconds=5))
+    add = lambda *rows: ledgers.append_candidates(spark.createDataFrame([tuple((good | r).values()) for r in rows], CANDIDATES), path)
+    add({}, {"asset": "B", "payout": None, "payout_observed_at": None})
+    for wrong, rule in (({}, "identity"), ({"direction": "put"}, "conviction"), ({"direction": "up"}, "side"), ({"probability": 0.6}, "conviction"), ({"payout": 1.5}, "payout"),
+                        ({"probability_threshold": 0.5}, "threshold"), ({"expiry_bars": 0}, "horizon"), ({"payout_observed_at": at + dt.timedelta(seconds=1)}, "future"), ({"probability": None}, "probability")):
+        with pytest.raises(ValueError, match=rule):
+            add({"asset": "C"}, wrong if not wrong else {"asset": "D"} | wrong)
+    with pytest.raises(ValueError, match="identity"):
+        add({"asset": "E"}, {"asset": "E"})
+    with pytest.raises(ValueError, match="time zone"):
+        ledgers.append_candidates(spark.createDataFrame([tuple(good.values())], CANDIDATES).withColumn("signal_timestamp", F.lit("2026-01-01 12:00:00")), path)
+    known = {r["asset"]: r["candidate_id"] for r in ledgers.events(spark, path, "candidate").collect()}
+    assert known["A"] == ledgers.candidate_id("v", "A", "otc", at, "call", 3, 1, 0.625) and len(known) == 2
+
+    done = dict(candidate_id=known["A"], entry_timestamp=at + dt.timedelta(minutes=1), expiry_timestamp=at + dt.timedelta(minutes=3), entry_price=1.0, exit_price=1.1, result="win", pnl=0.9)
+    settle = lambda *rows: ledgers.append_outcomes(spark.createDataFrame([tuple((done | r).values()) for r in rows], OUTCOMES), path)
+    for wrong, rule in (({"pnl": -1.0}, "sign"), ({"result": "tie"}, "sign"), ({"result": "draw"}, "result"), ({"candidate_id": "none"}, "one candidate"),
+                        ({"entry_timestamp": at}, "after signal"), ({"expiry_timestamp": at}, "after entry")):
+        with pytest.raises(ValueError, match=rule):
+            settle(wrong)
+    settle({})
+    with pytest.raises(ValueError, match="first outcome"):
+        settle({})
+    rows = {r["asset"]: r for r in ledgers.forward_ledger(spark, path).collect()}
+    assert rows["A"]["settled"] and rows["A"]["outcome_result"] == "win" and not rows["B"]["settled"] and ledgers.verify(spark, path)
+    records = ledgers.read_ledger(spark, path)
+    assert [r["seq"] for r in records.orderBy("seq").collect()] == [0, 1, 2]
+    tampered = records.withColumn("payload", F.when(F.col("seq") == 0, F.regexp_replace("payload", "0.7", "0.8")).otherwise(F.col("payload")))
     assert ledgers.chain_faults(tampered).count() == 1
 
 

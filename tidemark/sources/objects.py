@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import csv
+import gzip
 import hashlib
+import io
 import lzma
 import time
 import urllib.error
@@ -15,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators.bars import normalize_symbol, price_divisor, ticks_to_candles
+from tidemark.sources.readers import weekly_quotes
 
 RETRY_STATUS = (429, 500, 502, 503, 504)
 #: Fixed value: a tick record, big-endian: milliseconds in the hour, ask and bid in points, volumes.
@@ -130,6 +134,41 @@ def download_candles(spark: SparkSession, base: str, symbol: str, start: str, en
     return ticks_to_candles(ticks.withColumn("series_id", F.lit(normalize_symbol(symbol))), width, price)
 
 
+#: The columns of a weekly object, in lower case.
+WEEKLY_COLUMNS = ("datetime", *(f"{q}{p}" for q in ("bid", "ask") for p in ("open", "high", "low", "close")), "tickqty")
+WEEKS = 53
+
+
+def decode_weeks(objects: DataFrame) -> DataFrame:
+    """Rows of gzipped CSV payloads as text columns; columns are found by name in any case, an unknown one is left out."""
+
+    def run(batches):
+        for b in batches:
+            for payload in b.column("payload").to_pylist():
+                rows = csv.reader(io.StringIO(gzip.decompress(payload).decode("utf-8-sig")))
+                names = [n.strip().lower() for n in next(rows, [])]
+                cells = list(zip(*(r for r in rows if len(r) == len(names)), strict=True)) or [()] * len(names)
+                found = dict(zip(names, cells, strict=True))
+                n = len(cells[0]) if cells else 0
+                yield pa.RecordBatch.from_arrays([pa.array(found.get(c, [None] * n), pa.string()) for c in WEEKLY_COLUMNS], list(WEEKLY_COLUMNS))
+
+    return objects.select("payload").mapInArrow(run, ", ".join(f"{c} string" for c in WEEKLY_COLUMNS))
+
+
+def download_year(spark: SparkSession, base: str, symbol: str, year: int, path: str, period: str = "m1", side: str = "mid", **options) -> tuple[DataFrame, list[int]]:
+    """(validated candles of a year, the weeks that do not exist).
+
+    All weeks are fetched as one table, with provenance in `path`; a week that could not be fetched fails the year, one
+    that is not there is listed. A year without any week fails.
+    """
+    weeks = spark.createDataFrame([(w, weekly_url(base, symbol, year, w, period)) for w in range(1, WEEKS + 1)], "week int, url string")
+    got = acquire(weeks, path, **options).join(weeks, "url")
+    missing = sorted(r["week"] for r in got.filter("status = 'missing'").select("week").collect())
+    if len(missing) == WEEKS:
+        raise ValueError(f"no week of {year} exists for {symbol}")
+    return weekly_quotes(decode_weeks(got.filter("status = 'ok'")), side), missing
+
+
 def read_tick_files(spark: SparkSession, path: str, symbol: str) -> DataFrame:
     """Ticks of stored hourly objects; the hour is in the file's path, months from 0."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*h_ticks.bi5").load(path)

@@ -12,6 +12,8 @@ from tidemark.operators.validate import fingerprint, validate
 from tidemark.schemas import PAYOUT, PRICES
 
 PUBLIC_COLUMNS = ["ts", *PRICES, "volume", "spread", "real_volume"]
+#: Times in text, to the microsecond.
+MICROS = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 #: Milliseconds from this number of units on, seconds below.
 MILLIS_FROM = 1_000_000_000_000
 
@@ -51,9 +53,13 @@ def read_public_csv(spark: SparkSession, path: str, rename: dict[str, str] | Non
 
 def read_weekly_quotes(spark: SparkSession, path: str, side: str = "mid") -> DataFrame:
     """Weekly (gzipped) CSV of bid and ask candles, columns in any case: side's OHLC, volume, open, close and mean spread."""
+    return weekly_quotes(spark.read.option("header", True).csv(path), side)
+
+
+def weekly_quotes(df: DataFrame, side: str = "mid") -> DataFrame:
+    """The same from a table of text columns."""
     if side not in ("mid", "bid", "ask"):
         raise ValueError("side must be mid, bid or ask")
-    df = spark.read.option("header", True).csv(path)
     have = {c.lower(): c for c in df.columns}
     at = next((have[k] for k in ("datetime", "date", "time") if k in have), None)
     if at is None:
@@ -113,7 +119,7 @@ def read_payouts(spark: SparkSession, path: str) -> DataFrame:
 
 def append_payouts(observations: DataFrame, path: str) -> None:
     """Add observations to a directory of JSON lines."""
-    checked_payouts(observations).write.mode("append").json(path)
+    checked_payouts(observations).write.mode("append").option("timestampFormat", MICROS).json(path)
 
 
 def checked_payouts(df: DataFrame) -> DataFrame:
@@ -130,7 +136,7 @@ def read_manifest(spark: SparkSession, path: str, asset: str, period_seconds: in
 
 def write_frame(df: DataFrame, path: str) -> None:
     """CSV or Parquet by suffix, with a header for CSV."""
-    writer = df.write.mode("errorifexists")
+    writer = df.write.mode("errorifexists").option("timestampFormat", MICROS).option("timestampNTZFormat", MICROS.removesuffix("XXX"))
     writer.option("header", True).csv(path) if suffix_of(path) == "csv" else writer.parquet(path)
 
 
