@@ -62,12 +62,21 @@ def numbered(bars: DataFrame) -> DataFrame:
     return bars.withColumn("bar_idx", F.row_number().over(series()).cast("long") - 1)
 
 
+def with_interval(bars: DataFrame) -> DataFrame:
+    """Add step_us, the time since the bar before, and interval_us, the slice's most frequent positive step, the smallest of equals.
+
+    All windows lie within a slice, so bars are shuffled once.
+    """
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    rows = bars.withColumn("step_us", us - F.lag(us).over(series()))
+    rows = rows.withColumn("_n", F.count(F.lit(1)).over(Window.partitionBy(*KEYS, "step_us")))
+    best = F.max(F.when(F.col("step_us") > 0, F.struct("_n", (-F.col("step_us")).alias("step")))).over(Window.partitionBy(*KEYS))
+    return rows.withColumn("interval_us", -best["step"]).drop("_n")
+
+
 def inferred_interval(bars: DataFrame) -> DataFrame:
-    """(series_id, slice, interval_us): the most frequent positive step, the smallest of equals."""
-    step = F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(series())
-    steps = bars.select(*KEYS, step.alias("step")).filter("step > 0").groupBy(*KEYS, "step").count()
-    best = F.max(F.struct("count", -F.col("step")))
-    return steps.groupBy(*KEYS).agg(best.alias("b")).select(*KEYS, (-F.col("b.col2")).alias("interval_us"))
+    """(series_id, slice, interval_us) of slices that have a positive step."""
+    return with_interval(bars).filter("interval_us IS NOT NULL").groupBy(*KEYS).agg(F.first("interval_us").alias("interval_us"))
 
 
 def with_breaks(bars: DataFrame) -> DataFrame:
@@ -76,10 +85,8 @@ def with_breaks(bars: DataFrame) -> DataFrame:
     Bars i and j are joined by equal steps exactly if breaks are equal at both; with no
     interval (one bar) every bar is alone.
     """
-    step = F.unix_micros(F.col("ts").cast("timestamp")) - F.lag(F.unix_micros(F.col("ts").cast("timestamp"))).over(series())
-    rows = bars.withColumn("step_us", step).join(inferred_interval(bars), KEYS, "left")
     off = F.coalesce(F.when(F.col("step_us").isNull(), 0).when(F.col("step_us") == F.col("interval_us"), 0), F.lit(1))
-    return rows.withColumn("breaks", F.sum(off).over(series().rowsBetween(Window.unboundedPreceding, 0))).drop("step_us", "interval_us")
+    return with_interval(bars).withColumn("breaks", F.sum(off).over(series().rowsBetween(Window.unboundedPreceding, 0))).drop("step_us", "interval_us")
 
 
 def contiguous_ahead(bars: int) -> Column:

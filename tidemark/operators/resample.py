@@ -9,8 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.metrics import metrics
-from tidemark.operators.settle import Settlement, profit, settle
+from tidemark.operators.metrics import block_of, metrics
+from tidemark.operators.settle import Settlement, profit, settle_all
 
 PAYOUTS = (0.70, 0.75, 0.80, 0.82, 0.85, 0.90, 0.92)
 
@@ -22,10 +22,19 @@ def hash_index(seed: int, n: Column, *parts: str) -> Column:
 
 
 def numbered_pnl(trades: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """(pos, pnl) from 0 in the order of entry; a pnl that is not finite fails."""
+    """(pos, pnl, upto) in the order of entry: position from 0 and the sum so far; a pnl that is not finite fails.
+
+    Positions and sums are counted within blocks (days) and shifted by those of the blocks before, of which there is one row each.
+    """
+    order = order or ["entry_ts", "signal_ts"]
     pnl = F.when(F.col("pnl").isNull() | F.isnan("pnl") | (F.abs("pnl") == float("inf")), F.raise_error(F.lit("pnl must be finite")).cast("double")).otherwise(F.col("pnl"))
-    w = Window.orderBy(*(order or ["entry_ts", "signal_ts"]))
-    return trades.select((F.row_number().over(w) - 1).cast("long").alias("pos"), pnl.alias("pnl"))
+    rows = trades.select(block_of(trades, order[0]).alias("_block"), *order, pnl.alias("pnl"))
+    w = Window.partitionBy("_block").orderBy(*order)
+    rows = rows.select("_block", "pnl", F.row_number().over(w).alias("n"), F.sum("pnl").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("sum"))
+    before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = rows.groupBy("_block").agg(F.count(F.lit(1)).alias("rows"), F.sum("pnl").alias("total"))
+    blocks = blocks.select("_block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"), F.coalesce(F.sum("total").over(before), F.lit(0.0)).alias("start"))
+    return rows.join(blocks, "_block").select((F.col("first") + F.col("n") - 1).cast("long").alias("pos"), "pnl", (F.col("start") + F.col("sum")).alias("upto"))
 
 
 def _simulations(trades: DataFrame, n: int) -> DataFrame:
@@ -57,8 +66,7 @@ def bootstrap_expectancy(trades: DataFrame, simulations: int = 10_000, seed: int
 def block_bootstrap_expectancy(trades: DataFrame, block: int = 20, simulations: int = 10_000, seed: int = 42) -> DataFrame:
     """Blocks of consecutive trades at drawn starts, cut to as many trades as there are; a block's sum is two running sums."""
     pnl = numbered_pnl(trades)
-    run = F.sum("pnl").over(Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0))
-    sums = pnl.select((F.col("pos") + 1).alias("pos"), run.alias("upto")).unionByName(pnl.select(F.lit(0).cast("long").alias("pos"), F.lit(0.0).alias("upto")).limit(1))
+    sums = pnl.select((F.col("pos") + 1).alias("pos"), "upto").unionByName(pnl.select(F.lit(0).cast("long").alias("pos"), F.lit(0.0).alias("upto")).limit(1))
     size = pnl.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= block)
     rows = _simulations(trades, simulations).crossJoin(F.broadcast(size)).withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)))
     rows = rows.withColumn("start", hash_index(seed, F.col("n") - block + 1, "sim", "blk")).withColumn("end", F.col("start") + F.least(F.lit(block), F.col("n") - F.col("blk") * block))
@@ -85,11 +93,10 @@ def payout_sensitivity(trades: DataFrame, payouts=PAYOUTS) -> DataFrame:
 
 
 def execution_sensitivity(bars: DataFrame, signal: str = "signal", base: Settlement = Settlement(), offsets=(1, 2), cooldowns=(0, 1)) -> DataFrame:
-    """Metrics under later entries, with overlap, and without it under each cooldown."""
-    out = None
-    for offset in offsets:
-        for overlap, cooldown in [(True, 0), *((False, x) for x in cooldowns)]:
-            cfg = base.but(entry_offset_bars=offset, allow_overlap=overlap, cooldown_bars=cooldown)
-            row = metrics(settle(bars, signal, cfg)).select(F.lit(offset).alias("offset"), F.lit(overlap).alias("overlap"), F.lit(cooldown).alias("cooldown"), "*")
-            out = row if out is None else out.unionByName(row)
-    return out
+    """Metrics under later entries, with overlap, and without it under each cooldown; all are settled in one pass."""
+    plans = [(offset, overlap, cooldown) for offset in offsets for overlap, cooldown in [(True, 0), *((False, x) for x in cooldowns)]]
+    cfgs = [base.but(entry_offset_bars=o, allow_overlap=a, cooldown_bars=x) for o, a, x in plans]
+    found = metrics(settle_all(bars, [(signal, cfg) for cfg in cfgs]), ["plan"])
+    table = bars.sparkSession.createDataFrame([(i, *p) for i, p in enumerate(plans)], "plan int, offset int, overlap boolean, cooldown int")
+    zero = ["trades", "wins", "losses", "ties", "total_pnl", "max_drawdown", "max_losing_streak", "max_winning_streak"]
+    return table.join(found, "plan", "left").fillna(0, zero).drop("plan")

@@ -26,12 +26,18 @@ def ordered_stream(df: DataFrame, order: list[str], start: Callable[[], object],
         for pdf in batches:
             if not len(pdf):
                 continue
-            names = [tuple(None if x is None or x != x else x for x in row) for row in zip(*(pdf[k] for k in keys), strict=True)]
-            change = [i for i in range(len(names)) if i == 0 or names[i] != names[i - 1]]
+            new = np.zeros(len(pdf), bool)
+            new[0] = True
+            for k in keys:  # a change of any key, nulls being equal
+                now = pdf[k].to_numpy(object)
+                gone = pdf[k].isna().to_numpy()
+                new[1:] |= (gone[1:] != gone[:-1]) | ((now[1:] != now[:-1]) & ~gone[1:])
+            change = np.flatnonzero(new)
             out = []
             for a, b in zip(change, [*change[1:], len(pdf)], strict=True):
-                if names[a] != last:
-                    last, state = names[a], start()
+                name = tuple(None if pd.isna(x) else x for x in (pdf[k].iloc[a] for k in keys))
+                if name != last:
+                    last, state = name, start()
                 part = pdf.iloc[a:b]
                 state, columns = step(state, part)
                 out.append(part.assign(**columns))
@@ -68,17 +74,17 @@ def ewm(df: DataFrame, specs: dict[str, tuple[str, float, int]], order: str = "t
     return ordered_stream(df, [order], start, step, ", ".join(f"{name} double" for name in specs))
 
 
-def first_free(df: DataFrame, start_col: str, end_col: str, cooldown: int, order: str) -> DataFrame:
-    """Add `kept`: taken greedily, a row stays if it starts later than the last one kept ended, plus the cooldown.
+def first_free(df: DataFrame, start_col: str, end_col: str, cooldown_col: str, order: str, keys: list[str] | None = None) -> DataFrame:
+    """Add `kept`: taken greedily, a row stays if it starts later than the last one kept ended, plus its cooldown.
 
     Before any row stayed the last end counts as -1, so a cooldown also holds back the first rows.
     """
 
     def step(last, part):
         kept = []
-        for s, e in zip(part[start_col].tolist(), part[end_col].tolist(), strict=True):
-            kept.append(s > last + cooldown)
+        for s, e, wait in zip(part[start_col].tolist(), part[end_col].tolist(), part[cooldown_col].tolist(), strict=True):
+            kept.append(s > last + wait)
             last = e if kept[-1] else last
         return last, {"kept": np.array(kept, bool)}
 
-    return ordered_stream(df, [order], lambda: -1, step, "kept boolean")
+    return ordered_stream(df, [order], lambda: -1, step, "kept boolean", keys)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.operators.bars import series, inferred_interval, numbered, require_columns
+from tidemark.operators.bars import numbered, require_columns, series, with_interval
 from tidemark.schemas import KEYS, PRICES
 
 
@@ -24,9 +24,7 @@ def invalid_ohlc():
 def diagnose(frame: DataFrame) -> DataFrame:
     """One row a series: counts, interval, gaps (all and those that touch a weekend day), largest gap, fingerprint."""
     bars = numbered(normalize(frame))
-    us = F.unix_micros(F.col("ts").cast("timestamp"))
-    before = F.lag("ts").over(series())
-    rows = bars.withColumns({"before": before, "step": us - F.lag(us).over(series())}).join(inferred_interval(bars), KEYS, "left")
+    rows = with_interval(bars).withColumn("before", F.lag("ts").over(series())).withColumnRenamed("step_us", "step")
     missing = F.greatest(F.lit(1), F.bround(F.col("step") / F.col("interval_us"))).cast("long") - 1
     gap = F.col("step") > F.col("interval_us")
     weekend = F.exists(F.sequence(F.to_date("before"), F.to_date("ts")), lambda d: F.weekday(d) >= 5)
@@ -59,8 +57,9 @@ def validate(frame: DataFrame, allow_gaps: bool = True) -> DataFrame:
 
 
 def row_text(columns: list[str]):
-    """Canonical text of a row: cells joined by commas, null empty."""
-    return F.concat_ws(",", *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns])
+    """Canonical text of a row, one for one set of cells: each cell's length, a colon and its text; a null is a dash."""
+    text = [F.col(c).cast("string") for c in columns]
+    return F.concat_ws(",", *[F.coalesce(F.concat(F.char_length(t).cast("string"), F.lit(":"), t), F.lit("-")) for t in text])
 
 
 def fingerprint(frame: DataFrame, by: tuple[str, ...] = ()) -> DataFrame:

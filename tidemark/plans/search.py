@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tidemark.functions.signals import Family
 from tidemark.operators.bars import series, contiguous_ahead, numbered, with_breaks
 from tidemark.operators.metrics import counts, metrics, score
-from tidemark.operators.settle import Settlement, outcome, profit, settle
+from tidemark.operators.settle import Settlement, outcome, profit, settle, settle_all
 
 
 SHARES = (0.6, 0.2)
@@ -175,12 +175,10 @@ def walk_forward(bars: DataFrame, family: Family, variant: Variant, train: int,
 
 
 def benchmark_strategies(bars: DataFrame, strategies: dict, cfg: Settlement = Settlement()) -> DataFrame:
-    """Metrics of named rules on each slice: strategy, slice, trades, ..."""
-    parts = split_slices(bars)
-    out = None
-    for name, add in strategies.items():
-        row = metrics(settle(add(parts), "signal", cfg), ["slice"]).withColumn("strategy", F.lit(name))
-        out = row if out is None else out.unionByName(row)
-    return out
-
-
+    """Metrics of named rules on each slice: strategy, slice, trades, ... All signals are settled in one pass."""
+    rows, names = split_slices(bars), list(strategies)
+    for i, name in enumerate(names):
+        rows = strategies[name](rows).withColumnRenamed("signal", f"signal_{i}")
+    trades = settle_all(rows, [(f"signal_{i}", cfg) for i in range(len(names))])
+    named = F.element_at(F.array(*[F.lit(n) for n in names]), F.col("plan") + 1)
+    return metrics(trades.withColumn("strategy", named), ["strategy", "slice"])
