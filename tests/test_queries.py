@@ -2,7 +2,7 @@ import pytest
 
 import __spark_entry__ as entry
 from tests.oracle import assert_same
-from tidemark.queries import ORACLE_SQL, QUERIES
+from tidemark.catalog import ORACLE_SQL, QUERIES
 
 SF = "/root/testdata/sf0.001"
 

@@ -14,9 +14,7 @@ from tidemark.functions import context, indicators, signals
 from tidemark.operators import consolidate, joins, metrics, resample, validate
 from tidemark.operators.bars import contiguous_ahead, inferred_interval, numbered, ticks_to_candles, with_breaks
 from tidemark.operators.settle import Settlement, direction_target, settle
-from tidemark.plans import models, search
 from tidemark.schemas import PRICES
-from tidemark.sources import synthetic
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
@@ -101,13 +99,19 @@ def lag(col: str, n: int = 1) -> str:
     return f"lag({col}, {n}) OVER (ORDER BY ts)"
 
 
+LOOK = ", ".join(f"{prior_sql('max', 'high', n)} AS ph{n}, {prior_sql('min', 'low', n)} AS pl{n}" for n in signals.LOOKBACKS)
 E1 = {f"e{n}": ("close", 2 / (n + 1), n) for n in (12, 26)} | {f"ema_{n}": ("close", 2 / (n + 1), n) for n in (20, 50)}
 E1 |= {f"atr_{n}": ("tr", 1 / n, n) for n in (5, 14, 50)} | {k: (v, 1 / 14, 14) for k, v in {"ag": "g", "al": "l", "eu": "up", "ed": "dn"}.items()}
 
 
-def core_sql(minutes: int = 60) -> str:
-    """CTEs up to `f`: bars with the core features and the volatility context."""
-    return f"""{bars_sql(minutes)}, d0 AS (
+def dense_sql() -> str:
+    """CTEs up to `b`: the hourly bars set at one a minute, so that completed higher time frames are whole."""
+    return bars_sql().replace("b AS MATERIALIZED", "b0 AS MATERIALIZED") + ", b AS MATERIALIZED (SELECT * REPLACE (TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * bar_idx AS ts) FROM b0)"
+
+
+def core_sql(minutes: int = 60, source: str | None = None) -> str:
+    """CTEs up to `f`: bars (of source, which ends with `b`) with the core features and the volatility context."""
+    return f"""{source or bars_sql(minutes)}, d0 AS (
   SELECT *, close - {lag('close')} AS dc, high - {lag('high')} AS u, {lag('low')} - low AS w, {lag('close')} AS pc FROM b
 ), d AS MATERIALIZED (
   SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr, CASE WHEN dc IS NOT NULL THEN greatest(dc, 0.0) END AS g,
@@ -193,12 +197,26 @@ def dataset_diagnostics(spark, sf):
 PARTS = ", ".join(f"sum(('0x' || substr(h, {1 + 12 * k}, 12))::BIGINT)::VARCHAR AS s{k}" for k in range(5))
 
 
-@query("table_fingerprint", f"""WITH h AS (SELECT sha256(concat_ws(',', n_name, n_nationkey::VARCHAR, n_regionkey::VARCHAR)) AS h FROM nation), s AS (SELECT count(*) AS row_count, {PARTS} FROM h)
-SELECT row_count, sha256(concat_ws('|', 'n_name,n_nationkey,n_regionkey', row_count::VARCHAR, s0, s1, s2, s3, s4)) AS fingerprint FROM s""")
+def fingerprint_sql(source: str, columns: list[str]) -> str:
+    """The fingerprint of a source, columns by name."""
+    text = ", ".join(f"coalesce(length({c}::VARCHAR) || ':' || {c}::VARCHAR, '-')" for c in sorted(columns))
+    return f"""h AS (SELECT sha256(concat_ws(',', {text})) AS h FROM {source}), s AS (SELECT count(*) AS row_count, {PARTS} FROM h)
+SELECT row_count, sha256(concat_ws('|', '{','.join(sorted(columns))}', row_count::VARCHAR, s0, s1, s2, s3, s4)) AS fingerprint FROM s"""
+
+
+@query("table_fingerprint", f"WITH {fingerprint_sql('nation', ['n_name', 'n_nationkey', 'n_regionkey'])}")
 def table_fingerprint(spark, sf):
     return validate.fingerprint(spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", "n_name", "n_regionkey"))
 
 
+@query("candle_fingerprint", f"""WITH {bars_sql()}, w AS (SELECT epoch_us(ts) AS ts, {', '.join(f'round({c} * 10000)::BIGINT AS {c}' for c in PRICES)} FROM b),
+{fingerprint_sql('w', ['ts', *PRICES])}""")
+def candle_fingerprint(spark, sf):
+    """Prices as whole ten-thousandths and times as microseconds, whose texts all engines agree on."""
+    b = bars(spark, sf).select(F.unix_micros(F.col("ts").cast("timestamp")).alias("ts"), *[F.round(F.col(c) * 10000).cast("long").alias(c) for c in PRICES])
+    return validate.fingerprint(b)
+
+
 # --- features ----------------------------------------------------------------------------------------------------------------------------------------------
 
 
@@ -231,23 +249,32 @@ def utc_context(spark, sf):
 
 
 def htf_sql(minutes: int, coverage: float) -> str:
-    need = max(1, -(-minutes * coverage // 1))
-    return f"""h0 AS (
-  SELECT time_bucket(INTERVAL '{minutes} minutes', ts) AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, count(close) AS n FROM b GROUP BY ALL
-), sp AS (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL '{minutes} minutes')) AS ts FROM h0
-), h AS MATERIALIZED (SELECT sp.ts, open, high, low, close, coalesce(n, 0) AS n, row_number() OVER (ORDER BY sp.ts) - 1 AS hi FROM sp LEFT JOIN h0 USING (ts)
-), {ew_sql('hp', 'h', {'ema_fast': ('close', 2 / 5, 4), 'ema_slow': ('close', 2 / 13, 12)}, 'hi')}, h1 AS (
-  SELECT h.*, ema_fast, ema_slow, n / {float(minutes)}::DOUBLE AS coverage, ema_slow - {lag('ema_slow')} AS ema_slow_slope, close / nullif({lag('close')}, 0) - 1 AS return_1 FROM h JOIN hp USING (hi)
-), h2 AS (
-  SELECT *, CASE WHEN ema_fast > ema_slow AND ema_slow_slope > 0 THEN 1.0 WHEN ema_fast < ema_slow AND ema_slow_slope < 0 THEN -1.0 ELSE 0.0 END AS trend, n >= {need} AS ok FROM h1
-), h3 AS (SELECT ts AS bucket, {', '.join(f"lag(CASE WHEN ok THEN {c} END) OVER (ORDER BY ts) AS htf_{minutes}_{c}" for c in context.HTF_COLUMNS)} FROM h2)"""
+    """CTEs up to `h<minutes>`: per bucket what a bar in it may see, the features of the bucket before."""
+    m, need = minutes, max(1, -(-minutes * coverage // 1))
+    return f"""ha{m} AS (
+  SELECT time_bucket(INTERVAL '{m} minutes', ts) AS ts, arg_min(open, ts) AS open, max(high) AS high, min(low) AS low, arg_max(close, ts) AS close, count(close) AS n FROM b GROUP BY ALL
+), hs{m} AS (SELECT unnest(generate_series(min(ts), max(ts), INTERVAL '{m} minutes')) AS ts FROM ha{m}
+), hb{m} AS MATERIALIZED (SELECT sp.ts, open, high, low, close, coalesce(n, 0) AS n, row_number() OVER (ORDER BY sp.ts) - 1 AS hi FROM hs{m} sp LEFT JOIN ha{m} USING (ts)
+), {ew_sql(f'hp{m}', f'hb{m}', {'ema_fast': ('close', 2 / 5, 4), 'ema_slow': ('close', 2 / 13, 12)}, 'hi')}, hc{m} AS (
+  SELECT h.*, ema_fast, ema_slow, n / {float(m)}::DOUBLE AS coverage, ema_slow - {lag('ema_slow')} AS ema_slow_slope, close / nullif({lag('close')}, 0) - 1 AS return_1 FROM hb{m} h JOIN hp{m} USING (hi)
+), hd{m} AS (
+  SELECT *, CASE WHEN ema_fast > ema_slow AND ema_slow_slope > 0 THEN 1.0 WHEN ema_fast < ema_slow AND ema_slow_slope < 0 THEN -1.0 ELSE 0.0 END AS trend, n >= {need} AS ok FROM hc{m}
+), h{m} AS (SELECT ts AS bucket, {', '.join(f"lag(CASE WHEN ok THEN {c} END) OVER (ORDER BY ts) AS htf_{m}_{c}" for c in context.HTF_COLUMNS)} FROM hd{m})"""
+
+
+def research_sql(source: str | None = None) -> str:
+    """CTEs up to `fx`: the dense bars with all features, two higher time frames and the ranges that rules compare with."""
+    joins_ = " ".join(f"LEFT JOIN h{m} ON h{m}.bucket = time_bucket(INTERVAL '{m} minutes', f.ts)" for m in (5, 15))
+    return f"""{core_sql(source=source or dense_sql())}, {htf_sql(5, 0.8)}, {htf_sql(15, 0.8)}, fy AS (
+  SELECT f.*, h5.* EXCLUDE (bucket), h15.* EXCLUDE (bucket) FROM f {joins_}
+), fx AS MATERIALIZED (SELECT *, {LOOK}, {lag('bb_width_percentile_200')} AS prev_bb_width_percentile_200 FROM fy)"""
 
 
 HTF60 = [f"htf_60_{c}" for c in context.HTF_COLUMNS]
 
 
 @query("completed_higher_timeframe", f"""WITH RECURSIVE {bars_sql(5)}, {htf_sql(60, 0.15)}
-SELECT b.ts, {r(*HTF60)} FROM b LEFT JOIN h3 ON h3.bucket = time_bucket(INTERVAL '60 minutes', b.ts)""")
+SELECT b.ts, {r(*HTF60)} FROM b LEFT JOIN h60 ON h60.bucket = time_bucket(INTERVAL '60 minutes', b.ts)""")
 def completed_higher_timeframe(spark, sf):
     return rounded(context.completed_htf(bars(spark, sf, 5), 60, min_coverage=0.15).select("ts", *HTF60))
 
@@ -264,39 +291,60 @@ def market_regimes(spark, sf):
     return context.add_regime(indicators.add_core_features(bars(spark, sf))).select("ts", "market_regime")
 
 
-OWN_INPUTS = ["return_1", "return_3", "return_5", "body_atr", "range_atr", "ema_spread_atr", "ema20_slope_atr", "ema50_slope_atr", "macd_hist_atr", "bb_position",
-              "utc_hour_sin", "utc_hour_cos", "utc_weekday_sin", "utc_weekday_cos"]
+def dense(spark: SparkSession, sf: str) -> DataFrame:
+    """The hourly bars set at one a minute."""
+    return bars(spark, sf).withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, bar_idx, 0)"))
 
 
-@query("model_inputs", f"""WITH RECURSIVE {core_sql()}, x AS (
-  SELECT ts, {', '.join(f"close / nullif({lag('close', n)}, 0) - 1 AS return_{n}" for n in (1, 3, 5))}, (close - open) / nullif(atr_14, 0) AS body_atr, (high - low) / nullif(atr_14, 0) AS range_atr,
+@query("model_inputs", f"""WITH RECURSIVE {research_sql()}, x AS (
+  SELECT * , {', '.join(f"close / nullif({lag('close', n)}, 0) - 1 AS return_{n}" for n in (1, 3, 5))}, (close - open) / nullif(atr_14, 0) AS body_atr, (high - low) / nullif(atr_14, 0) AS range_atr,
     (ema_20 - ema_50) / nullif(atr_14, 0) AS ema_spread_atr, ema_20_slope / nullif(atr_14, 0) AS ema20_slope_atr, ema_50_slope / nullif(atr_14, 0) AS ema50_slope_atr,
     macd_hist / nullif(atr_14, 0) AS macd_hist_atr, (close - bb_middle) / nullif(bb_upper - bb_lower, 0) AS bb_position,
-    sin(2 * pi() * utc_hour / 24.0) AS utc_hour_sin, cos(2 * pi() * utc_hour / 24.0) AS utc_hour_cos, sin(2 * pi() * utc_weekday / 7.0) AS utc_weekday_sin, cos(2 * pi() * utc_weekday / 7.0) AS utc_weekday_cos FROM f
-) SELECT ts, {r(*OWN_INPUTS)} FROM x""")
+    sin(2 * pi() * utc_hour / 24.0) AS utc_hour_sin, cos(2 * pi() * utc_hour / 24.0) AS utc_hour_cos, sin(2 * pi() * utc_weekday / 7.0) AS utc_weekday_sin, cos(2 * pi() * utc_weekday / 7.0) AS utc_weekday_cos FROM fx
+) SELECT ts, {r(*context.ML_FEATURES)} FROM x""")
 def model_inputs(spark, sf):
-    return rounded(context.add_ml_features(bars(spark, sf)).select("ts", *OWN_INPUTS))
+    return rounded(context.add_ml_features(dense(spark, sf)).select("ts", *context.ML_FEATURES))
 
 
 # --- signals -----------------------------------------------------------------------------------------------------------------------------------------------
 
-LOOK = ", ".join(f"{prior_sql('max', 'high', n)} AS ph{n}, {prior_sql('min', 'low', n)} AS pl{n}" for n in signals.LOOKBACKS)
 LOOSE = {
     "trend_pullback": {"adx_min": 5.0, "atr_pct_min": 0.05, "atr_pct_max": 0.95, "ema_distance_atr": 1.5, "rsi_trigger": 50.0},
     "range_reversion": {"adx_max": 100.0, "rsi_lower": 48.0, "rsi_upper": 52.0, "band_buffer_atr": 1.2, "atr_pct_max": 0.95},
     "breakout": {"lookback": 10, "adx_min": 5.0, "body_min": 0.2, "atr_pct_min": 0.1, "trend_filter": True},
+    "htf_aligned_pullback": {"htf_minutes": 5, "adx_min": 5.0, "ema_distance_atr": 2.0, "rsi_trigger": 50.0, "atr_pct_max": 1.0},
+    "compression_breakout": {"htf_minutes": 15, "lookback": 10, "compression_max": 0.9, "body_min": 0.1, "atr_expansion_min": 0.7},
     "sweep_reversal": {"lookback": 10, "wick_min": 0.2, "rsi_edge": 50.5, "overshoot_atr": 0.0, "liquid_core_only": False},
 }
-RULE_SQL = {
-    "trend_pullback": ("adx_14 >= 5 AND atr_percentile_100 BETWEEN 0.05 AND 0.95 AND abs(distance_ema20_atr) <= 1.5 AND ema_20 > ema_50 AND ema_50_slope > 0 AND rsi_14 > 50 AND prev_rsi_14 <= 50 AND macd_hist > prev_macd_hist",
-                       "adx_14 >= 5 AND atr_percentile_100 BETWEEN 0.05 AND 0.95 AND abs(distance_ema20_atr) <= 1.5 AND ema_20 < ema_50 AND ema_50_slope < 0 AND rsi_14 < 50 AND prev_rsi_14 >= 50 AND macd_hist < prev_macd_hist"),
-    "range_reversion": ("adx_14 <= 100 AND atr_percentile_100 <= 0.95 AND atr_14 > 0 AND close <= bb_lower + 1.2 * atr_14 AND rsi_14 <= 48",
-                        "adx_14 <= 100 AND atr_percentile_100 <= 0.95 AND atr_14 > 0 AND close >= bb_upper - 1.2 * atr_14 AND rsi_14 >= 52"),
-    "breakout": ("adx_14 >= 5 AND atr_percentile_100 >= 0.1 AND candle_body_ratio >= 0.2 AND close > ph10 AND macd_hist > 0 AND ema_20 > ema_50",
-                 "adx_14 >= 5 AND atr_percentile_100 >= 0.1 AND candle_body_ratio >= 0.2 AND close < pl10 AND macd_hist < 0 AND ema_20 < ema_50"),
-    "sweep_reversal": ("prev_atr_14 > 0 AND low < pl10 AND close > pl10 AND close > open AND lower_wick_ratio >= 0.2 AND rsi_14 <= 49.5",
-                       "prev_atr_14 > 0 AND high > ph10 AND close < ph10 AND close < open AND upper_wick_ratio >= 0.2 AND rsi_14 >= 50.5"),
-}
+
+
+def rule_sql(family: str, p: dict) -> tuple[str, str]:
+    """(bullish, bearish) condition over fx, for parameters that are values or columns."""
+    pick = lambda key, stem, of: f"CASE {p[key]} " + " ".join(f"WHEN {v} THEN {stem.format(v)}" for v in of) + " END"
+    high, low = (pick("lookback", x + "{}", signals.LOOKBACKS) if "lookback" in p else "" for x in ("ph", "pl"))
+    htf = {n: pick("htf_minutes", "htf_{}_" + n, (5, 15)) for n in ("trend", "close", "ema_slow")} if "htf_minutes" in p else {}
+    up = f"ema_20 > ema_50 AND ema_50_slope > 0 AND rsi_14 > {p.get('rsi_trigger')} AND prev_rsi_14 <= {p.get('rsi_trigger')} AND macd_hist > prev_macd_hist"
+    down = f"ema_20 < ema_50 AND ema_50_slope < 0 AND rsi_14 < 100 - {p.get('rsi_trigger')} AND prev_rsi_14 >= 100 - {p.get('rsi_trigger')} AND macd_hist < prev_macd_hist"
+    if family == "trend_pullback":
+        near = f"adx_14 >= {p['adx_min']} AND atr_percentile_100 BETWEEN {p['atr_pct_min']} AND {p['atr_pct_max']} AND abs(distance_ema20_atr) <= {p['ema_distance_atr']}"
+        return f"{near} AND {up}", f"{near} AND {down}"
+    if family == "range_reversion":
+        calm = f"adx_14 <= {p['adx_max']} AND atr_percentile_100 <= {p['atr_pct_max']} AND atr_14 > 0"
+        return (f"{calm} AND close <= bb_lower + {p['band_buffer_atr']} * atr_14 AND rsi_14 <= {p['rsi_lower']}",
+                f"{calm} AND close >= bb_upper - {p['band_buffer_atr']} * atr_14 AND rsi_14 >= {p['rsi_upper']}")
+    if family == "breakout":
+        strong = f"adx_14 >= {p['adx_min']} AND atr_percentile_100 >= {p['atr_pct_min']} AND candle_body_ratio >= {p['body_min']}"
+        return (f"{strong} AND close > {high} AND macd_hist > 0 AND (NOT {p['trend_filter']} OR ema_20 > ema_50)",
+                f"{strong} AND close < {low} AND macd_hist < 0 AND (NOT {p['trend_filter']} OR ema_20 < ema_50)")
+    if family == "htf_aligned_pullback":
+        near = f"adx_14 >= {p['adx_min']} AND atr_percentile_100 <= {p['atr_pct_max']} AND abs(distance_ema20_atr) <= {p['ema_distance_atr']}"
+        return f"{near} AND {htf['trend']} = 1 AND {htf['close']} > {htf['ema_slow']} AND {up}", f"{near} AND {htf['trend']} = -1 AND {htf['close']} < {htf['ema_slow']} AND {down}"
+    if family == "compression_breakout":
+        ready = f"prev_bb_width_percentile_200 <= {p['compression_max']} AND candle_body_ratio >= {p['body_min']} AND atr_ratio_5_50 >= {p['atr_expansion_min']}"
+        return f"{ready} AND {htf['trend']} = 1 AND close > {high}", f"{ready} AND {htf['trend']} = -1 AND close < {low}"
+    open_ = f"prev_atr_14 > 0 AND (NOT {p['liquid_core_only']} OR utc_hour BETWEEN 7 AND 16)"
+    return (f"{open_} AND low < {low} - {p['overshoot_atr']} * prev_atr_14 AND close > {low} AND close > open AND lower_wick_ratio >= {p['wick_min']} AND rsi_14 <= 100 - {p['rsi_edge']}",
+            f"{open_} AND high > {high} + {p['overshoot_atr']} * prev_atr_14 AND close < {high} AND close < open AND upper_wick_ratio >= {p['wick_min']} AND rsi_14 >= {p['rsi_edge']}")
 
 
 def side_sql(bull: str, bear: str) -> str:
@@ -304,12 +352,38 @@ def side_sql(bull: str, bear: str) -> str:
 
 
 for _family, _params in LOOSE.items():
-    @query(f"signal_{_family}", f"WITH RECURSIVE {core_sql()}, q AS (SELECT *, {LOOK} FROM f) SELECT ts, ({side_sql(*RULE_SQL[_family])})::BIGINT AS signal FROM q")
+    @query(f"signal_{_family}", f"WITH RECURSIVE {research_sql()} SELECT ts, ({side_sql(*rule_sql(_family, _params))})::BIGINT AS signal FROM fx")
     def _signal(spark, sf, name=_family, params=_params):
-        made = signals.with_lags(context.add_utc_context(context.add_volatility_context(bars(spark, sf))))
+        made = signals.with_lags(context.add_research_context(dense(spark, sf)))
         return rounded(made.select("ts", signals.FAMILIES[name].rule(params).alias("signal")))
 
 
+RANGE, SWEEP = rule_sql("range_reversion", LOOSE["range_reversion"]), rule_sql("sweep_reversal", LOOSE["sweep_reversal"])
+
+
+@query("signal_frozen_rules", f"""WITH RECURSIVE {research_sql()} SELECT ts, (CASE WHEN ({side_sql(*RANGE)}) = 1 THEN 1 ELSE 0 END)::BIGINT AS call_only_range,
+  (CASE WHEN atr_percentile_100 > 0.25 AND atr_percentile_100 <= 0.5 THEN {side_sql(*SWEEP)} ELSE 0 END)::BIGINT AS moderate_sweep,
+  (CASE WHEN ({side_sql(*rule_sql('range_reversion', signals.FROZEN_RANGE))}) = 1 THEN 1 ELSE 0 END)::BIGINT AS frozen_range,
+  (CASE WHEN atr_percentile_100 > 0.25 AND atr_percentile_100 <= 0.5 THEN {side_sql(*rule_sql('sweep_reversal', signals.FROZEN_SWEEP))} ELSE 0 END)::BIGINT AS frozen_sweep FROM fx""")
+def signal_frozen_rules(spark, sf):
+    """The two rules of the third round, with loose parameters, so that they fire here, and with their own."""
+    made = signals.with_lags(context.add_research_context(dense(spark, sf)))
+    return rounded(made.select(
+        "ts", signals.call_only_range_reversion(LOOSE["range_reversion"]).alias("call_only_range"), signals.moderate_vol_sweep_reversal(LOOSE["sweep_reversal"]).alias("moderate_sweep"),
+        signals.call_only_range_reversion().alias("frozen_range"), signals.moderate_vol_sweep_reversal().alias("frozen_sweep")))
+
+
+@query("signal_constants", f"WITH {bars_sql()} SELECT ts, 1::BIGINT AS up, -1::BIGINT AS down FROM b")
+def signal_constants(spark, sf):
+    return rounded(bars(spark, sf).select("ts", signals.always_call().alias("up"), signals.always_put().alias("down")))
+
+
+@query("signal_from_probability", f"WITH {bars_sql()}, x AS (SELECT ts, CASE WHEN bar_idx % 7 > 0 THEN (bar_idx % 101) / 100.0::DOUBLE END AS p FROM b) SELECT ts, (CASE WHEN p >= 0.625 THEN 1 WHEN p <= 1 - 0.625::DOUBLE THEN -1 ELSE 0 END)::BIGINT AS signal FROM x")
+def signal_from_probability(spark, sf):
+    p = F.when(F.col("bar_idx") % 7 > 0, (F.col("bar_idx") % 101) / 100.0)
+    return rounded(bars(spark, sf).withColumn("p", p).select("ts", signals.probability_signal("p", 0.625).alias("signal")))
+
+
 EMA_X = ew_sql("x", "b", {"ef": ("close", 2 / 11, 10), "es": ("close", 2 / 31, 30)})
 
 
@@ -372,7 +446,7 @@ def metrics_sql(source: str, by: list[str], path: bool = True) -> str:
   WINDOW o AS ({part}ORDER BY entry_ts, signal_ts ROWS UNBOUNDED PRECEDING)
 ), e2 AS (SELECT *, greatest(0.0, max(eq) OVER ({part}ORDER BY entry_ts, signal_ts ROWS UNBOUNDED PRECEDING)) - eq AS dd FROM e
 ), st AS (SELECT {pre}result, rn - rr AS g, count(*) AS len, max(dd) AS dd FROM e2 GROUP BY ALL
-), y AS (SELECT {pre}max(dd) AS max_drawdown, coalesce(max(len) FILTER (WHERE result = 'loss'), 0) AS max_losing_streak, coalesce(max(len) FILTER (WHERE result = 'win'), 0) AS max_winning_streak FROM st {'GROUP BY ' + keys if by else ''})
+), y AS (SELECT {pre}coalesce(max(dd), 0.0) AS max_drawdown, coalesce(max(len) FILTER (WHERE result = 'loss'), 0) AS max_losing_streak, coalesce(max(len) FILTER (WHERE result = 'win'), 0) AS max_winning_streak FROM st {'GROUP BY ' + keys if by else ''})
 SELECT {select}, round(max_drawdown, 6) + 0.0 AS max_drawdown, max_losing_streak, max_winning_streak FROM x JOIN y ON {on}"""
 
 
@@ -529,29 +603,30 @@ def index_sql(text: str, n: str) -> str:
 
 PNL_SQL = "pp AS MATERIALIZED (SELECT row_number() OVER (ORDER BY entry_ts, signal_ts) - 1 AS pos, pnl, count(*) OVER () AS n FROM tr)"
 SUMMARY = "count(*) AS simulations, round(quantile_cont(m, 0.025), 6) AS p2_5, round(quantile_cont(m, 0.5), 6) AS median, round(quantile_cont(m, 0.975), 6) AS p97_5, round(avg((m > 0)::INT), 6) AS probability_positive"
-DRAWS_SQL = f"""dr AS (SELECT s.sim, d.draw, pp.pnl FROM range(200) s(sim), (SELECT unnest(range(n)) AS draw, n FROM (SELECT any_value(n) AS n FROM pp)) d
-  JOIN pp ON pp.pos = {index_sql("concat_ws('|', '42', s.sim::VARCHAR, d.draw::VARCHAR)", 'd.n')})"""
+def draws_sql(simulations: int) -> str:
+    return f"""d0 AS (SELECT s.sim, d.draw, {index_sql("concat_ws('|', '42', s.sim::VARCHAR, d.draw::VARCHAR)", 'd.n')} AS pos
+  FROM range({simulations}) s(sim) CROSS JOIN (SELECT unnest(range(n)) AS draw, n FROM (SELECT any_value(n) AS n FROM pp)) d), dr AS (SELECT sim, draw, pnl FROM d0 JOIN pp USING (pos))"""
 
 
-@query("bootstrap_expectancy", f"WITH {trades_sql()}, {PNL_SQL}, {DRAWS_SQL}, sm AS (SELECT avg(pnl) AS m FROM dr GROUP BY sim) SELECT {SUMMARY} FROM sm")
+@query("bootstrap_expectancy", f"WITH {trades_sql()}, {PNL_SQL}, {draws_sql(10_000)}, sm AS (SELECT avg(pnl) AS m FROM dr GROUP BY sim) SELECT {SUMMARY} FROM sm")
 def bootstrap(spark, sf):
-    return rounded(resample.bootstrap_expectancy(hourly_trades(spark, sf), 200))
+    return rounded(resample.bootstrap_expectancy(hourly_trades(spark, sf)))
 
 
 @query("block_bootstrap_expectancy", f"""WITH {trades_sql()}, {PNL_SQL}, bl AS (SELECT s.sim, k.blk, k.n, {index_sql("concat_ws('|', '42', s.sim::VARCHAR, k.blk::VARCHAR)", '(k.n - 19)')} AS st
-  FROM range(200) s(sim), (SELECT unnest(range(CAST(ceil(n / 20) AS BIGINT))) AS blk, n FROM (SELECT any_value(n) AS n FROM pp)) k
+  FROM range(10000) s(sim), (SELECT unnest(range(CAST(ceil(n / 20) AS BIGINT))) AS blk, n FROM (SELECT any_value(n) AS n FROM pp)) k
 ), sm AS (SELECT sum(pnl) / any_value(bl.n) AS m FROM bl JOIN pp ON pp.pos >= st AND pp.pos < st + least(20, bl.n - blk * 20) GROUP BY sim) SELECT {SUMMARY} FROM sm""")
 def block_bootstrap(spark, sf):
-    return rounded(resample.block_bootstrap_expectancy(hourly_trades(spark, sf), 20, 200))
+    return rounded(resample.block_bootstrap_expectancy(hourly_trades(spark, sf), 20))
 
 
-@query("monte_carlo", f"""WITH {trades_sql()}, {PNL_SQL}, {DRAWS_SQL}, eq AS (SELECT *, sum(pnl) OVER (PARTITION BY sim ORDER BY draw ROWS UNBOUNDED PRECEDING) AS e FROM dr
+@query("monte_carlo", f"""WITH {trades_sql()}, {PNL_SQL}, {draws_sql(5_000)}, eq AS (SELECT *, sum(pnl) OVER (PARTITION BY sim ORDER BY draw ROWS UNBOUNDED PRECEDING) AS e FROM dr
 ), fl AS (SELECT *, greatest(0.0, max(e) OVER (PARTITION BY sim ORDER BY draw ROWS UNBOUNDED PRECEDING)) - e AS dd FROM eq
 ), sm AS (SELECT sum(pnl) AS fin, max(dd) AS dd FROM fl GROUP BY sim)
 SELECT count(*) AS simulations, {', '.join(f"round(quantile_cont({c}, {p}), 6) AS {k}{n}" for c, k in (('fin', 'pnl_'), ('dd', 'drawdown_')) for p, n in ((0.025, 'p2_5'), (0.5, 'median'), (0.975, 'p97_5')))},
   round(avg((fin > 0)::INT), 6) AS probability_profit FROM sm""")
 def monte_carlo(spark, sf):
-    return rounded(resample.monte_carlo(hourly_trades(spark, sf), 200))
+    return rounded(resample.monte_carlo(hourly_trades(spark, sf)))
 
 
 @query("payout_sensitivity", f"""WITH {trades_sql()}, rp AS (SELECT entry_ts, signal_ts, result, q AS scenario_payout, CASE result WHEN 'win' THEN q WHEN 'loss' THEN -1.0 ELSE 0.0 END AS pnl
@@ -559,128 +634,3 @@ def monte_carlo(spark, sf):
 SELECT *, round(1 / (1 + scenario_payout), 6) AS break_even_win_rate FROM z""")
 def payout_sensitivity(spark, sf):
     return rounded(resample.payout_sensitivity(hourly_trades(spark, sf)))
-
-
-@query("execution_sensitivity")
-def execution_sensitivity(spark, sf):
-    return rounded(resample.execution_sensitivity(momentum(bars(spark, sf))))
-
-
-# --- search, slices, walk-forward --------------------------------------------------------------------------------------------------------------------------
-
-
-@query("chronological_split", f"""WITH {bars_sql()}, x AS (SELECT *, count(*) OVER () AS n FROM b)
-SELECT CASE WHEN bar_idx < floor(n * 0.6::DOUBLE) THEN 'development' WHEN bar_idx < floor(n * 0.6::DOUBLE) + floor(n * 0.2::DOUBLE) THEN 'validation' ELSE 'locked' END AS slice, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts FROM x GROUP BY ALL""")
-def chronological_split(spark, sf):
-    return search.split_slices(bars(spark, sf)).groupBy("slice").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"))
-
-
-GRID = {"adx_max": (95.0, 100.0), "rsi_lower": (40.0, 48.0), "rsi_upper": (52.0, 60.0), "band_buffer_atr": (0.6, 1.2), "atr_pct_max": (0.70, 0.95)}
-VARIANTS = [search.Variant(1), search.Variant(3), search.Variant(3, 2)]
-FAMILY = signals.Family("range_reversion", signals.range_reversion, indicators.add_core_features, GRID)
-
-
-def grid_sql() -> str:
-    values = ", ".join("(" + ", ".join([str(i), *(str(v) for v in s.values())]) + ")" for i, s in enumerate(search.parameter_sets(GRID)))
-    cells = " UNION ALL ".join(
-        f"SELECT {i} AS variant, k.*, lead(open, {v.entry_offset_bars}) OVER (ORDER BY ts) AS en, lead(close, {v.entry_offset_bars + v.expiry_bars - 1}) OVER (ORDER BY ts) AS ex, "
-        f"lead(breaks, {v.entry_offset_bars + v.expiry_bars - 1}) OVER (ORDER BY ts) = breaks AS ok FROM k" for i, v in enumerate(VARIANTS))
-    return f"""{core_sql()}, g(candidate, ax, lo, hi, bf, ap) AS (VALUES {values}), {STEPS.replace('FROM b', 'FROM f')}, ce AS ({cells}
-), sg AS (SELECT candidate, variant, en, ex, CASE WHEN adx_14 <= ax AND atr_percentile_100 <= ap AND atr_14 > 0 AND close >= bb_upper - bf * atr_14 AND rsi_14 >= hi THEN -1
-  WHEN adx_14 <= ax AND atr_percentile_100 <= ap AND atr_14 > 0 AND close <= bb_lower + bf * atr_14 AND rsi_14 <= lo THEN 1 ELSE 0 END AS dir FROM ce, g WHERE ok
-), rs AS (SELECT candidate, variant, CASE WHEN (ex - en) * dir > 0 THEN 'win' WHEN (ex - en) * dir < 0 THEN 'loss' ELSE 'tie' END AS result FROM sg WHERE dir <> 0
-), pn AS (SELECT *, CASE result WHEN 'win' THEN 0.82 WHEN 'loss' THEN -1.0 ELSE 0.0 END::DOUBLE AS pnl FROM rs), mt AS ({metrics_sql('pn', ['candidate', 'variant'], path=False).replace('a AS (', 'WITH a AS (', 1)})
-SELECT g.candidate::BIGINT AS candidate, vv.variant::BIGINT AS variant, coalesce(trades, 0) AS trades, coalesce(wins, 0) AS wins, coalesce(losses, 0) AS losses, expectancy,
-  CASE WHEN trades >= 5 THEN expectancy END AS score FROM g CROSS JOIN range({len(VARIANTS)}) vv(variant) LEFT JOIN mt ON mt.candidate = g.candidate AND mt.variant = vv.variant"""
-
-
-@query("grid_search_matrix", f"WITH RECURSIVE {grid_sql()}")
-def grid_search_matrix(spark, sf):
-    found = search.grid_search_matrix(FAMILY.prepared(bars(spark, sf)), FAMILY, VARIANTS, "expectancy", 5)
-    return rounded(found.select("candidate", "variant", "trades", "wins", "losses", "expectancy", "score"))
-
-
-@query("parameter_grids", "SELECT * FROM (VALUES ('trend_pullback', 288::BIGINT), ('range_reversion', 288), ('breakout', 192), ('htf_aligned_pullback', 72), ('compression_breakout', 32), ('sweep_reversal', 48)) t(family, size)")
-def parameter_grids(spark, sf):
-    tables = [search.parameter_table(spark, f.grid).select(F.lit(f.name).alias("family")) for f in signals.FAMILIES.values()]
-    out = tables[0]
-    for t in tables[1:]:
-        out = out.unionByName(t)
-    return out.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-
-
-@query("walk_forward_windows", f"""WITH {bars_sql()}, x AS (SELECT *, count(*) OVER () AS n FROM b), w AS (SELECT unnest(range(0, (any_value(n) - 300) // 100 + 1)) AS window_id FROM x)
-SELECT window_id, CASE WHEN bar_idx - window_id * 100 < 200 THEN 'train' ELSE 'test' END AS role, count(*) AS n, min(ts) AS first_ts, max(ts) AS last_ts
-FROM w JOIN x ON bar_idx >= window_id * 100 AND bar_idx < window_id * 100 + 300 GROUP BY ALL""")
-def walk_forward_windows(spark, sf):
-    w = search.walk_forward_windows(bars(spark, sf), 200, 100)
-    return rounded(w.groupBy("window_id", "role").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts")))
-
-
-@query("walk_forward")
-def walk_forward(spark, sf):
-    return rounded(search.walk_forward(bars(spark, sf), FAMILY, search.Variant(3), 400, 150, objective="expectancy", min_trades=3))
-
-
-@query("benchmark_strategies")
-def benchmark_strategies(spark, sf):
-    return rounded(search.benchmark_strategies(bars(spark, sf), signals.STRATEGIES))
-
-
-@query("gated_experiment")
-def gated_experiment(spark, sf):
-    out = search.run_experiment(bars(spark, sf), FAMILY, VARIANTS, search.Gate(3, -1.0, 0.0), "expectancy", 3, 3)
-    m = out.get("validation") or {}
-    return spark.createDataFrame([(out["status"], m.get("trades"), m.get("expectancy"))], "status string, validation_trades long, validation_expectancy double")
-
-
-# --- models, sources, streams ------------------------------------------------------------------------------------------------------------------------------
-
-INPUTS = ["return_1", "return_3", "rsi_14", "adx_14", "macd_hist_atr", "range_position_20"]
-
-
-@query("logistic_out_of_fold")
-def logistic_out_of_fold(spark, sf):
-    rows = models.prepare(context.add_ml_features(bars(spark, sf)), 3, 1, INPUTS)
-    scored = models.oof_probabilities(rows, "logistic", 3, 3, INPUTS)
-    return rounded(scored.select("ts", "eligible", "target_up", "probability_up"))
-
-
-@query("probability_thresholds")
-def probability_thresholds(spark, sf):
-    rows = models.prepare(context.add_ml_features(bars(spark, sf)), 3, 1, INPUTS)
-    scored = models.oof_probabilities(rows, "logistic", 3, 3, INPUTS)
-    return rounded(models.threshold_scores(scored, Settlement(3), (0.51, 0.55), min_trades=5))
-
-
-@query("boosted_trees")
-def boosted_trees(spark, sf):
-    rows = models.prepare(context.add_ml_features(bars(spark, sf)), 3, 1, INPUTS)
-    return rounded(models.fit_boosted(rows, INPUTS, rounds=10).transform(rows).select("ts", "probability_up"))
-
-
-U = lambda name, col: f"((('0x' || substr(md5('42|{name}|' || {col}::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
-
-
-@query("synthetic_ohlc", f"""WITH n AS (SELECT unnest(range(2000)) AS id), s AS (SELECT id, CAST(floor({U('r', '(id // 500)')} * 3) AS INT) - 1 AS sg,
-  sqrt(-2 * ln({U('a', 'id')})) * cos(2 * pi() * {U('b', 'id')}) AS z FROM n), k AS (SELECT id, sg * 1.5e-5::DOUBLE + z * 1.8e-4::DOUBLE AS step FROM s
-), c AS (SELECT *, 1.1::DOUBLE + sum(step) OVER (ORDER BY id) AS close FROM k), o AS (SELECT *, close - step AS open FROM c)
-SELECT TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * id AS ts, {r('open', 'close')}, round(greatest(open, close) + {U('h', 'id')} * 1.8e-4, 6) AS high, round(least(open, close) - {U('l', 'id')} * 1.8e-4, 6) AS low,
-  list_extract([0.7, 0.75, 0.8, 0.82, 0.85, 0.9, 0.92], CAST(floor({U('p', 'id')} * 7) AS INT) + 1)::DOUBLE AS payout FROM o""")
-def synthetic_ohlc(spark, sf):
-    return rounded(synthetic.synthetic_ohlc(spark, 2000).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
-
-
-@query("streamed_candles", f"WITH {bars_sql()} SELECT ts, {r(*PRICES)} FROM b WHERE ts + INTERVAL '65 minutes' <= (SELECT max(ts) FROM events)")
-def streamed_candles(spark, sf):
-    """The tick stream drained through a watermarked aggregation: hours that the watermark has closed."""
-    import uuid
-
-    from tidemark.streaming import jobs
-
-    root = f"{spark.conf.get('spark.checkpoint.dir', None) or '/tmp/checkpoints/tidemark'}/stream-{uuid.uuid4().hex}"
-    events = spark.read.parquet(f"{sf}/events.parquet")
-    stream = spark.readStream.schema(events.schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    t = stream.select(F.col("ts").cast("timestamp").alias("ts"), (F.col("value") + 0.01).alias("ask"), (F.col("value") - 0.01).alias("bid"), F.lit(1.0).alias("ask_volume"), F.lit(1.0).alias("bid_volume"), F.lit("ALL").alias("series_id"))
-    jobs.drain(jobs.stream_candles(t, "60 minutes"), f"{root}/out", f"{root}/checkpoint")
-    return rounded(spark.read.parquet(f"{root}/out").select(F.col("ts").cast("timestamp_ntz").alias("ts"), *PRICES))
