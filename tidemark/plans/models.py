@@ -25,6 +25,7 @@ from tidemark.operators.metrics import metrics, score
 from tidemark.operators.settle import Settlement, direction_target, settle
 from tidemark.operators.validate import fingerprint
 from tidemark.plans.search import split_slices
+from tidemark.session import written
 
 
 #: Fixed values of the published protocol.
@@ -133,7 +134,7 @@ def folds(rows: DataFrame, n_splits: int, gap: int) -> tuple[DataFrame, list[int
 def oof_probabilities(rows: DataFrame, kind: str = "logistic", n_splits: int = 5, gap: int = 3, features: list[str] = ML_FEATURES, **options) -> DataFrame:
     """Add `probability_up` from models that saw only earlier rows, less the label horizon; null before the first fold."""
     fit, least = FITS[kind]
-    rows, starts = folds(rows.persist(), n_splits, gap)
+    rows, starts = folds(written(rows, "folds"), n_splits, gap)
     at = micros("ts")
     out = rows.filter(F.col("pos").isNull() | (at < starts[0])).withColumn("probability_up", F.lit(None).cast("double"))
     for start, stop in zip(starts, [*starts[1:], None], strict=True):
@@ -168,7 +169,7 @@ def evaluate(model, rows: DataFrame, threshold: float, cfg: Settlement) -> DataF
 def run_model_experiment(bars: DataFrame, kind: str = "logistic", expiries=EXPIRIES, payout: float = 0.82, min_trades: int = 200, min_resolved: int = 200,
                          features: list[str] = ML_FEATURES, **options) -> dict:
     """Choose expiry and threshold out of fold on development, gate on validation, then open the locked slice."""
-    parts = split_slices(bars).persist()
+    parts = written(split_slices(bars), "slices")
     of = lambda name, e: prepare(parts.filter(F.col("slice") == name), e, 1, features)
     tried = []
     for e in expiries:

@@ -6,7 +6,7 @@ import tempfile
 import uuid
 from functools import lru_cache
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def session(app: str = "tidemark") -> SparkSession:
@@ -38,6 +38,13 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return path
 
 
+def written(df: DataFrame, name: str) -> DataFrame:
+    """The rows from a table written below the shared folder: computed once, and safe from lost executors."""
+    path = f"{shared_folder(df.sparkSession, name)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def file_system(spark: SparkSession, path: str):
     """(Hadoop's file system of a path, the path as its object)."""
     jpath = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
