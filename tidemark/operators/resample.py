@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.metrics import block_of, metrics
+from tidemark.operators.metrics import EXACT, block_of, metrics
 from tidemark.operators.settle import Settlement, profit, settle_all
 
 PAYOUTS = (0.70, 0.75, 0.80, 0.82, 0.85, 0.90, 0.92)
@@ -32,11 +32,16 @@ def numbered_pnl(trades: DataFrame, order: list[str] | None = None) -> DataFrame
     w = Window.partitionBy("_block").orderBy(*order)
     rows = rows.select("_block", "pnl", F.row_number().over(w).alias("n"), F.sum("pnl").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("sum"))
     before = Window.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    blocks = rows.groupBy("_block").agg(F.count(F.lit(1)).alias("rows"), F.sum("pnl").alias("total"))
-    blocks = blocks.select("_block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"), F.coalesce(F.sum("total").over(before), F.lit(0.0)).alias("start"))
+    blocks = rows.groupBy("_block").agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("pnl").cast(EXACT)).alias("total"))
+    blocks = blocks.select("_block", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"), F.coalesce(F.sum("total").over(before).cast("double"), F.lit(0.0)).alias("start"))
     return rows.join(blocks, "_block").select((F.col("first") + F.col("n") - 1).cast("long").alias("pos"), "pnl", (F.col("start") + F.col("sum")).alias("upto"))
 
 
+def total(value: Column | str) -> Column:
+    """A sum that does not depend on the order of rows."""
+    return F.sum((F.col(value) if isinstance(value, str) else value).cast(EXACT)).cast("double")
+
+
 def _simulations(trades: DataFrame, n: int) -> DataFrame:
     if n < 100:
         raise ValueError("simulations must be >= 100")
@@ -60,7 +65,7 @@ def draws(trades: DataFrame, simulations: int, seed: int) -> DataFrame:
 
 
 def bootstrap_expectancy(trades: DataFrame, simulations: int = 10_000, seed: int = 42) -> DataFrame:
-    return summary(draws(trades, simulations, seed).groupBy("sim").agg(F.avg("pnl").alias("mean")), "mean")
+    return summary(draws(trades, simulations, seed).groupBy("sim").agg((total("pnl") / F.count(F.lit(1))).alias("mean")), "mean")
 
 
 def block_bootstrap_expectancy(trades: DataFrame, block: int = 20, simulations: int = 10_000, seed: int = 42) -> DataFrame:
@@ -71,7 +76,7 @@ def block_bootstrap_expectancy(trades: DataFrame, block: int = 20, simulations:
     rows = _simulations(trades, simulations).crossJoin(F.broadcast(size)).withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)))
     rows = rows.withColumn("start", hash_index(seed, F.col("n") - block + 1, "sim", "blk")).withColumn("end", F.col("start") + F.least(F.lit(block), F.col("n") - F.col("blk") * block))
     ends = rows.join(sums.withColumnsRenamed({"pos": "start", "upto": "s0"}), "start").join(sums.withColumnsRenamed({"pos": "end", "upto": "s1"}), "end")
-    return summary(ends.groupBy("sim").agg((F.sum(F.col("s1") - F.col("s0")) / F.first("n")).alias("mean")), "mean")
+    return summary(ends.groupBy("sim").agg((total(F.col("s1") - F.col("s0")) / F.first("n")).alias("mean")), "mean")
 
 
 def monte_carlo(trades: DataFrame, simulations: int = 5_000, seed: int = 42) -> DataFrame:
@@ -79,7 +84,7 @@ def monte_carlo(trades: DataFrame, simulations: int = 5_000, seed: int = 42) ->
     upto = Window.partitionBy("sim").orderBy("draw").rowsBetween(Window.unboundedPreceding, 0)
     rows = draws(trades, simulations, seed).withColumn("equity", F.sum("pnl").over(upto))
     rows = rows.withColumn("fall", F.greatest(F.lit(0.0), F.max("equity").over(upto)) - F.col("equity"))
-    sims = rows.groupBy("sim").agg(F.sum("pnl").alias("final"), F.max("fall").alias("fall"))
+    sims = rows.groupBy("sim").agg(total("pnl").alias("final"), F.max("fall").alias("fall"))
     return sims.agg(F.count(F.lit(1)).alias("simulations"), *quantiles(sims, "final", "pnl_"), *quantiles(sims, "fall", "drawdown_"),
                     F.avg((F.col("final") > 0).cast("double")).alias("probability_profit"))
 
