@@ -11,8 +11,10 @@ from tidemark.operators import joins, resample
 from tidemark.operators.settle import Settlement
 from tidemark.plans import models, search
 from tidemark.queries import (
-    EMA_X, LOOK, MOMENTUM, STEPS, bars, bars_sql, core_sql, dense, dense_sql, lag, metrics_sql, momentum, query, r, research_sql, rounded, rule_sql, side_sql, trades_sql,
+    EMA_X, MOMENTUM, STEPS, bars, bars_sql, core_sql, dense, lag, metrics_sql, momentum, query, r, research_sql, rounded, rule_sql, side_sql, trades_sql,
 )
+from tidemark.schemas import PRICES
+from tidemark.session import written
 
 # --- one pass over several settlements ---------------------------------------------------------------------------------------------------------------------
 
@@ -254,6 +256,33 @@ def model_coefficients(spark, sf):
     return spark.createDataFrame([(i, f, w) for i, (f, w) in enumerate(GIVEN.coefficients(), 1)], "rank long, feature string, weight double")
 
 
+AS_OF = ("2024-01-01 05:00:05", "2024-01-01 08:20:40", "2024-01-01 08:21:04", "2024-01-01 08:30:09", "2023-12-31 23:00:00")
+
+
+def _latest_sql(as_of: str) -> str:
+    return f"""SELECT TIMESTAMP '{as_of}' AS decision_ts, la.ts AS source_ts, la.p, la.delay, po.payout FROM (SELECT 1) one LEFT JOIN (
+  SELECT ts, p, epoch(TIMESTAMP '{as_of}') - epoch(ts) - 60 AS delay FROM kp WHERE ts + INTERVAL 1 MINUTE <= TIMESTAMP '{as_of}' ORDER BY ts DESC LIMIT 1) la ON true
+  LEFT JOIN pa po ON po.seen_at <= la.ts + INTERVAL 1 MINUTE AND po.seen_at >= la.ts - INTERVAL 1 MINUTE"""
+
+
+@query("latest_bar_decisions", f"""WITH RECURSIVE {SCORED_SQL}, pa AS MATERIALIZED (SELECT ts + INTERVAL 50 SECOND AS seen_at, 0.7::DOUBLE + (bar_idx % 20) / 100.0::DOUBLE AS payout FROM kp WHERE bar_idx % 4 = 0
+), al AS ({' UNION ALL '.join(f'({_latest_sql(x)})' for x in AS_OF)}), re AS (SELECT *, CASE WHEN source_ts IS NULL THEN 'no_completed_candle' WHEN delay > 15 THEN 'completed_candle_is_stale' WHEN p IS NULL THEN 'insufficient_causal_feature_history'
+  WHEN p < 0.501 AND p > 0.499 THEN 'frozen_probability_threshold_not_cleared' WHEN payout IS NULL THEN 'frozen_signal_without_fresh_payout' ELSE 'frozen_signal_with_fresh_payout' END AS reason FROM al)
+SELECT decision_ts, source_ts, reason, CASE WHEN reason NOT LIKE 'frozen_signal%' THEN 'no_trade' WHEN p >= 0.501 THEN 'call' ELSE 'put' END AS direction, round(delay, 6)::DOUBLE AS delay_seconds,
+  round(p, 6) AS probability_up, CASE WHEN reason LIKE 'frozen_signal%' THEN round(payout, 6) END AS payout FROM re""")
+def latest_bar_decisions(spark, sf):
+    """Decisions at five times: on the last candle complete by then, with the payout seen last before its end."""
+    candles = context.add_ml_features(dense(spark, sf)).select(F.lit("ALL").alias("asset"), F.col("ts").cast("timestamp").alias("ts"), *PRICES, *GIVEN.features)
+    candles = written(candles, "candles")
+    seen = dense(spark, sf).filter("bar_idx % 4 = 0").select(F.lit("ALL").alias("asset"), (F.col("ts") + F.expr("INTERVAL 50 SECONDS")).cast("timestamp").alias("observed_at"), (0.7 + (F.col("bar_idx") % 20) / 100.0).alias("payout"))
+    out = None
+    for at in AS_OF:
+        made = models.score_latest(GIVEN, candles, seen, at, threshold=0.501, features=list(GIVEN.features))
+        made = made.select("decision_ts", "source_ts", "reason", "direction", "delay_seconds", "probability_up", "payout")
+        out = made if out is None else out.unionByName(made)
+    return rounded(out.withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("decision_ts", "source_ts")}))
+
+
 @query("logistic_out_of_fold")
 def logistic_out_of_fold(spark, sf):
     """All inputs, five folds, as the protocol has it."""
