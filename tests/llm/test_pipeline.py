@@ -1,3 +1,6 @@
+import re
+from collections import Counter
+
 import corpus_pipeline as P
 from tidemark.llm.common import Workspace
 
@@ -6,6 +9,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_stages_agree_with_brute_force(spark):
     from tests.llm.test_jaccard_join import brute
+    from tests.llm.test_mixing import targets_by_loop
 
     work, rows = Workspace(spark, "test_pipeline"), {}
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -25,7 +29,18 @@ def test_stages_agree_with_brute_force(spark):
         if name == "ngram_jaccard_join":
             assert {r["doc_id"] for r in rows[name]} == {c for _, c, _ in brute([(r["doc_id"], r["text"]) for r in before.collect()])}
         if name == "source_mixing":
-            assert {r["doc_id"] for r in rows[name]} <= {r["doc_id"] for r in before.collect()}
+            size = {r["doc_id"]: len(re.findall(r"[^\x20\x09-\x0D]+", r["text"] or "")) for r in before.collect()}
+            source = {r["doc_id"]: r["source"] for r in before.collect()}
+            copies = Counter(r["doc_id"] for r in rows[name])
+            sums, taken = Counter(), Counter()
+            for d, n in size.items():
+                sums[source[d]] += n
+                taken[source[d]] += n * copies[d]
+            for s, target in targets_by_loop(dict(sums)).items():
+                rate = target / sums[s]
+                assert {copies[d] for d in size if source[d] == s} <= {int(rate), int(rate) + 1} if rate < 2 else {2}
+                assert abs(taken[s] - target) <= 0.05 * target + max(n for d, n in size.items() if source[d] == s)
+            assert {*copies} <= {*size}
         if name == "best_fit_packing":
             assert sum(r["piece"] == 0 for r in rows[name]) == before.count()
     assert [n for n, _ in P.STAGES] == ["language_id", "exact_dedup", "ngram_jaccard_join", "source_mixing", "best_fit_packing"]
