@@ -2,8 +2,8 @@
 
 The tokenizer's own pre-tokenizer cuts a text into words that are encoded independently, so a
 batch of texts is cut by array operations on code points, each distinct word is encoded once
-by the tokenizers library, and the ids of all words are gathered. A task keeps the ids of
-words it has met, up to a number of distinct words, after which it starts anew: that
+by the tokenizers library, and the ids of all words are gathered. A worker keeps the ids of
+words it has met, up to WORDS_KEPT distinct words, after which it starts anew: that
 bounds memory and changes no result. Texts that hold an added token's string or a code point
 that this Python's Unicode tables lack, and tokenizers with another pre-tokenizer, go to the
 library as they are.
@@ -14,7 +14,6 @@ from __future__ import annotations
 import json
 import sys
 import unicodedata
-from contextlib import contextmanager
 from functools import lru_cache
 
 import numpy as np
@@ -207,15 +206,6 @@ class Encoder:
 
 
 @lru_cache(1)
-def _loaded(path: str) -> Encoder:
+def encoder(path: str) -> Encoder:
+    """The worker's encoder for a tokenizer file, with the words it met in earlier tasks (some 30 bytes each)."""
     return Encoder(path)
-
-
-@contextmanager
-def encoder(path: str):
-    """The worker's encoder for a tokenizer file; it forgets its words afterwards."""
-    enc = _loaded(path)
-    try:
-        yield enc
-    finally:
-        enc.forget()
