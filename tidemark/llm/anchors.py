@@ -152,9 +152,9 @@ def repeated(rows: DataFrame, *keys: str) -> DataFrame:
 
 def repeated_anchors(texts: DataFrame, scheme: Scheme, work: Workspace) -> DataFrame:
     """Anchors whose gram is an anchor elsewhere too."""
-    rows = work.write(anchors(texts, scheme), "anchors")
+    rows = work.write(anchors(texts, scheme), "anchors", "zstd")
     again = work.write(repeated(rows.select("a"), "a"), "again")
-    out = work.write(rows.join(again.hint("merge"), "a", "left_semi"), "repeated")
+    out = work.write(rows.join(again.hint("merge"), "a", "left_semi"), "repeated", "zstd")
     work.drop("again", "anchors")
     return out
 

@@ -32,10 +32,11 @@ from tidemark.llm.common import Workspace, lean
 from tidemark.llm.hashing import decompress
 
 LENGTH = 100
-GRAM = 32
+GRAM = 28
 DIGIT = 8
 GATHERED = 1024
 RUNS_AT_ONCE = 4096
+SUFFIXES_AT_ONCE = 1 << 20
 
 
 def digits(text: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -110,14 +111,27 @@ def _sort_runs(length: int):
 
 
 def _equal_neighbours(batches):
-    """From suffixes (a, place, bytes, d, k, at) in that order: spans (k, at, 1) of all but the first of equal ones."""
-    last = None
+    """From suffixes (a, place, bytes, d, k, at) in that order: all but the first of equal ones, as spans (k, at, n) of neighbouring places."""
+    last, late = None, []
+
+    def spans():
+        k, at = (np.concatenate(x) for x in zip(*late, strict=True))
+        late.clear()
+        order = np.lexsort((at, k))
+        k, at = k[order], at[order]
+        first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (at[1:] != at[:-1] + 1)))
+        return pa.RecordBatch.from_arrays([pa.array(k[first]), pa.array(at[first]), pa.array(np.diff(first, append=len(k)))], ["k", "at", "n"])
+
     for b in batches:
         keys = list(zip(*(b.column(c).to_pylist() for c in ("a", "place", "bytes")), strict=True))
-        late = [i for i, key in enumerate(keys) if key == (keys[i - 1] if i else last)]
+        found = b.take(pa.array([i for i, key in enumerate(keys) if key == (keys[i - 1] if i else last)], pa.int64()))
         last = keys[-1] if keys else last
-        found = b.take(pa.array(late, pa.int64()))
-        yield pa.RecordBatch.from_arrays([found.column("k"), found.column("at"), pa.array([1] * len(late), pa.int64())], ["k", "at", "n"])
+        if found.num_rows:
+            late.append((found.column("k").to_numpy(), found.column("at").to_numpy()))
+        if sum(len(x) for x, _ in late) > SUFFIXES_AT_ONCE:
+            yield spans()
+    if late:
+        yield spans()
 
 
 def _cut_runs(length: int, single: bool):
@@ -139,9 +153,9 @@ def _cut_runs(length: int, single: bool):
                     for row in rows:
                         for column, value in zip(out, row, strict=True):
                             column.append(value)
-                if len(out[0]) > RUNS_AT_ONCE:
-                    yield batch(out)
-                    out = [[] for _ in names]
+                    if len(out[0]) > RUNS_AT_ONCE:
+                        yield batch(out)
+                        out = [[] for _ in names]
             yield batch(out)
 
     def batch(out):
