@@ -75,7 +75,6 @@ def test_index_remembers_earlier_batches(spark, docs):
     assert again.rows().count() == 3
 
 
-def test_filter_keeps_one_of_repeated_rows(spark, docs):
 def test_filter_keeps_one_of_repeated_rows(spark, docs):
     rows = docs([(1, "a"), (1, "a"), (2, "b"), (3, None), (4, ""), (5, "q" * 300_000), (6, "q" * 300_000 + " ")])
     kept = exact_dedup.filter_duplicates(rows.selectExpr("*", "7 AS row_id", "8 AS digest"))

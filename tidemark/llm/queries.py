@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import exact_dedup, jaccard_join, language_id, mixing, packing, pii, substring_dedup, suffix_dedup, token_files, topk
+from tidemark.llm import collocations, exact_dedup, fill_in_middle, jaccard_join, language_id, mixing, packing, pii, substring_dedup, suffix_dedup, token_files, topk
 from tidemark.llm.common import Workspace
 
 
@@ -70,6 +70,21 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.top_collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = fill_in_middle.transform(table(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    output, form = F.col("fim_output"), F.col("fim_form")
+    return cut.select(
+        "doc_id", F.col("fim_n").alias("n"), form.alias("form"),
+        F.char_length("fim_prefix").cast("long").alias("prefix_chars"), F.char_length("fim_middle").cast("long").alias("middle_chars"),
+        digest(output).alias("output_sha256"), digest(fill_in_middle.restore(output, form)).alias("restored_sha256"),
+    )
+
+
 SQL_OP1 = r"""
 WITH d AS (
   SELECT doc_id, length(coalesce(text, '')) AS n, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS h FROM documents
@@ -171,6 +186,46 @@ SELECT u.doc_id, u.size, u.n AS source_size, u.target, CAST(u.size * (u.base + C
 FROM u JOIN b ON u.source IS NOT DISTINCT FROM b.source AND u.seed = b.seed
 """
 
+SQL_OP12 = r"""
+WITH p AS (
+  SELECT row_number() OVER () AS d, coalesce(lang, 'und') AS lang,
+    unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents
+), w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM p), g AS (
+  SELECT lang, k, unnest(list_transform(range(1, greatest(len(w) - k + 2, 1)), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+  FROM w, (SELECT unnest([1, 2, 3]) AS k)
+), f AS (SELECT lang, k, phrase, count(*) AS a FROM g GROUP BY ALL), n AS (
+  SELECT lang, CAST(sum(a) AS BIGINT) AS n FROM f WHERE k = 1 GROUP BY lang
+), cand AS (SELECT *, string_split(phrase, ' ') AS w FROM f WHERE k > 1 AND a >= 10), cut AS (
+  SELECT *, unnest(range(1, k)) AS c FROM cand
+), part AS (
+  SELECT cut.*, x.a AS l, y.a AS r, CAST(1000000::HUGEINT * cut.a * cut.a // (x.a::HUGEINT * y.a) AS BIGINT) AS score
+  FROM cut JOIN f x ON x.lang = cut.lang AND x.phrase = array_to_string(cut.w[:cut.c], ' ') JOIN f y ON y.lang = cut.lang AND y.phrase = array_to_string(cut.w[cut.c + 1:], ' ')
+), s AS (SELECT lang, phrase, k, a, arg_min({'l': l, 'r': r, 'score': score}, (score, part.c)) AS b FROM part GROUP BY ALL), inside AS (
+  SELECT lang, unnest([array_to_string(w[:2], ' '), array_to_string(w[2:], ' ')]) AS phrase, a FROM cand WHERE k = 3
+), most AS (SELECT lang, phrase, max(a) AS around FROM inside GROUP BY ALL), t AS (
+  SELECT lang, phrase, a, b.l AS l, b.r AS r, n, b.score AS score FROM s JOIN n USING (lang) LEFT JOIN most USING (lang, phrase)
+  WHERE around IS NULL OR 100 * around < 50 * a
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score
+FROM t QUALIFY rank <= 2000
+"""
+
+SQL_OP13 = r"""
+WITH d AS (
+  SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS u, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h FROM documents
+), x AS (
+  SELECT *, len(u) AS n, ('0x' || h[1:8])::BIGINT % (len(u) + 1) AS c1, ('0x' || h[9:16])::BIGINT % (len(u) + 1) AS c2,
+    CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR ('0x' || h[17:24])::BIGINT % 100 >= 50 THEN 'plain'
+      WHEN ('0x' || h[25:32])::BIGINT % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM d
+), y AS (
+  SELECT *, array_to_string(u[:least(c1, c2)], '') AS p, array_to_string(u[least(c1, c2) + 1:greatest(c1, c2)], '') AS m, array_to_string(u[greatest(c1, c2) + 1:], '') AS s FROM x
+)
+SELECT doc_id, CAST(n AS BIGINT) AS n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256
+FROM y
+"""
+
 QUERIES = {
     "op1_exact_dedup": op1_exact_dedup,
     "op2_substring_dedup": op2_substring_dedup,
@@ -182,6 +237,8 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_language_id": op9_language_id,
     "op10_pii": op10_pii,
+    "op12_collocations": op12_collocations,
+    "op13_fill_in_middle": op13_fill_in_middle,
 }
 
 ORACLE_SQL = {
@@ -191,4 +248,6 @@ ORACLE_SQL = {
     "op4_suffix_array_dedup": SQL_OP4,
     "op7_ngram_jaccard_join": SQL_OP7,
     "op8_source_mixing": SQL_OP8,
+    "op12_collocations": SQL_OP12,
+    "op13_fill_in_middle": SQL_OP13,
 }
