@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm import collocations, exact_dedup, fill_in_middle, jaccard_join, language_id, mixing, packing, pii, substring_dedup, suffix_dedup, token_files, topk
+from tidemark.llm import collocations, exact_dedup, fill_in_middle, jaccard_join, language_id, mixing, packing, pii, substring_dedup, suffix_dedup, token_files, topk, toxicity
 from tidemark.llm.common import Workspace
 
 
@@ -70,6 +70,14 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score(docs.select("doc_id", "text"), model).select(
+        "doc_id", toxicity.is_held_out(F.col("doc_id")).alias("held_out"), "score", "predicted"
+    )
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.top_collocations(table(spark, sf_dir, "documents"))
 
@@ -237,6 +245,7 @@ QUERIES = {
     "op8_source_mixing": op8_source_mixing,
     "op9_language_id": op9_language_id,
     "op10_pii": op10_pii,
+    "op11_toxicity": op11_toxicity,
     "op12_collocations": op12_collocations,
     "op13_fill_in_middle": op13_fill_in_middle,
 }
