@@ -21,7 +21,7 @@ def test_one_row_stays_of_equal_texts(docs):
 
 def test_index_lives_on_between_sessions(spark, docs, monkeypatch):
     """Appends, a reopened index, another bucket count, compaction: never a digest twice."""
-    monkeypatch.setattr(exact_dedup, "MOST_WRITES", 2)
+    monkeypatch.setattr(exact_dedup, "MOST_RUNS", 3)
     path = f"{Workspace(spark, 'test_index').path}/index"
     index = DigestIndex(spark, path, 4)
     assert exact_dedup.exact_dedup(docs([(1, "x"), (2, "y")]), index).filter("kept").count() == 2
@@ -35,7 +35,7 @@ def test_index_lives_on_between_sessions(spark, docs, monkeypatch):
     assert (got[6]["keep_id"], got[6]["kept"]) == (6, True) and not got[5]["kept"] and got[4]["kept"]
 
     exact_dedup.exact_dedup(docs([(7, "u")]), again).collect()  # the third write compacts
-    assert (again.generation, again.writes) == (1, 0)
+    assert (again.generation, len(again.runs)) == (1, 1)
     again.rebucket(16)
     again.close()
     last = DigestIndex(spark, path)
@@ -46,13 +46,59 @@ def test_index_lives_on_between_sessions(spark, docs, monkeypatch):
     assert not [t for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
 
 
-def test_index_is_not_shuffled(spark, docs):
-    index = DigestIndex(spark, f"{Workspace(spark, 'test_index').path}/index", 4)
-    exact_dedup.exact_dedup(docs([(i, f"text {i}") for i in range(50)]), index).count()
+def test_index_is_neither_shuffled_nor_sorted(spark, docs):
+    path = f"{Workspace(spark, 'test_index').path}/index"
+    index = DigestIndex(spark, path, 4)
+    for k in range(3):
+        exact_dedup.exact_dedup(docs([(i, f"text {i}") for i in range(50 * k, 50 * k + 60)]), index).count()
     best = Workspace(spark, "test_index").write(exact_dedup.winners(docs([(1, "x")]).selectExpr("doc_id", "1 AS chars", "text AS digest")), "best")
-    plan = index.fresh(best)._jdf.queryExecution().executedPlan().toString()
-    assert "SortMergeJoin" in plan and plan.count("Exchange") == 1, plan
+
+    def counted():
+        with exact_dedup.sorted_buckets(spark):
+            plan = index.fresh(best)._jdf.queryExecution().executedPlan().toString()
+        return plan.count("SortMergeJoin"), plan.count("Exchange"), plan.count("Sort [")
+
+    assert counted() == (4, 1, 1)  # the batch alone
+    index.rebucket(4)
+    assert counted() == (1, 1, 1)
+    index.close()
+
+
+def test_a_batch_that_runs_again_keeps_what_it_kept(spark, docs):
+    index = DigestIndex(spark, f"{Workspace(spark, 'test_index').path}/index", 4)
+    exact_dedup.exact_dedup(docs([(1, "x")]), index, "monday").count()
+    table = docs([(2, "x"), *[(i, f"t{i % 15}") for i in range(10, 30)]])
+    first = sorted(exact_dedup.exact_dedup(table, index, "tuesday").collect())
+    assert sum(r["kept"] for r in first) == 15
     index.close()
+    again = DigestIndex(spark, index.path)
+    assert sorted(exact_dedup.exact_dedup(table, again, "tuesday").collect()) == first
+    again.rebucket(8)
+    assert sorted(exact_dedup.exact_dedup(table, again, "tuesday").collect()) == first
+    assert exact_dedup.filter_duplicates(table, again, "tuesday").count() == 15
+    assert again.rows().count() == 16
+    assert exact_dedup.filter_duplicates(table, again, "wednesday").count() == 0 and exact_dedup.filter_duplicates(table, again).count() == 0
+    again.close()
+
+
+@pytest.mark.parametrize("work", ["append", "rebucket"])
+def test_a_write_that_breaks_off_before_its_log_row_never_was(spark, docs, monkeypatch, work):
+    index = DigestIndex(spark, f"{Workspace(spark, 'test_index').path}/index", 4)
+    exact_dedup.exact_dedup(docs([(i, f"t{i}") for i in range(20)]), index, "a").count()
+
+    def lost(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as broken, pytest.raises(RuntimeError):
+        broken.setattr(DigestIndex, "_log", lost)
+        index.rebucket(4) if work == "rebucket" else exact_dedup.exact_dedup(docs([(50, "new")]), index, "b")
+    index.close()
+    again = DigestIndex(spark, index.path)
+    assert again.rows().count() == 20
+    again.rebucket(4)
+    assert again.rows().count() == again.rows().select("digest").distinct().count() == 20
+    assert exact_dedup.exact_dedup(docs([(50, "new")]), again, "b").filter("kept").count() == 1
+    again.close()
 
 
 def test_filter_keeps_rows_and_columns(spark, docs):
