@@ -1,7 +1,7 @@
 """Model research: prepared data, purged out-of-fold probabilities, thresholds, fitted models, gated experiments.
 
-Models are fitted by Spark ML on distributed rows. A logistic model is kept as its numbers and
-scores as one column expression; a boosted model scores through its transformer.
+Models are fitted on distributed rows. A logistic model is kept as its numbers and
+scores as one column expression; boosted trees are in `boosting`.
 """
 
 from __future__ import annotations
@@ -11,9 +11,8 @@ from dataclasses import dataclass
 from functools import reduce
 from itertools import accumulate
 
-from pyspark.ml.classification import GBTClassifier, LogisticRegression
+from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -24,6 +23,7 @@ from tidemark.operators.joins import asof_backward
 from tidemark.operators.metrics import metrics, score
 from tidemark.operators.settle import Settlement, direction_target, settle
 from tidemark.operators.validate import fingerprint
+from tidemark.plans.boosting import BoostedTrees, Settings, fit_trees
 from tidemark.plans.search import split_slices
 from tidemark.session import written
 
@@ -74,25 +74,9 @@ def fit_logistic(rows: DataFrame, features: list[str] = ML_FEATURES, c: float =
     return LogisticModel(tuple(features), tuple(mean), tuple(scale), tuple(model.coefficients), float(model.intercept))
 
 
-@dataclass(frozen=True)
-class BoostedModel:
-    features: tuple[str, ...]
-    model: object
-
-    def transform(self, rows: DataFrame) -> DataFrame:
-        safe = rows.withColumns({f"_x_{f}": F.coalesce(F.col(f), F.lit(0.0)) for f in self.features})
-        data = VectorAssembler(inputCols=[f"_x_{f}" for f in self.features], outputCol="_x").transform(safe)
-        out = self.model.transform(data).withColumn("probability_up", F.when(F.col("eligible"), vector_to_array("_p")[1]))
-        return out.drop("_x", "_p", "_raw", "_class", *[f"_x_{f}" for f in self.features])
-
-
-def fit_boosted(rows: DataFrame, features: list[str] = ML_FEATURES, rounds: int = 200, seed: int = 42) -> BoostedModel:
-    """Gradient-boosted trees; depth 4 stands for 15 leaves, so probabilities are near but not equal to a leaf-wise booster's."""
-    train = rows.filter("eligible AND target_up IS NOT NULL")
-    data = VectorAssembler(inputCols=list(features), outputCol="_x").transform(train.select("target_up", *features))
-    gbt = GBTClassifier(featuresCol="_x", labelCol="target_up", predictionCol="_class", stepSize=0.05, maxIter=rounds, maxDepth=4,
-                        minInstancesPerNode=100, seed=seed).setProbabilityCol("_p").setRawPredictionCol("_raw")
-    return BoostedModel(tuple(features), gbt.fit(data))
+def fit_boosted(rows: DataFrame, features: list[str] = ML_FEATURES, rounds: int = 200) -> BoostedTrees:
+    """The protocol's boosted trees: rate 0.05, 15 leaves of 100 rows at least, L2 1."""
+    return fit_trees(rows.filter("eligible AND target_up IS NOT NULL"), list(features), Settings(rounds))
 
 
 FITS = {"logistic": (fit_logistic, 50), "boosted": (fit_boosted, 200)}
@@ -193,7 +177,7 @@ def passes_evidence(m: dict, min_resolved: int, payout: float) -> bool:
     return m["wins"] + m["losses"] >= min_resolved and (m["expectancy"] or 0) > 0 and (m["wilson_low"] or 0) > 1 / (1 + payout)
 
 
-def fit_frozen(bars: DataFrame, expected_fingerprint: str, **options) -> BoostedModel:
+def fit_frozen(bars: DataFrame, expected_fingerprint: str, **options) -> BoostedTrees:
     """The frozen boosted model, only of the data whose fingerprint was registered."""
     found = fingerprint(bars).first()["fingerprint"]
     if found != expected_fingerprint:

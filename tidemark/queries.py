@@ -296,12 +296,17 @@ def dense(spark: SparkSession, sf: str) -> DataFrame:
     return bars(spark, sf).withColumn("ts", F.expr("timestamp_ntz'2024-01-01 00:00:00' + make_dt_interval(0, 0, bar_idx, 0)"))
 
 
-@query("model_inputs", f"""WITH RECURSIVE {research_sql()}, x AS (
+def inputs_sql() -> str:
+    """CTEs up to `x`: the dense bars with all model inputs."""
+    return f"""{research_sql()}, x AS (
   SELECT * , {', '.join(f"close / nullif({lag('close', n)}, 0) - 1 AS return_{n}" for n in (1, 3, 5))}, (close - open) / nullif(atr_14, 0) AS body_atr, (high - low) / nullif(atr_14, 0) AS range_atr,
     (ema_20 - ema_50) / nullif(atr_14, 0) AS ema_spread_atr, ema_20_slope / nullif(atr_14, 0) AS ema20_slope_atr, ema_50_slope / nullif(atr_14, 0) AS ema50_slope_atr,
     macd_hist / nullif(atr_14, 0) AS macd_hist_atr, (close - bb_middle) / nullif(bb_upper - bb_lower, 0) AS bb_position,
     sin(2 * pi() * utc_hour / 24.0) AS utc_hour_sin, cos(2 * pi() * utc_hour / 24.0) AS utc_hour_cos, sin(2 * pi() * utc_weekday / 7.0) AS utc_weekday_sin, cos(2 * pi() * utc_weekday / 7.0) AS utc_weekday_cos FROM fx
-) SELECT ts, {r(*context.ML_FEATURES)} FROM x""")
+)"""
+
+
+@query("model_inputs", f"WITH RECURSIVE {inputs_sql()} SELECT ts, {r(*context.ML_FEATURES)} FROM x")
 def model_inputs(spark, sf):
     return rounded(context.add_ml_features(dense(spark, sf)).select("ts", *context.ML_FEATURES))
 

@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 from tidemark.functions import context, indicators, signals
 from tidemark.operators import joins, resample
 from tidemark.operators.settle import Settlement
-from tidemark.plans import models, search
+from tidemark.plans import boosting, models, search
 from tidemark.queries import (
-    EMA_X, MOMENTUM, STEPS, bars, bars_sql, core_sql, dense, lag, metrics_sql, momentum, query, r, research_sql, rounded, rule_sql, side_sql, trades_sql,
+    EMA_X, MOMENTUM, STEPS, bars, bars_sql, core_sql, dense, inputs_sql, lag, metrics_sql, momentum, query, r, research_sql, rounded, rule_sql, side_sql, trades_sql,
 )
 from tidemark.schemas import PRICES
 from tidemark.session import written
@@ -298,7 +298,33 @@ def probability_thresholds(spark, sf):
 
 @query("boosted_trees")
 def boosted_trees(spark, sf):
-    """All inputs, 20 rounds for 200: learned on the development slice, scored on the rest."""
-    rows = models.prepare(search.split_slices(dense(spark, sf)), 3).withColumn("part", F.col("slice"))
-    model = models.fit_boosted(rows.filter("part = 'development'"), rounds=20)
+    """All inputs and rounds of the protocol: learned on the development slice, scored on the rest."""
+    rows = models.prepare(search.split_slices(dense(spark, sf)), models.FROZEN_EXPIRY).withColumn("part", F.col("slice"))
+    rows = written(rows, "boosted_trees")
+    model = models.fit_boosted(rows.filter("part = 'development'"))
     return rounded(model.transform(rows.filter("part <> 'development'")).select("ts", "probability_up"))
+
+
+_EDGE = "list_extract(v, 1 + CAST({}((n - 1) * (k * (100.0::DOUBLE / 255) / 100)) AS INT))"
+
+
+@query("boosted_first_split", f"""WITH RECURSIVE {inputs_sql()}, y0 AS (
+  SELECT *, CASE WHEN lead(close, 3) OVER o > lead(open, 1) OVER o THEN 1 WHEN lead(close, 3) OVER o < lead(open, 1) OVER o THEN 0 END AS y FROM x
+  WHERE bar_idx < (SELECT floor(count(*) * 0.6::DOUBLE) FROM x) WINDOW o AS (ORDER BY ts)
+), tr AS (SELECT * FROM y0 WHERE y IS NOT NULL AND {' AND '.join(f'{f} IS NOT NULL' for f in context.ML_FEATURES)}), p AS (
+  SELECT avg(y) AS p FROM tr
+), u AS MATERIALIZED ({' UNION ALL '.join(f"SELECT {i} AS f, '{name}' AS feature, {name}::DOUBLE AS v, round((p - y) * 1073741824) / 1073741824 AS g, round(p * (1 - p) * 1073741824) / 1073741824 AS h FROM tr, p" for i, name in enumerate(context.ML_FEATURES))}
+), l AS (SELECT f, feature, list(v ORDER BY v) AS v, list_sort(list_distinct(list(v))) AS d, count(*) AS n, sum(g) AS g, sum(h) AS h FROM u GROUP BY ALL), e AS (
+  SELECT f, feature, n, g, h, unnest(CASE WHEN len(d) <= 255 THEN list_transform(range(1, len(d)), lambda k: (d[k] + d[k + 1]) * 0.5)
+    ELSE list_distinct(list_transform(range(1, 255), lambda k: ({_EDGE.format('floor')} + {_EDGE.format('ceil')}) * 0.5)) END) AS edge FROM l
+), s AS (
+  SELECT e.f, e.feature, edge, e.n, e.g, e.h, sum(u.g) FILTER (WHERE v <= edge) AS lg, sum(u.h) FILTER (WHERE v <= edge) AS lh, count(*) FILTER (WHERE v <= edge) AS ln FROM e JOIN u USING (f) GROUP BY ALL
+), c AS (SELECT *, lg * lg / (lh + 1) + (g - lg) * (g - lg) / (h - lh + 1) - g * g / (h + 1) AS gain FROM s WHERE ln >= 100 AND n - ln >= 100)
+SELECT feature, round(edge, 6) AS threshold, round(-0.05 * lg / (lh + 1), 6) AS left_value, round(-0.05 * (g - lg) / (h - lh + 1), 6) AS right_value FROM c WHERE gain > 0
+ORDER BY round(gain, 9) DESC, f, edge LIMIT 1""")
+def boosted_first_split(spark, sf):
+    """The first split of boosted trees on the development slice, and its leaves."""
+    rows = models.prepare(search.split_slices(dense(spark, sf)), models.FROZEN_EXPIRY).filter("slice = 'development' AND eligible AND target_up IS NOT NULL")
+    (_, _, feature, threshold, *_), *leaves = boosting.fit_trees(rows, context.ML_FEATURES, boosting.Settings(rounds=1, leaves=2)).table()
+    found = [(feature, round(threshold, 6), *(round(x[-1], 6) for x in leaves))] if leaves else []
+    return spark.createDataFrame(found, "feature string, threshold double, left_value double, right_value double")
