@@ -3,19 +3,21 @@
 from __future__ import annotations
 
 import lzma
+import os
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tidemark.operators import joins
-from tidemark.queries import bars, bars_sql, momentum, query, r, rounded, trades_sql
+from tidemark.queries import MOMENTUM, bars, bars_sql, momentum, query, r, rounded, trades_sql
 from tidemark.operators.bars import ticks_to_candles
 from tidemark.operators.settle import settle
 from tidemark.schemas import PRICES
-from tidemark.session import shared_folder
-from tidemark.sources import ledgers, objects, readers, synthetic
-from tidemark.streaming import jobs
+from tidemark.session import shared_folder, written
+from tidemark.sources import ledgers, objects, readers, synthetic, tick_source
+from tidemark.streaming import jobs, settlement
 
 BACK_SQL = f"WITH {bars_sql()} SELECT ts, {r(*PRICES, 'volume')} FROM b"
 
@@ -140,10 +142,8 @@ def object_urls(spark, sf):
     return hourly.unionByName(spark.createDataFrame([(objects.weekly_url("http://x", "EUR_USD", 2015, w),) for w in range(1, 54)], "url string"))
 
 
-@query("tick_objects_decoded", """WITH t AS (SELECT date_trunc('hour', ts) AS ts, round(value * 1000) AS p FROM events)
-SELECT ts, count(*) AS n, round(max(p + 1) / 1000, 6) + 0.0 AS high, round(min(p + 1) / 1000, 6) + 0.0 AS low FROM t GROUP BY ts""")
-def tick_objects_decoded(spark, sf):
-    """Ticks packed by hour into compressed binary records, then decoded and aggregated."""
+def _packed(spark, sf):
+    """(hour, payload): the ticks of events by hour as compressed binary records."""
     def pack(key, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("ms")
         record = np.zeros(len(rows), objects.TICK_RECORD)
@@ -153,11 +153,77 @@ def tick_objects_decoded(spark, sf):
     us = F.unix_micros(F.col("ts").cast("timestamp"))
     hour = us - us % 3_600_000_000
     ticks = spark.read.parquet(f"{sf}/events.parquet").select(hour.alias("hour_us"), ((us - hour) / 1000).cast("long").alias("ms"), F.round(F.col("value") * 1000).cast("long").alias("p"))
-    packed = ticks.groupBy("hour_us").applyInPandas(pack, "hour_us long, payload binary").select(F.timestamp_micros("hour_us").alias("hour"), "payload")
-    candles = ticks_to_candles(objects.decode_ticks(packed, "USDJPY").withColumn("series_id", F.lit("X")), "1 hour")
+    return ticks.groupBy("hour_us").applyInPandas(pack, "hour_us long, payload binary").select(F.timestamp_micros("hour_us").alias("hour"), "payload")
+
+
+def _hourly_store(spark, sf) -> str:
+    """A file URL below which the events lie as hourly objects; tasks write them to the shared folder."""
+    root = shared_folder(spark, "objects")
+    if not root.startswith(("/", "file:")):
+        raise ValueError("objects can be stored by tasks in a shared file system only")
+    path = "/" + root.removeprefix("file:").lstrip("/")
+
+    def store(batches):
+        for b in batches:
+            for hour_us, payload in zip(b.column("us").to_pylist(), b.column("payload").to_pylist(), strict=True):
+                target = tick_source.object_url(path, "USDJPY", hour_us)
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                with open(f"{target}.{os.getpid()}", "wb") as f:
+                    f.write(payload)
+                os.replace(f.name, target)
+            yield pa.RecordBatch.from_arrays([pa.array([b.num_rows])], ["n"])
+
+    _packed(spark, sf).select(F.unix_micros("hour").alias("us"), "payload").mapInArrow(store, "n long").agg(F.sum("n")).collect()
+    return f"file://{path}"
+
+
+def _source(reader, base: str, **options):
+    return reader.format("tick_objects").options(base=base, symbol="usd/jpy", start="2024-01-01", end="2024-02-01", attempts=1, objects_per_partition=24, **options).load()
+
+
+DECODED_SQL = """WITH t AS (SELECT date_trunc('hour', ts) AS ts, round(value * 1000) AS p FROM events {where})
+SELECT ts, count(*) AS n, round(max(p + 1) / 1000, 6) + 0.0 AS high, round(min(p + 1) / 1000, 6) + 0.0 AS low FROM t GROUP BY ts"""
+
+
+@query("tick_objects_decoded", DECODED_SQL.format(where=""))
+def tick_objects_decoded(spark, sf):
+    """Ticks packed by hour into compressed binary records, then decoded and aggregated."""
+    candles = ticks_to_candles(objects.decode_ticks(_packed(spark, sf), "USDJPY").withColumn("series_id", F.lit("X")), "1 hour")
+    return rounded(local(candles).select("ts", F.col("volume").cast("long").alias("n"), "high", "low"))
+
+
+@query("tick_source_filtered", DECODED_SQL.format(where="WHERE date_trunc('millisecond', ts) >= TIMESTAMP '2024-01-10 06:30:00' AND ts < TIMESTAMP '2024-01-20'"))
+def tick_source_filtered(spark, sf):
+    """A stretch of the hourly objects read through the data source; bounds of time choose the objects."""
+    tick_source.register(spark)
+    ticks = _source(spark.read, _hourly_store(spark, sf)).filter("ts >= '2024-01-10 06:30:00' AND ts < '2024-01-20'")
+    candles = ticks_to_candles(ticks.withColumn("series_id", F.lit("X")), "1 hour")
     return rounded(local(candles).select("ts", F.col("volume").cast("long").alias("n"), "high", "low"))
 
 
+@query("tick_source_streamed", DECODED_SQL.format(where="").replace("GROUP BY ts", "GROUP BY ts HAVING ts + INTERVAL 2 HOUR <= (SELECT max(date_trunc('millisecond', ts)) FROM events)"))
+def tick_source_streamed(spark, sf):
+    """The same objects as a stream, half in one run and the rest in another, through watermarked candles."""
+    tick_source.register(spark)
+    base, root = _hourly_store(spark, sf), shared_folder(spark, "stream")
+    for end in ("2024-01-16", "2024-02-01"):
+        ticks = spark.readStream.format("tick_objects").options(base=base, symbol="usd/jpy", start="2024-01-01", end=end, attempts=1, objects_per_partition=24).load()
+        candles = jobs.stream_candles(ticks.drop("hour").withColumn("series_id", F.lit("X")), "1 hour", "60 minutes")
+        jobs.catch_up(candles, f"{root}/out", f"{root}/checkpoint")
+    return rounded(local(spark.read.parquet(f"{root}/out")).select("ts", F.col("volume").cast("long").alias("n"), "high", "low"))
+
+
+@query("tick_source_provenance", """WITH h AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31 23:00:00', INTERVAL 1 HOUR)) AS hour), e AS (
+  SELECT date_trunc('hour', ts) AS hour, count(*) AS n FROM events GROUP BY 1
+) SELECT hour, CASE WHEN n IS NULL THEN 'missing' ELSE 'ok' END AS status, coalesce(n, 0) AS ticks, strftime(hour, '/USDJPY/2024/00/%d/%Hh_ticks.bi5') AS object, (n IS NOT NULL)::INT AS has_digest FROM h LEFT JOIN e USING (hour)""")
+def tick_source_provenance(spark, sf):
+    """Every hour's object: there or missing, its ticks, and whether its digest is known."""
+    tick_source.register(spark)
+    base = _hourly_store(spark, sf)
+    rows = _source(spark.read, base, rows="provenance")
+    return rounded(rows.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "status", "ticks", F.substring("url", len(base) + 1, 100).alias("object"), F.col("sha256").isNotNull().alias("has_digest")))
+
+
 U = lambda name, col: f"((('0x' || substr(md5('42|{name}|' || {col}::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
 
 
@@ -206,3 +272,34 @@ def streamed_first_seen(spark, sf):
     root = shared_folder(spark, "stream")
     jobs.drain(jobs.first_seen(_snapshot_stream(spark, sf, root)), f"{root}/out", f"{root}/checkpoint")
     return local(spark.read.parquet(f"{root}/out")).select("series_id", "ts")
+
+
+def _all_signals(spark, sf):
+    """The five-minute momentum signals as candidates, whether or not their candles will come."""
+    b = momentum(bars(spark, sf, 5)).filter("signal <> 0")
+    return b.select(F.concat(F.lit("c"), F.unix_micros(F.col("ts").cast("timestamp")).cast("string")).alias("candidate_id"), F.lit("ALL").alias("asset"), F.col("ts").cast("timestamp").alias("signal_timestamp"),
+                    F.when(F.col("signal") > 0, "call").otherwise("put").alias("direction"), F.lit(3).alias("expiry_bars"), F.lit(1).alias("entry_offset_bars"), F.lit(0.82).alias("payout"))
+
+
+@query("streamed_settlement", f"""WITH {bars_sql(5)}, s AS (SELECT ts, {MOMENTUM} AS d FROM b), o AS (
+  SELECT s.ts, d, x.open AS en, z.close AS ex, x.ts IS NOT NULL AND y.ts IS NOT NULL AND z.ts IS NOT NULL AS whole, (SELECT max(ts) + INTERVAL 5 MINUTE FROM b) - INTERVAL 10 MINUTE AS mark FROM s
+  LEFT JOIN b x ON x.ts = s.ts + INTERVAL 5 MINUTE LEFT JOIN b y ON y.ts = s.ts + INTERVAL 10 MINUTE LEFT JOIN b z ON z.ts = s.ts + INTERVAL 15 MINUTE WHERE d <> 0
+)
+SELECT ts AS signal_ts, CASE WHEN whole AND (ex - en) * d > 0 THEN 'win' WHEN whole AND (ex - en) * d < 0 THEN 'loss' WHEN whole THEN 'tie' ELSE 'missing' END AS result,
+  CASE WHEN whole THEN CASE WHEN (ex - en) * d > 0 THEN 0.82::DOUBLE WHEN (ex - en) * d < 0 THEN -1.0 ELSE 0.0 END END AS pnl FROM o WHERE whole OR ts + INTERVAL 20 MINUTE <= mark""")
+def streamed_settlement(spark, sf):
+    """Every signal waits for its three candles in keyed state; the query is stopped halfway and goes on from its checkpoint."""
+    root = shared_folder(spark, "settlement")
+    made = written(_all_signals(spark, sf), "candidates")
+    candles = written(bars(spark, sf, 5).select(F.lit("ALL").alias("asset"), F.col("ts").cast("timestamp").alias("ts"), "open", "close"), "candles")
+    half = candles.agg(F.timestamp_micros(F.expr("percentile_approx(unix_micros(ts), 0.5)")).alias("half"))
+    stream = lambda name, like: spark.readStream.schema(like.schema).parquet(f"{root}/{name}")
+    for part in ("first", "second"):
+        for rows, at, name in ((made, "signal_timestamp", "candidates"), (candles, "ts", "candles")):
+            cut = rows.join(F.broadcast(half)).filter((F.col(at) < F.col("half")) == (part == "first")).drop("half")
+            cut.coalesce(1).write.mode("append").parquet(f"{root}/{name}")
+        with settlement.keyed_state(spark):
+            outcomes = settlement.settle_stream(stream("candidates", made), stream("candles", candles), 300, "10 minutes", horizon_bars=12, block_bars=48)
+            jobs.drain(outcomes, f"{root}/out", f"{root}/checkpoint")
+    got = spark.read.parquet(f"{root}/out").join(made.select("candidate_id", "signal_timestamp"), "candidate_id")
+    return rounded(got.select(F.col("signal_timestamp").cast("timestamp_ntz").alias("signal_ts"), "result", "pnl"))

@@ -24,6 +24,7 @@ from pyspark.sql.utils import AnalysisException
 from tidemark.operators.bars import require_columns
 from tidemark.operators.joins import left_one_to_one
 from tidemark.operators.validate import fingerprint
+from tidemark.session import written
 from tidemark.sources.readers import MICROS
 
 GENESIS = "GENESIS"
@@ -196,6 +197,13 @@ def append_outcomes(rows: DataFrame, path: str) -> None:
     append_all(made.withColumn("event_type", F.lit("outcome")), path, ["entry_timestamp", "candidate_id"])
 
 
+def append_settled(rows: DataFrame, path: str) -> None:
+    """Outcomes that a stream gave: what it could not settle stays open, and a batch that comes again adds nothing."""
+    known = events(rows.sparkSession, path, "outcome").select("candidate_id")
+    fresh = rows.filter(c("result").isin("win", "loss", "tie")).join(known, "candidate_id", "left_anti")
+    append_outcomes(written(fresh, "settled"), path)
+
+
 def _need(ok: bool, what: str) -> None:
     if not ok:
         raise ValueError(what)
