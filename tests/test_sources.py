@@ -226,6 +226,17 @@ def test_bootstraps(spark):
         resample.bootstrap_expectancy(t, 50)
 
 
+def test_long_ledgers_are_drawn_by_joins_alike(spark, monkeypatch):
+    rows = [(i, "win" if i % 3 else "loss", 0.8 + i / 1000 if i % 3 else -1.0) for i in range(130)]
+    t = spark.createDataFrame(rows, "entry_ts int, result string, pnl double").withColumn("signal_ts", F.col("entry_ts"))
+    jobs = [lambda: resample.bootstrap_expectancy(t, 150), lambda: resample.block_bootstrap_expectancy(t, 20, 150), lambda: resample.monte_carlo(t, 150),
+            lambda: resample.bootstrap_expectancy(t.limit(0), 150), lambda: resample.block_bootstrap_expectancy(t.limit(10), 20, 150)]
+    short = [j().first() for j in jobs]
+    monkeypatch.setattr(resample, "PACKED", -1)
+    for job, a in zip(jobs, short, strict=True):
+        assert job().first().asDict() == pytest.approx(a.asDict(), rel=1e-9)
+
+
 class Always:
     """A model that gives every eligible bar one probability."""
 

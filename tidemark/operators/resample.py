@@ -1,17 +1,28 @@
 """Bootstraps and what-if repricing of trade ledgers.
 
 Random draws are hashes of (seed, simulation, draw): reruns agree on any cluster, and SQL can
-repeat them. Trades are looked up by position in joins, so simulations spread over tasks.
+repeat them. The profits of at most PACKED trades are broadcast as one array and a task draws whole simulations from
+it: a simulation is a row, and nothing is shuffled before the quantiles. Longer ledgers are looked up by position in
+joins. Simulations spread over tasks either way.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import hashlib
+import math
+from collections.abc import Callable
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.metrics import EXACT, block_of, metrics
 from tidemark.operators.settle import Settlement, profit, settle_all
+from tidemark.session import written
 
+#: Trades whose profits are broadcast: 8 MB. Draws of a task.
+PACKED, DRAWS_A_TASK = 1 << 20, 5_000_000
 PAYOUTS = (0.70, 0.75, 0.80, 0.82, 0.85, 0.90, 0.92)
 
 
@@ -56,24 +67,82 @@ def summary(sims: DataFrame, value: str) -> DataFrame:
     return sims.agg(F.count(F.lit(1)).alias("simulations"), *quantiles(sims, value, ""), F.avg((F.col(value) > 0).cast("double")).alias("probability_positive"))
 
 
-def draws(trades: DataFrame, simulations: int, seed: int) -> DataFrame:
-    """(sim, draw, pnl): as many draws with replacement as there are trades, per simulation."""
-    pnl = numbered_pnl(trades)
+def packed(pnl: DataFrame):
+    """The profits of numbered_pnl() in order, broadcast. None beyond PACKED trades."""
+    rows = pnl.select("pos", "pnl").limit(PACKED + 1).toPandas()
+    return pnl.sparkSession.sparkContext.broadcast(rows.sort_values("pos")["pnl"].to_numpy(float)) if len(rows) <= PACKED else None
+
+
+def simulated(pnl, simulations: int, seed: int, spark: SparkSession, ledger: Callable, fields: dict[str, Callable]) -> DataFrame:
+    """A row of `fields` for each simulation: functions of the drawn profits, which ledger(profits, hashed) gives; hashed(n, count) are `count` draws below n."""
+    size = len(pnl.value)
+    tasks = max(spark.sparkContext.defaultParallelism, simulations * size // DRAWS_A_TASK)
+    sims = spark.range(0, simulations, 1, tasks)
+
+    def run(batches):
+        profits = pnl.value
+        for b in batches:
+            rows = []
+            for sim in b.column(0).to_pylist():
+                begin = f"{seed}|{sim}|"
+
+                def hashed(n, count, begin=begin):
+                    raw = b"".join([hashlib.md5(f"{begin}{k}".encode(), usedforsecurity=False).digest()[:4] for k in range(count)])
+                    return np.frombuffer(raw, ">u4").astype(np.int64) % n
+
+                drawn = ledger(profits, hashed)
+                rows.append([f(drawn) for f in fields.values()])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.float64()) for c in zip(*rows, strict=True)], list(fields))
+
+    out = sims.mapInArrow(run, ", ".join(f"{f} double" for f in fields))
+    return out if size else out.limit(0)
+
+
+def redrawn(profits: np.ndarray, hashed: Callable) -> np.ndarray:
+    return profits[hashed(len(profits), len(profits))]
+
+
+def mean(drawn: np.ndarray) -> float:
+    return math.fsum(drawn) / len(drawn)
+
+
+def deepest_fall(drawn: np.ndarray) -> float:
+    equity = np.cumsum(drawn)
+    return float((np.maximum.accumulate(np.maximum(equity, 0.0)) - equity).max())
+
+
+def draws(pnl: DataFrame, simulations: DataFrame, seed: int) -> DataFrame:
+    """(sim, draw, pnl): as many draws with replacement as there are trades, per simulation; a row for each."""
     size = pnl.agg(F.count(F.lit(1)).alias("n")).filter("n > 0")
-    rows = _simulations(trades, simulations).crossJoin(F.broadcast(size)).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
-    return rows.withColumn("pos", hash_index(seed, F.col("n"), "sim", "draw")).join(pnl, "pos").select("sim", "draw", "pnl")
+    rows = simulations.crossJoin(F.broadcast(size)).withColumn("draw", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    return rows.withColumn("pos", hash_index(seed, F.col("n"), "sim", "draw")).join(pnl.select("pos", "pnl"), "pos").select("sim", "draw", "pnl")
 
 
 def bootstrap_expectancy(trades: DataFrame, simulations: int = 10_000, seed: int = 42) -> DataFrame:
-    return summary(draws(trades, simulations, seed).groupBy("sim").agg((total("pnl") / F.count(F.lit(1))).alias("mean")), "mean")
+    sims, pnl = _simulations(trades, simulations), written(numbered_pnl(trades), "pnl")
+    row = packed(pnl)
+    if row is None:
+        means = draws(pnl, sims, seed).groupBy("sim").agg((total("pnl") / F.count(F.lit(1))).alias("mean"))
+    else:
+        means = simulated(row, simulations, seed, trades.sparkSession, redrawn, {"mean": mean})
+    return summary(means, "mean")
 
 
 def block_bootstrap_expectancy(trades: DataFrame, block: int = 20, simulations: int = 10_000, seed: int = 42) -> DataFrame:
-    """Blocks of consecutive trades at drawn starts, cut to as many trades as there are; a block's sum is two running sums."""
-    pnl = numbered_pnl(trades)
+    """Blocks of consecutive trades at drawn starts, cut to as many trades as there are."""
+    sims, pnl = _simulations(trades, simulations), written(numbered_pnl(trades), "pnl")
+    row = packed(pnl)
+    if row is not None:
+        def blocks(profits, hashed):
+            start = hashed(len(profits) - block + 1, -(-len(profits) // block))
+            return profits[(start[:, None] + np.arange(block)).ravel()[: len(profits)]]
+
+        means = simulated(row, simulations, seed, trades.sparkSession, blocks if len(row.value) >= block else redrawn, {"mean": mean})
+        return summary(means if len(row.value) >= block else means.limit(0), "mean")
+    # A block's sum is the difference of two running sums.
     sums = pnl.select((F.col("pos") + 1).alias("pos"), "upto").unionByName(pnl.select(F.lit(0).cast("long").alias("pos"), F.lit(0.0).alias("upto")).limit(1))
-    size = pnl.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= block)
-    rows = _simulations(trades, simulations).crossJoin(F.broadcast(size)).withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)))
+    known = pnl.agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= block)
+    rows = sims.crossJoin(F.broadcast(known)).withColumn("blk", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)))
     rows = rows.withColumn("start", hash_index(seed, F.col("n") - block + 1, "sim", "blk")).withColumn("end", F.col("start") + F.least(F.lit(block), F.col("n") - F.col("blk") * block))
     ends = rows.join(sums.withColumnsRenamed({"pos": "start", "upto": "s0"}), "start").join(sums.withColumnsRenamed({"pos": "end", "upto": "s1"}), "end")
     return summary(ends.groupBy("sim").agg((total(F.col("s1") - F.col("s0")) / F.first("n")).alias("mean")), "mean")
@@ -81,11 +150,16 @@ def block_bootstrap_expectancy(trades: DataFrame, block: int = 20, simulations:
 
 def monte_carlo(trades: DataFrame, simulations: int = 5_000, seed: int = 42) -> DataFrame:
     """Final profit and deepest drawdown of resampled ledgers."""
-    upto = Window.partitionBy("sim").orderBy("draw").rowsBetween(Window.unboundedPreceding, 0)
-    rows = draws(trades, simulations, seed).withColumn("equity", F.sum("pnl").over(upto))
-    rows = rows.withColumn("fall", F.greatest(F.lit(0.0), F.max("equity").over(upto)) - F.col("equity"))
-    sims = rows.groupBy("sim").agg(total("pnl").alias("final"), F.max("fall").alias("fall"))
-    return sims.agg(F.count(F.lit(1)).alias("simulations"), *quantiles(sims, "final", "pnl_"), *quantiles(sims, "fall", "drawdown_"),
+    sims, pnl = _simulations(trades, simulations), written(numbered_pnl(trades), "pnl")
+    row = packed(pnl)
+    if row is None:
+        upto = Window.partitionBy("sim").orderBy("draw").rowsBetween(Window.unboundedPreceding, 0)
+        rows = draws(pnl, sims, seed).withColumn("equity", F.sum("pnl").over(upto))
+        rows = rows.withColumn("fall", F.greatest(F.lit(0.0), F.max("equity").over(upto)) - F.col("equity"))
+        ends = rows.groupBy("sim").agg(total("pnl").alias("final"), F.max("fall").alias("fall"))
+    else:
+        ends = simulated(row, simulations, seed, trades.sparkSession, redrawn, {"final": math.fsum, "fall": deepest_fall})
+    return ends.agg(F.count(F.lit(1)).alias("simulations"), *quantiles(ends, "final", "pnl_"), *quantiles(ends, "fall", "drawdown_"),
                     F.avg((F.col("final") > 0).cast("double")).alias("probability_profit"))
 
 
