@@ -1,4 +1,6 @@
 import random
+import zlib
+from collections import Counter
 
 from pyspark.sql import functions as F
 
@@ -34,6 +36,27 @@ def test_labels_decide_what_is_learned(docs):
     assert language_id.predict(docs([]), language_id.fit(docs([]))).count() == 0
 
 
+def test_any_number_of_languages(docs, monkeypatch):
+    """200 languages, most of them unlisted: families from the data, all learned and told apart; only the predicted family's machines run."""
+    r = random.Random(11)
+    listed = sorted(language_id.FAMILY_OF)
+    names = listed + [f"x{i:03}" for i in range(200 - len(listed))]
+    vocabulary = {x: ["".join(r.choices("abcdefghijklmnopqrstuvwxyz", k=r.randint(3, 7))) for _ in range(12)] for x in names}
+    rows = [(200 * k + i, " ".join(r.choices(vocabulary[x], k=30)), x) for k in range(5) for i, x in enumerate(names)]
+    df = docs(rows)
+    model = language_id.fit(df)
+    learned = {x for i, _, x in rows if zlib.crc32(str(i).encode()) % 4 != 2}
+    assert {*model.languages} == learned and len(learned) >= 198
+    made = Counter(f for x, f in model.family_of.items() if x not in language_id.FAMILY_OF)
+    assert len(made) > 10 and max(made.values()) <= language_id.GROUP
+    assert len(model.machines) < 2500
+    sizes = []
+    monkeypatch.setattr(language_id.LanguageModel, "_margins", lambda self, group, groups, bounds, f=language_id.LanguageModel._margins: sizes.append((group, len(bounds) - 1)) or f(self, group, groups, bounds))
+    got, _ = model.predict([t for _, t, _ in rows])
+    assert sum(n for g, n in sizes if g != "family") == len(rows)  # each text in one family only
+    assert sum(p == x for p, (_, _, x) in zip(got, rows, strict=True) if x in learned) >= 0.99 * sum(x in learned for *_, x in rows)
+
+
 def spans(text):
     return [(k, text[s:e]) for k, s, e, _ in pii.find_spans(text)]
 

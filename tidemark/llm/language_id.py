@@ -2,10 +2,12 @@
 
 Every decision is a linear support vector machine between two classes, over counts of hashed
 letter groups of two and three bytes in lower case. Families are told apart first, each
-against each; within the predicted family each language votes against each other, ties by
-the sum of margins. Machines are fitted one per task from a sample of at most SAMPLE_ROWS whole
-texts a language, the first by a hash of doc_id, of at most MOST_LANGUAGES languages, those of most
-rows; only fitted weights reach the driver, one vector per pair of families and of languages of one family.
+against each; then only the machines of the predicted family run, each language against each other, votes first, ties by
+the sum of margins. Machines are fitted one per task from a sample of at most SAMPLE_ROWS whole texts a language, the
+first by a hash of doc_id. Any number of languages can be learned: those that FAMILIES does not list are put into
+families of at most GROUP by the similarity of their mean letter groups, so that the machines within families grow
+with the number of languages. Means (one a language) and fitted weights (one vector per pair of families and of languages of
+one family, 64 KB each) are what reaches the driver.
 
 Defined cases: text that is null or has no letter is `und` with score 0; with no labelled row
 every text is `und`; with one learned language every text with a letter is that; texts of any
@@ -26,7 +28,7 @@ from pyspark.sql import functions as F
 from tidemark.llm.common import Workspace, by_bytes, free_name, join_checked, lean
 
 SAMPLE_ROWS = 400
-MOST_LANGUAGES = 128
+GROUP = 8  # languages of a family made from the data
 BUCKETS = 1 << 14
 SCALE = 10.0  # of a text's shares of letter groups
 EPOCHS = 20
@@ -34,7 +36,7 @@ COST = 10.0
 UNKNOWN = "und"
 BYTES_AT_ONCE = 1 << 20
 
-#: Families by language code; a language that is not listed belongs to `other`.
+#: Families by language code.
 FAMILIES = {
     "germanic": ("en", "de", "nl", "af", "sv", "da", "no", "nb", "nn", "is", "lb", "fy", "yi"),
     "romance": ("fr", "es", "pt", "it", "ro", "ca", "gl", "oc", "la", "ast", "rm"),
@@ -72,15 +74,12 @@ def is_held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(4)) == 2
 
 
-def training_rows(docs: DataFrame, work: Workspace, sample_rows: int = SAMPLE_ROWS, most_languages: int = MOST_LANGUAGES) -> DataFrame:
-    """(lang, doc_id, text) of at most sample_rows ids for each of at most most_languages languages; one text an id.
-
-    The languages of most rows are taken, ties by name, and of each the ids that come first by hash.
-    """
+def training_rows(docs: DataFrame, work: Workspace, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """(lang, doc_id, text) of at most sample_rows ids for each language, those that come first by hash; one text an id."""
     rows = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~is_held_out(F.col("doc_id"))).select(
         "lang", F.col("doc_id").alias("id"), F.xxhash64("doc_id").alias("h")
     )
-    n = work.write(rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(most_languages), "languages")
+    n = work.write(rows.groupBy("lang").count(), "languages")
     # A first cut by hash leaves little more than sample_rows of each language for the window.
     part = F.least(F.lit(1.0), F.lit(1.5 * sample_rows + 200) / F.col("count"))
     cut = join_checked(rows, n, ["lang"]).filter(F.pmod("h", F.lit(1 << 30)) < part * (1 << 30)).distinct()
@@ -113,25 +112,60 @@ def features(text: str) -> tuple[np.ndarray, np.ndarray]:
     return found, SCALE * n / max(1, len(groups))
 
 
+def alike(names: list[str], means: np.ndarray) -> list[list[str]]:
+    """Groups of at most GROUP languages: halves along the main direction of their means, until all are small enough."""
+    if len(names) <= GROUP:
+        return [names]
+    x = means - means.mean(axis=0)
+    _, vectors = np.linalg.eigh(x @ x.T)
+    order = np.argsort(vectors[:, -1] * (1 if vectors[np.argmax(np.abs(vectors[:, -1])), -1] > 0 else -1), kind="stable")
+    half = len(order) // 2
+    return [g for part in (order[:half], order[half:]) for g in alike([names[i] for i in part], means[part])]
+
+
+def families_of(sample: DataFrame, languages: list[str]) -> dict[str, str]:
+    """Family by language: the listed ones, and groups of those that are alike; one group is named `other`."""
+    out = {x: FAMILY_OF[x] for x in languages if x in FAMILY_OF}
+    rest = sorted(x for x in languages if x not in FAMILY_OF)
+    if len(rest) <= GROUP:
+        return out | dict.fromkeys(rest, "other")
+
+    def mean(key, rows: pd.DataFrame) -> pd.DataFrame:
+        total = np.zeros(BUCKETS)
+        for t in rows.sort_values("doc_id")["text"]:
+            found, share = features(t)
+            total[found] += share
+        return pd.DataFrame({"lang": [key[0]], "mean": [(total / len(rows)).astype("<f4").tobytes()]})
+
+    known = [F.lit(x) for x in FAMILY_OF]
+    means = {r["lang"]: np.frombuffer(bytes(r["mean"]), "<f4") for r in sample.filter(~F.col("lang").isin(*known)).groupBy("lang").applyInPandas(mean, "lang string, mean binary").collect()}
+    groups = alike(rest, np.stack([means[x] for x in rest]).astype(float))
+    return out | {x: f"other{i}" for i, g in enumerate(groups) for x in g}
+
+
 class LanguageModel:
     """Fitted machines: for families and for the languages of each, (first, second, weights)."""
 
-    def __init__(self, languages: list[str], machines: list[tuple[str, str, str, np.ndarray]]):
-        self.languages = sorted(languages)
-        self.families = sorted({FAMILY_OF.get(x, "other") for x in languages})
+    def __init__(self, family_of: dict[str, str], machines: list[tuple[str, str, str, np.ndarray]]):
+        self.family_of = family_of
+        self.languages = sorted(family_of)
+        self.families = sorted({*family_of.values()})
         self.machines = [(g, a, b) for g, a, b, _ in machines]
         self.weights = np.stack([w for *_, w in machines]).astype(np.float32) if machines else np.zeros((0, BUCKETS + 1), np.float32)
+        self.of_group: dict[str, list[int]] = {}
+        for j, (g, *_) in enumerate(self.machines):
+            self.of_group.setdefault(g, []).append(j)
 
     def _choose(self, group: str, names: list[str], margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index of the winner by votes, then margins; and how sure, as the mean of its sigmoid margins."""
         votes, sums, sure = (np.zeros((len(margins), len(names))) for _ in range(3))
-        for j, (g, a, b) in enumerate(self.machines):
-            if g == group:
-                i, k, m = names.index(a), names.index(b), margins[:, j]
-                for who, value in ((i, m), (k, -m)):
-                    votes[:, who] += value > 0
-                    sums[:, who] += value
-                    sure[:, who] += 1 / (1 + np.exp(-np.clip(3 * value, -30, 30)))
+        place = {x: i for i, x in enumerate(names)}
+        for m, j in zip(margins.T, self.of_group.get(group, []), strict=True):
+            _, a, b = self.machines[j]
+            for who, value in ((place[a], m), (place[b], -m)):
+                votes[:, who] += value > 0
+                sums[:, who] += value
+                sure[:, who] += 1 / (1 + np.exp(-np.clip(3 * value, -30, 30)))
         winner = np.argmax(votes + 1e-3 * np.tanh(sums), axis=1)
         return winner, sure[np.arange(len(margins)), winner] / (len(names) - 1) if len(names) > 1 else np.ones(len(margins))
 
@@ -148,19 +182,26 @@ class LanguageModel:
             start = stop
         return out, scores
 
-    def _predict(self, texts, some, out, scores) -> None:
-        groups, bounds = letter_groups([texts[i] for i in some])
+    def _margins(self, group: str, groups: np.ndarray, bounds: np.ndarray) -> np.ndarray:
+        """Of the group's machines, for texts given as joined buckets."""
         n = np.maximum(1, np.diff(bounds))
-        margins = np.zeros((len(some), len(self.machines)))
-        for j, w in enumerate(self.weights):
+        out = np.zeros((len(n), len(self.of_group.get(group, []))))
+        for k, j in enumerate(self.of_group.get(group, [])):
+            w = self.weights[j]
             sums = np.append(0.0, np.cumsum(w[groups], dtype=np.float64))
-            margins[:, j] = SCALE * (sums[bounds[1:]] - sums[bounds[:-1]]) / n + w[BUCKETS]
-        family, sure = self._choose("family", self.families, margins)
+            out[:, k] = SCALE * (sums[bounds[1:]] - sums[bounds[:-1]]) / n + w[BUCKETS]
+        return out
+
+    def _predict(self, texts, some, out, scores) -> None:
+        groups, bounds = letter_groups([texts[i] for i in some])
+        family, sure = self._choose("family", self.families, self._margins("family", groups, bounds))
         for f, name in enumerate(self.families):
             own = np.flatnonzero(family == f)
             if len(own):
-                names = [x for x in self.languages if FAMILY_OF.get(x, "other") == name]
-                lang, within = self._choose(name, names, margins[own])
+                names = [x for x in self.languages if self.family_of[x] == name]
+                mine = np.concatenate([groups[bounds[i] : bounds[i + 1]] for i in own])
+                ends = np.append(0, np.cumsum(bounds[own + 1] - bounds[own]))
+                lang, within = self._choose(name, names, self._margins(name, mine, ends))
                 for i, k, s in zip(own.tolist(), lang.tolist(), (sure[own] * within).tolist(), strict=True):
                     out[some[i]], scores[some[i]] = names[k], round(float(s), 6)
 
@@ -170,15 +211,15 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
     work = Workspace(docs.sparkSession, "language_id")
     sample = work.write(training_rows(docs, work, sample_rows), "sample")
     languages = [r["lang"] for r in sample.select("lang").distinct().collect()]
-    families = sorted({FAMILY_OF.get(x, "other") for x in languages})
-    pairs = [("family", a, b) for a in families for b in families if a < b]
-    for family in families:
-        names = sorted(x for x in languages if FAMILY_OF.get(x, "other") == family)
-        pairs += [(family, a, b) for a in names for b in names if a < b]
+    family_of = families_of(sample, languages)
+    members: dict[str, list[str]] = {}
+    for x in sorted(languages):
+        members.setdefault(family_of[x], []).append(x)
+    pairs = [("family", a, b) for a in members for b in members if a < b]
+    pairs += [(family, a, b) for family, names in members.items() for a in names for b in names if a < b]
     if not pairs:
-        return LanguageModel(languages, [])
-    roles = [(g, a, b, x, 1.0 if c == a else -1.0) for g, a, b in pairs for x in languages
-             for c in [FAMILY_OF.get(x, "other") if g == "family" else x] if c in (a, b)]
+        return LanguageModel(family_of, [])
+    roles = [(g, a, b, x, sign) for g, a, b in pairs for c, sign in ((a, 1.0), (b, -1.0)) for x in (members[c] if g == "family" else [c])]
     table = docs.sparkSession.createDataFrame(roles, "grp string, a string, b string, lang string, sign double")
 
     def fit_group(key, rows: pd.DataFrame) -> pd.DataFrame:
@@ -189,7 +230,7 @@ def fit(docs: DataFrame, sample_rows: int = SAMPLE_ROWS) -> LanguageModel:
 
     fitted = join_checked(sample, table, ["lang"]).groupBy("grp", "a", "b").applyInPandas(fit_group, "grp string, a string, b string, w binary")
     machines = [(r["grp"], r["a"], r["b"], np.frombuffer(bytes(r["w"]), "<f4")) for r in fitted.collect()]
-    return LanguageModel(languages, sorted(machines, key=lambda m: m[:3]))
+    return LanguageModel(family_of, sorted(machines, key=lambda m: m[:3]))
 
 
 def predict(docs: DataFrame, model: LanguageModel) -> DataFrame:
