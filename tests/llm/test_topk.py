@@ -68,3 +68,23 @@ def test_most_pairs_are_never_multiplied(made):
     for i in range(len(q)):
         best = np.lexsort((ids, -scores[i]))[:20]
         assert block.found[i] == [(-int(scores[i, j]), j, j) for j in best]
+
+
+def test_the_given_vectors_are_pruned(spark):
+    """With the thresholds that a tenth of the vectors gives, fewer than half of all pairs of the given table get a whole product."""
+    rows = topk.integer_vectors(spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")).toPandas().sort_values("norm", ascending=False, kind="stable")
+    ids, norms = rows["vec_id"].to_numpy(), rows["norm"].to_numpy()
+    ints = topk._matrix([*rows["ints"]], len(rows["ints"].iloc[0]) // 8)
+    q = np.flatnonzero(ids % 20 == 0)
+    seeds = ints[q] @ ints[: len(ids) // 10].T
+    seeds[q[:, None] == np.arange(len(ids) // 10)] = -np.inf
+    least = np.sort(seeds, axis=1)[:, -20]
+    block = topk.Block(ids[q], ids[q], ints[q], norms[q], least, np.linalg.svd(ints[:4096], full_matrices=True)[2].T, topk.HEAD, 20)
+    for i in range(0, len(ids), topk.BATCH):
+        if not block.meet(*(x[i : i + topk.BATCH] for x in (ids, ids, ints, norms))):
+            break
+    assert block.multiplied < 0.5 * len(q) * len(ids)
+    assert topk.steps(64, 16) == [(0, 16), (16, 32), (32, 40), (40, 48), (48, 56), (56, 60), (60, 64)]
+    for dim in (1, 2, 3, 7, 24, 48, 100):
+        cut = topk.steps(dim, min(16, dim))
+        assert cut[0][0] == 0 and cut[-1][1] == dim and all(a < b for a, b in cut) and [b for _, b in cut[:-1]] == [a for a, _ in cut[1:]]

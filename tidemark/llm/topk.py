@@ -35,12 +35,12 @@ SCALE = 64.0
 K = 20
 HEAD = 16
 SAMPLE_ROWS = 4096
-SEED_VALUES = 1 << 18  # coordinates of the longest vectors that every query meets first
+SEED_VALUES = 1 << 18  # coordinates of the longest vectors that every query meets first; a tenth of all vectors at most
 BANDS = 8
 BLOCK_VALUES = 1 << 19  # coordinates of a block of queries
 SLICE_ROWS = 16384
 BATCH = 1024
-DENSE = 1 / 8  # from this share of surviving pairs on, a step is one matrix product
+DENSE = 1 / 3  # from this share of surviving pairs on, a step is one matrix product
 EXACT = 2.0**52
 LONG = (-(2**63), 2**63 - 1)
 NO_ID = np.iinfo(np.int64).max
@@ -95,10 +95,17 @@ def products(q: np.ndarray, c: np.ndarray, top: float) -> np.ndarray:
 
 
 def steps(dim: int, head: int) -> list[tuple[int, int]]:
-    """Ranges of coordinates that are added one after the other."""
+    """Ranges of coordinates that are added one after the other: doubling up to half of them, then an eighth, at last a sixteenth at a time.
+
+    What is left after half decides where directions are spread evenly; there the bound is asked often.
+    """
     ends = [0]
     while ends[-1] < dim:
-        ends.append(min(dim, max(head, 2 * ends[-1], 1)))
+        if 2 * ends[-1] < dim or not ends[-1]:
+            end = max(head, 2 * ends[-1], 1)
+        else:
+            end = ends[-1] + max(1, -(-dim // (8 if 8 * ends[-1] < 7 * dim else 16)))
+        ends.append(min(dim, end))
     return list(zip(ends, ends[1:]))
 
 
@@ -259,7 +266,7 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = K, head: int = HEAD) ->
     dim = size["dim"] or 0
     blocks = max(1, -(-size["q"] // max(1, BLOCK_VALUES // max(1, dim))))
     turn = rotation(rows, dim) if dim else np.eye(0)
-    seeds = [(r["uid"], r["norm"], bytes(r["ints"])) for r in rows.orderBy(F.desc("norm"), "uid").limit(max(k + 1, SEED_VALUES // max(1, dim))).select("uid", "norm", "ints").collect()]
+    seeds = [(r["uid"], r["norm"], bytes(r["ints"])) for r in rows.orderBy(F.desc("norm"), "uid").limit(max(k + 1, min(SEED_VALUES // max(1, dim), size["n"] // 10))).select("uid", "norm", "ints").collect()]
     seeds, turned = (vectors.sparkSession.sparkContext.broadcast(x) for x in (seeds, turn))
     placed, bands = banded(rows, size["n"])
 
