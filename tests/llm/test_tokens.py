@@ -4,6 +4,7 @@ import zlib
 import numpy as np
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from tidemark.llm import packing, token_files
 from tidemark.llm.common import Workspace
@@ -100,3 +101,15 @@ def test_packing_is_near_the_fewest(docs):
     got = packing.pack_documents(docs(rows)).collect()
     fewest = -(-sum(r["length"] for r in got) // 1024)
     assert len({r["sequence_id"] for r in got}) <= 1.02 * fewest + 1
+
+
+def test_rows_without_ids_spread_over_ranges(spark, docs, tmp_path):
+    rows = [(None, f"text {i}") for i in range(300)] + [(7, "same text")] * 300 + [(i, f"t {i}") for i in range(10, 60)]
+    made = token_files._tokenize(docs(rows).repartition(4), default_tokenizer(), 0, 8).filter("n is not null")
+    parts = made.groupBy("part").agg(F.count(F.lit(1)).alias("rows"), F.count("doc_id").alias("ids")).collect()
+    assert max(r["rows"] for r in parts) < 300 and sum(r["rows"] for r in parts) == 650
+    ids = [r["doc_id"] for r in made.orderBy("part", "seq").collect()]
+    assert ids == sorted(ids, key=lambda x: (x is not None, x))
+    token_files.write_token_files(docs(rows), str(tmp_path / "set"))
+    back = token_files.read_token_files(spark, str(tmp_path / "set"))
+    assert back.count() == 650 and back.filter("doc_id = 7").select("ids_crc32").distinct().count() == 1
