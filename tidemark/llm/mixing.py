@@ -73,19 +73,20 @@ def mix_plan(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, cap: float
         sized = docs.withColumn(size, words(F.col("text")))
     docs = sized
     draw, extra = (free_name(docs.columns, n) for n in ("draws", "fraction"))
-    sized = Workspace(docs.sparkSession, "mixing").write(docs, "sized")
+    work = Workspace(docs.sparkSession, "mixing")
+    sized = work.write(docs, "sized")
     sums = sized.groupBy("source").agg(F.sum(size).alias("source_size"))
     rates = targets(sums, weights, share, cap).withColumn(
         "rate", F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     )
-    rates = rates.withColumn("base", F.floor("rate")).withColumn(extra, F.col("rate") - F.floor("rate"))
+    rates = work.write(rates.withColumn("base", F.floor("rate")).withColumn(extra, F.col("rate") - F.floor("rate")), "rates")
     narrow = join_checked(sized.select("source", size, draws("doc_id").alias(draw)), rates, ["source"])
     hits = [F.sum(F.when(F.col(draw)[s] < F.col(extra), F.col(size)).otherwise(0)).alias(f"s{s}") for s in range(SEEDS)]
     sampled = narrow.groupBy("source").agg(F.first("source_size").alias("n"), F.first(extra).alias("f"), *hits)
     off = F.array_min(F.array(*[
         F.struct(F.abs(F.col(f"s{s}") - F.col("f") * F.col("n")).alias("off"), F.lit(s).alias("seed")) for s in range(SEEDS)
     ]))
-    seeds = sampled.select("source", off["seed"].alias("seed"))
+    seeds = work.write(sampled.select("source", off["seed"].alias("seed")), "seeds")
     rates = join_checked(rates, seeds, ["source"])
     rates = rates.select(
         "source", *[F.col(c).alias(free_name(docs.columns, c)) for c in ("source_size", "target", "base", "seed")],
