@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm import anchors, substring_dedup, suffix_dedup
+from tidemark.llm.common import Workspace
 
 
 def words_by_brute_force(rows, size):
@@ -125,3 +126,20 @@ def test_levels_double():
         sizes = substring_dedup.levels(9, length)
         covered = {o + i for o in substring_dedup.first_offsets(sizes).tolist() for i in range(sizes[0])}
         assert covered == set(range(length))
+
+
+def test_a_large_anchor_is_sorted_by_digit_passes(spark):
+    """One anchor of 20,000 runs, of which some are equal, and one string that occurs 100,000 times."""
+    hot = spark.range(100_000).selectExpr("5L AS a", "0L AS place", "cast(repeat('h', 40) AS binary) AS bytes", "id % 7 AS d", "1000 + id % 50 AS k", "id DIV 50 AS at")
+    runs = spark.range(20_000).selectExpr("5L AS a", "0L AS place", "cast(concat(repeat('p', 20), lpad(cast(id % 19000 AS string), 20, '0')) AS binary) AS bytes", "id AS d", "id AS k", "3 * id AS at").selectExpr(
+        "a", "place", "bytes", "d", "k", "at")
+    table = hot.unionByName(runs).repartition(6)
+    spans = suffix_dedup.later_suffixes(table, 40, Workspace(spark, "test_passes"), 12).collect()
+    got = {(r["k"], r["at"] + i) for r in spans for i in range(r["n"])}
+    first, every = {}, {}
+    for r in table.collect():
+        key = (r["d"], r["k"], r["at"])
+        first[bytes(r["bytes"])] = min(first.get(bytes(r["bytes"]), key), key)
+        every[key] = bytes(r["bytes"])
+    assert got == {key[1:] for key, x in every.items() if first[x] != key}
+    assert len(got) == 99_999 + 1_000 and len(spans) < 2_000

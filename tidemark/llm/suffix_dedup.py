@@ -8,10 +8,10 @@ once, and runs that are equal as a whole go on as one, their later copies settle
 with partial minima. Within an anchor and place suffixes are sorted by digits of DIGIT bytes, as
 big-endian numbers, from the first byte on; groups of one are dropped after each pass.
 
-An anchor's runs are sorted in one task's arrays only up to GATHERED runs. The suffixes of larger
-ones are sorted by Spark: their further digits deal them to ranges, so that one anchor spreads over
-as many tasks as it needs, and each range is sorted by all bytes; a stream over the
-order, which holds one suffix at a time, tells equal neighbours. Both ways compare all bytes.
+The passes over an anchor with up to GATHERED runs take place in one task's arrays. Those over a larger one are Spark's:
+each pass groups its suffixes by their next WIDE bytes, counts with partial aggregates, and drops groups of one, so an anchor spreads over as
+many tasks as it needs and a string of any number of copies is a count and a join that adaptive execution splits. All bytes of
+single suffixes are compared; runs that are equal as a whole are found by a 64-bit hash of their bytes, anchor and place.
 
 Defined cases: null text is empty; a text shorter than LENGTH loses nothing; rows that repeat
 a doc_id are documents of their own, ordered as the table's splits and rows are; a null doc_id comes
@@ -34,9 +34,9 @@ from tidemark.llm.hashing import decompress
 LENGTH = 100
 GRAM = 28
 DIGIT = 8
+WIDE = 32  # bytes of a pass over tasks
 GATHERED = 1024
 RUNS_AT_ONCE = 4096
-SUFFIXES_AT_ONCE = 1 << 20
 
 
 def digits(text: np.ndarray, at: np.ndarray, size: int) -> np.ndarray:
@@ -110,28 +110,29 @@ def _sort_runs(length: int):
     return work
 
 
-def _equal_neighbours(batches):
-    """From suffixes (a, place, bytes, d, k, at) in that order: all but the first of equal ones, as spans (k, at, n) of neighbouring places."""
-    last, late = None, []
-
-    def spans():
-        k, at = (np.concatenate(x) for x in zip(*late, strict=True))
-        late.clear()
-        order = np.lexsort((at, k))
-        k, at = k[order], at[order]
-        first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (at[1:] != at[:-1] + 1)))
-        return pa.RecordBatch.from_arrays([pa.array(k[first]), pa.array(at[first]), pa.array(np.diff(first, append=len(k)))], ["k", "at", "n"])
-
+def _neighbours(batches):
+    """Spans (k, at, n) of neighbouring places (k, at), which come in order."""
     for b in batches:
-        keys = list(zip(*(b.column(c).to_pylist() for c in ("a", "place", "bytes")), strict=True))
-        found = b.take(pa.array([i for i, key in enumerate(keys) if key == (keys[i - 1] if i else last)], pa.int64()))
-        last = keys[-1] if keys else last
-        if found.num_rows:
-            late.append((found.column("k").to_numpy(), found.column("at").to_numpy()))
-        if sum(len(x) for x, _ in late) > SUFFIXES_AT_ONCE:
-            yield spans()
-    if late:
-        yield spans()
+        k, at = b.column("k").to_numpy(), b.column("at").to_numpy()
+        first = np.flatnonzero(np.append(True, (k[1:] != k[:-1]) | (at[1:] != at[:-1] + 1))) if len(k) else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(k[first]), pa.array(at[first]), pa.array(np.diff(first, append=len(k)))], ["k", "at", "n"])
+
+
+def later_suffixes(suffixes: DataFrame, length: int, work: Workspace, wide: int = WIDE) -> DataFrame:
+    """Spans (k, at, n) of all but the first of suffixes (a, place, bytes, d, k, at) that are equal: passes by digits of `wide` bytes, groups of one dropped after each."""
+    alive, before = suffixes, None
+    group = ["a", "place", "digits"]
+    for end in [*range(wide, length, wide), length]:
+        keyed = alive.withColumn("digits", F.substring("bytes", 1, end))
+        counted = keyed.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), *([F.min(F.struct("d", "k", "at")).alias("first")] if end == length else [])).filter("n > 1").drop("n")
+        counted = work.write(counted, f"digits{end}")
+        kept = keyed.join(counted.hint("merge"), group)
+        if end < length:
+            alive = work.write(kept.select(*suffixes.columns), f"pass{end}")
+            work.drop(f"digits{end}", *([before] if before else []))
+            before = f"pass{end}"
+    late = kept.filter(F.struct("d", "k", "at") != F.col("first")).select("k", "at")
+    return late.repartition("k").sortWithinPartitions("k", "at").mapInArrow(lean(_neighbours), "k long, at long, n long")
 
 
 def _cut_runs(length: int, single: bool):
@@ -187,9 +188,7 @@ def earlier_spans(texts: DataFrame, scheme: A.Scheme, work: Workspace, gathered:
     many = part.filter(F.col("others") > gathered)
     if not many.isEmpty():
         suffixes = work.write(cut_runs(texts, many, scheme.length, True), "suffixes")
-        dealt = suffixes.repartitionByRange("a", "place", "bytes").sortWithinPartitions("a", "place", "bytes", "d", "k", "at")
-        later = dealt.mapInArrow(lean(_equal_neighbours), "k long, at long, n long")
-        spans = spans.unionByName(work.write(later, "later"))
+        spans = spans.unionByName(work.write(later_suffixes(suffixes, scheme.length, work), "later"))
         work.drop("suffixes")
     return work.write(A.by_text(spans, "at", "n"), "spans")
 
