@@ -142,13 +142,16 @@ for _name, _family in signals.FAMILIES.items():
         return rounded(search.grid_search_matrix(family.prepared(dense(spark, sf)), family, EXPIRIES, "wilson_low", 5).select(*FOUND))
 
 
-@query("parameter_grids", "SELECT * FROM (VALUES ('trend_pullback', 288::BIGINT), ('range_reversion', 288), ('breakout', 192), ('htf_aligned_pullback', 72), ('compression_breakout', 32), ('sweep_reversal', 48)) t(family, size)")
+@query("parameter_grids", f"""WITH {bars_sql()} SELECT family, size, size * (SELECT count(*) FROM b) AS evaluations FROM (
+  VALUES ('trend_pullback', 288::BIGINT), ('range_reversion', 288), ('breakout', 192), ('htf_aligned_pullback', 72), ('compression_breakout', 32), ('sweep_reversal', 48)) t(family, size)""")
 def parameter_grids(spark, sf):
+    """Sets of each family's grid, and how often a search over the bars evaluates one."""
     tables = [search.parameter_table(spark, f.grid).select(F.lit(f.name).alias("family")) for f in signals.FAMILIES.values()]
     out = tables[0]
     for t in tables[1:]:
         out = out.unionByName(t)
-    return out.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    sizes = out.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    return sizes.crossJoin(F.broadcast(bars(spark, sf).agg(F.count(F.lit(1)).alias("bars")))).select("family", "size", (F.col("size") * F.col("bars")).alias("evaluations"))
 
 
 @query("evidence_gate", f"""WITH {trades_sql()}, td AS (SELECT *, hour(entry_ts)::BIGINT AS h FROM tr), z AS ({metrics_sql('td', ['h'], path=False).replace('a AS (', 'WITH a AS (', 1)})
@@ -251,9 +254,16 @@ def frozen_evaluation(spark, sf):
     return rounded(models.evaluate(GIVEN, rows, models.FROZEN_THRESHOLD, Settlement(models.FROZEN_EXPIRY)))
 
 
-@query("model_coefficients", "SELECT * FROM (VALUES (1::BIGINT, 'return_1', -0.9::DOUBLE), (2, 'htf_5_return_1', 0.4), (3, 'rsi_14', -0.35), (4, 'adx_14', 0.15)) t(rank, feature, weight)")
+@query("model_coefficients", f"""WITH RECURSIVE {SCORED_SQL} {' UNION ALL '.join(
+    f"SELECT {i}::BIGINT AS rank, '{f}' AS feature, {w}::DOUBLE AS weight, round(avg(abs({w}::DOUBLE * ({f} - {dict(zip(GIVEN.features, GIVEN.mean))[f]}::DOUBLE) / {dict(zip(GIVEN.features, GIVEN.scale))[f]}::DOUBLE)), 6) AS mean_effect FROM kp WHERE p IS NOT NULL"
+    for i, (f, w) in enumerate(GIVEN.coefficients(), 1))}""")
 def model_coefficients(spark, sf):
-    return spark.createDataFrame([(i, f, w) for i, (f, w) in enumerate(GIVEN.coefficients(), 1)], "rank long, feature string, weight double")
+    """Coefficients by weight, and the mean size of each input's share in the log odds of the table's bars."""
+    mean, scale = (dict(zip(GIVEN.features, x, strict=True)) for x in (GIVEN.mean, GIVEN.scale))
+    table = spark.createDataFrame([(i, f, w) for i, (f, w) in enumerate(GIVEN.coefficients(), 1)], "rank long, feature string, weight double")
+    rows = given(spark, sf).filter("probability_up IS NOT NULL")
+    shares = rows.select(F.explode(F.array(*[F.struct(F.lit(f).alias("feature"), F.abs(w * (F.col(f) - mean[f]) / scale[f]).alias("share")) for f, w in GIVEN.coefficients()])).alias("s")).select("s.*")
+    return rounded(table.join(shares.groupBy("feature").agg(F.avg("share").alias("mean_effect")), "feature").select("rank", "feature", "weight", "mean_effect"))
 
 
 AS_OF = ("2024-01-01 05:00:05", "2024-01-01 08:20:40", "2024-01-01 08:21:04", "2024-01-01 08:30:09", "2023-12-31 23:00:00")

@@ -124,22 +124,36 @@ def one_to_one_join(spark, sf):
     return rounded(joins.left_one_to_one(spark.read.parquet(f"{sf}/customer.parquet").select("c_custkey", "c_nationkey"), nation, "c_nationkey", "nation_", "known"))
 
 
-@query("new_keys_only", "SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey IS NOT NULL)")
+@query("new_keys_only", "SELECT c_custkey AS key FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_custkey % 3 > 0)")
 def new_keys_only(spark, sf):
-    known = spark.read.parquet(f"{sf}/orders.parquet").select(F.col("o_custkey").alias("key"))
+    """Customers that a registry of keys lacks; it was built from the orders of two of three."""
+    known = spark.read.parquet(f"{sf}/orders.parquet").filter("o_custkey % 3 > 0").select(F.col("o_custkey").alias("key"))
     return joins.new_only(spark.read.parquet(f"{sf}/customer.parquet").select(F.col("c_custkey").alias("key")), known, "key")
 
 
-@query("hour_spine", "SELECT unnest(generate_series(TIMESTAMP '2024-02-28 22:00:00', TIMESTAMP '2024-03-01 01:00:00', INTERVAL 1 HOUR)) AS hour")
+def _hours(spark, sf):
+    """The hours that the events span."""
+    ends = spark.read.parquet(f"{sf}/events.parquet").agg(F.min("ts").cast("string").alias("lo"), (F.max("ts") + F.expr("INTERVAL 1 MICROSECOND")).cast("string").alias("hi")).first()
+    return objects.hours(spark, ends["lo"], ends["hi"])
+
+
+SPINE_SQL = "SELECT unnest(generate_series(date_trunc('hour', min(ts)), date_trunc('hour', max(ts)), INTERVAL 1 HOUR)) AS hour FROM events"
+
+
+@query("hour_spine", f"SELECT hour, count(ts) AS ticks FROM ({SPINE_SQL}) LEFT JOIN events ON date_trunc('hour', ts) = hour GROUP BY hour")
 def hour_spine(spark, sf):
-    return objects.hours(spark, "2024-02-28 22:30:00", "2024-03-01 02:00:00").select(F.col("hour").cast("timestamp_ntz").alias("hour"))
+    """Every hour of the events' span, with the ticks it has."""
+    found = spark.read.parquet(f"{sf}/events.parquet").groupBy(F.date_trunc("hour", F.col("ts").cast("timestamp")).alias("hour")).agg(F.count(F.lit(1)).alias("ticks"))
+    return _hours(spark, sf).join(found, "hour", "left").select(F.col("hour").cast("timestamp_ntz").alias("hour"), F.coalesce("ticks", F.lit(0)).alias("ticks"))
 
 
-@query("object_urls", """SELECT strftime(h, 'http://x/EURUSD/%Y/') || lpad((month(h) - 1)::VARCHAR, 2, '0') || strftime(h, '/%d/%Hh_ticks.bi5') AS url
-FROM (SELECT unnest(generate_series(TIMESTAMP '2024-02-28 22:00:00', TIMESTAMP '2024-03-01 01:00:00', INTERVAL 1 HOUR)) AS h) UNION ALL SELECT 'http://x/m1/EURUSD/2015/' || w || '.csv.gz' FROM range(1, 54) t(w)""")
+@query("object_urls", f"""SELECT strftime(hour, 'http://x/EURUSD/%Y/') || lpad((month(hour) - 1)::VARCHAR, 2, '0') || strftime(hour, '/%d/%Hh_ticks.bi5') AS url FROM ({SPINE_SQL})
+UNION ALL SELECT 'http://x/m1/EURUSD/' || y || '/' || w || '.csv.gz' FROM (SELECT DISTINCT year(ts) AS y FROM events), range(1, 54) t(w)""")
 def object_urls(spark, sf):
-    hourly = objects.hours(spark, "2024-02-28 22:30:00", "2024-03-01 02:00:00").select(objects.hourly_url("http://x/", "eur/usd").alias("url"))
-    return hourly.unionByName(spark.createDataFrame([(objects.weekly_url("http://x", "EUR_USD", 2015, w),) for w in range(1, 54)], "url string"))
+    """The objects that the events' span asks for: by hour, and by week of each year."""
+    years = [r["y"] for r in spark.read.parquet(f"{sf}/events.parquet").select(F.year("ts").alias("y")).distinct().collect()]
+    weekly = spark.createDataFrame([(objects.weekly_url("http://x", "EUR_USD", y, w),) for y in years for w in range(1, 54)], "url string")
+    return _hours(spark, sf).select(objects.hourly_url("http://x/", "eur/usd").alias("url")).unionByName(weekly)
 
 
 def _packed(spark, sf):
@@ -227,13 +241,14 @@ def tick_source_provenance(spark, sf):
 U = lambda name, col: f"((('0x' || substr(md5('42|{name}|' || {col}::VARCHAR), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
 
 
-@query("synthetic_ohlc", f"""WITH n AS (SELECT unnest(range(2000)) AS id), s AS (SELECT id, CAST(floor({U('r', '(id // 500)')} * 3) AS INT) - 1 AS sg,
+@query("synthetic_ohlc", f"""WITH n AS (SELECT unnest(range((SELECT count(*) // 5 FROM events))) AS id), s AS (SELECT id, CAST(floor({U('r', '(id // 500)')} * 3) AS INT) - 1 AS sg,
   sqrt(-2 * ln({U('a', 'id')})) * cos(2 * pi() * {U('b', 'id')}) AS z FROM n), k AS (SELECT id, sg * 1.5e-5::DOUBLE + z * 1.8e-4::DOUBLE AS step FROM s
 ), c AS (SELECT *, 1.1::DOUBLE + sum(step) OVER (ORDER BY id) AS close FROM k), o AS (SELECT *, close - step AS open FROM c)
 SELECT TIMESTAMP '2024-01-01' + INTERVAL 1 MINUTE * id AS ts, {r('open', 'close')}, round(greatest(open, close) + {U('h', 'id')} * 1.8e-4, 6) AS high, round(least(open, close) - {U('l', 'id')} * 1.8e-4, 6) AS low,
   list_extract([0.7, 0.75, 0.8, 0.82, 0.85, 0.9, 0.92], CAST(floor({U('p', 'id')} * 7) AS INT) + 1)::DOUBLE AS payout FROM o""")
 def synthetic_ohlc(spark, sf):
-    return rounded(synthetic.synthetic_ohlc(spark, 2000).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
+    """As many candles as a fifth of the events."""
+    return rounded(synthetic.synthetic_ohlc(spark, spark.read.parquet(f"{sf}/events.parquet").count() // 5).withColumn("ts", F.col("ts").cast("timestamp_ntz")))
 
 
 # --- streams -----------------------------------------------------------------------------------------------------------------------------------------------

@@ -26,9 +26,12 @@ def synthetic_ohlc(spark: SparkSession, rows: int = 20_000, seed: int = 42, seco
     normal = F.sqrt(-2 * F.log(uniform(seed, "a", "id"))) * F.cos(2 * math.pi * uniform(seed, "b", "id"))
     sign = F.element_at(F.array(F.lit(-1.0), F.lit(0.0), F.lit(1.0)), F.floor(uniform(seed, "r", "regime") * 3).cast("int") + 1)
     steps = base.withColumn("step", sign * DRIFT + normal * SIGMA)
-    walk = F.sum("step").over(Window.orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
-    close = F.lit(1.1) + walk
-    out = steps.withColumn("close", close).withColumn("open", F.col("close") - F.col("step"))
+    # Sums within a regime, shifted by those of the regimes before, of which there is one row each.
+    within = F.sum("step").over(Window.partitionBy("regime").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    earlier = F.sum("total").over(Window.orderBy("regime").rowsBetween(Window.unboundedPreceding, -1))
+    regimes = steps.groupBy("regime").agg(F.sum("step").alias("total")).select("regime", F.coalesce(earlier, F.lit(0.0)).alias("before"))
+    steps = steps.withColumn("within", within).join(regimes, "regime")
+    out = steps.withColumn("close", F.lit(1.1) + F.col("before") + F.col("within")).withColumn("open", F.col("close") - F.col("step"))
     wick = lambda name: uniform(seed, name, "id") * SIGMA
     pick = F.element_at(F.array(*[F.lit(p) for p in PAYOUTS]), F.floor(uniform(seed, "p", "id") * len(PAYOUTS)).cast("int") + 1)
     start = F.lit("2024-01-01").cast("timestamp")
