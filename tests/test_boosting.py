@@ -129,3 +129,17 @@ def test_boosted_experiment(spark):
     assert got["status"] in ("no_development_candidate", "rejected_validation", "passed_locked", "failed_locked")
     if "best" in got:
         assert got["best"]["expiry_bars"] in (2, 3) and got["best"]["threshold"] in models.THRESHOLDS
+
+
+def test_logistic_weights_are_where_the_gradient_vanishes(spark):
+    """The loss is convex, so a vanishing gradient of the penalised loss is the optimum."""
+    rows = models.prepare(dense(spark, "/root/testdata/sf0.01"), 3)
+    model = models.fit_logistic(rows)
+    data = rows.filter("eligible AND target_up IS NOT NULL").select("target_up", *models.ML_FEATURES).toPandas().to_numpy()
+    x, y = (data[:, 1:] - np.array(model.mean)) / np.array(model.scale), data[:, 0]
+    assert np.allclose(x.mean(axis=0), 0, atol=1e-9) and np.allclose(x.std(axis=0)[x.std(axis=0) > 0], 1)
+    p = 1 / (1 + np.exp(-(x @ np.array(model.weights) + model.intercept)))
+    slope = np.append(x.T @ (p - y) + np.array(model.weights), (p - y).sum()) / len(y)
+    assert np.abs(slope).max() < 2e-3 < np.abs(x.T @ (y.mean() - y) / len(y)).max()
+    got = model.transform(rows).filter("eligible AND target_up IS NOT NULL").select("probability_up").toPandas()["probability_up"].to_numpy()
+    assert np.allclose(np.sort(got), np.sort(p))

@@ -1,10 +1,11 @@
-"""Recursions along time that no window frame expresses, over blocks of a series.
-
-A series is cut into blocks of time, which are dealt to tasks on their own. A first pass reduces a block to
-the map that takes the state before it to the state after it: for exponential means an affine map, for trades taken one after the other a
-monotone step function. One row a block is then composed in order along each series, and a second pass runs each block from the
-state that it begins with. Both passes read the same shuffled rows; a kernel sees a block as consecutive segments of Arrow batches, so
-memory is bounded by a batch (and for step functions by a block's trades).
+"""Recursions along time that no window frame expresses, along a series or over blocks of it.
+
+As a rule a series streams through one task in batches with carried state: bars are bounded by the time that they span. Where the session
+sets `tidemark.blocks.days` (of means) or `tidemark.blocks.bars` (of trades), or a call names a block, a series is cut into blocks of
+time that are dealt to tasks on their own. A first pass reduces a block to the map that takes the state before it to the state after it:
+for exponential means an affine map, for trades taken one after the other a monotone step function. One row a block is then composed
+in order along each series, and a second pass runs each block from the state that it begins with. The rows are written once for both passes.
+A kernel sees rows as consecutive segments of Arrow batches, so memory is bounded by a batch (and for step functions by a block's trades).
 """
 
 from __future__ import annotations
@@ -18,10 +19,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.schemas import KEYS
+from tidemark.session import written
+
+
+DAY_US = 86_400_000_000
 
 
-#: Length of a block of bars, and of one of trades by their entry bar.
-BLOCK_US, BLOCK_BARS = 32 * 86_400_000_000, 1 << 16
+def block_setting(df: DataFrame, name: str) -> float:
+    """0 where the session does not cut series into blocks."""
+    return float(df.sparkSession.conf.get(f"tidemark.blocks.{name}", "0"))
 
 
 def _segments(batches, keys: list[str]):
@@ -61,15 +67,17 @@ def ordered_stream(df: DataFrame, order: list[str], start: Callable[[pd.DataFram
     return df.sortWithinPartitions(*keys, *order).mapInPandas(run, f"{fields}, {added}")
 
 
-def blocked_stream(df: DataFrame, order: list[str], block: Column, begin: Callable, summarize: Callable, advance: Callable, step: Callable, added: str, keys: list[str] | None = None) -> DataFrame:
-    """ordered_stream() along each series, its blocks in parallel.
+def blocked_stream(df: DataFrame, order: list[str], block: Column | None, begin: Callable, summarize: Callable, advance: Callable, step: Callable, added: str, keys: list[str] | None = None) -> DataFrame:
+    """ordered_stream() along each series, its blocks in parallel; without a block, each series in one task.
 
     begin() is the state before a series; summarize(summary or None, segment) reduces a block; advance(state, summary) is the
     state after it; step(state, segment) -> (state, columns) yields the columns.
     """
     keys = KEYS if keys is None else keys
+    if block is None:
+        return ordered_stream(df.repartition(*keys), order, lambda _: begin(), step, added, keys)
     names = [f"_k{i}" for i in range(len(keys))]
-    rows = df.withColumn("_block", block.cast("long")).repartition(*keys, "_block")
+    rows = written(df.withColumn("_block", block.cast("long")), "blocks")
     kinds = [f"`{n}` {rows.schema[k].dataType.simpleString()}" for n, k in zip(names, keys, strict=True)]
 
     def reduce_blocks(batches):
@@ -91,17 +99,17 @@ def blocked_stream(df: DataFrame, order: list[str], block: Column, begin: Callab
             state = advance(state, pickle.loads(m))
         return state, {"_state": states}
 
-    maps = rows.sortWithinPartitions(*keys, "_block", *order).mapInPandas(reduce_blocks, ", ".join([*kinds, "_at long", "_map binary"]))
+    maps = rows.repartition(*keys, "_block").sortWithinPartitions(*keys, "_block", *order).mapInPandas(reduce_blocks, ", ".join([*kinds, "_at long", "_map binary"]))
     states = ordered_stream(maps.repartition(*names), ["_at"], lambda _: begin(), compose, "_state binary", names, ["_map"])
     same = F.col("_block").eqNullSafe(F.col("_at"))
     for k, n in zip(keys, names, strict=True):
         same = same & rows[k].eqNullSafe(F.col(n))
-    known = rows.join(states.hint("merge"), same).drop(*names, "_at")
+    known = rows.join(states.hint("merge"), same).drop(*names, "_at").repartition(*keys, "_block")
     first = lambda part: pickle.loads(part["_state"].iloc[0])
     return ordered_stream(known, order, first, step, added, [*keys, "_block"], ["_block", "_state"])
 
 
-def ewm(df: DataFrame, specs: dict[str, tuple[str, float, int]], order: str = "ts", block_us: int = BLOCK_US) -> DataFrame:
+def ewm(df: DataFrame, specs: dict[str, tuple[str, float, int]], order: str = "ts", block_us: int | None = None) -> DataFrame:
     """Exponentially weighted means: {output: (column, alpha, min_periods)}, all in one pass.
 
     y follows y + w * (x - y) from the first value on, w = alpha / (alpha + (1 - alpha) ** k) after k - 1
@@ -162,11 +170,12 @@ def ewm(df: DataFrame, specs: dict[str, tuple[str, float, int]], order: str = "t
             after[name] = (float(y[-1]), len(x) - 1 - last[-1], int(count[-1])) if len(last) else (mean, nulls + len(x), seen)
         return after, columns
 
-    block = F.floor(F.unix_micros(F.col(order).cast("timestamp")) / block_us)
+    block_us = block_us or int(DAY_US * block_setting(df, "days"))
+    block = F.floor(F.unix_micros(F.col(order).cast("timestamp")) / block_us) if block_us else None
     return blocked_stream(df, [order], block, begin, summarize, advance, step, ", ".join(f"{name} double" for name in specs))
 
 
-def first_free(df: DataFrame, start_col: str, end_col: str, cooldown_col: str, order: str, keys: list[str] | None = None, block_bars: int = BLOCK_BARS) -> DataFrame:
+def first_free(df: DataFrame, start_col: str, end_col: str, cooldown_col: str, order: str, keys: list[str] | None = None, block_bars: int | None = None) -> DataFrame:
     """Add `kept`: taken greedily, a row stays if it starts later than the last one kept ended, plus its cooldown.
 
     Before any row stayed the last end counts as -1, so a cooldown also holds back the first rows.
@@ -207,4 +216,6 @@ def first_free(df: DataFrame, start_col: str, end_col: str, cooldown_col: str, o
             last = e if kept[-1] else last
         return last, {"kept": np.array(kept, bool)}
 
-    return blocked_stream(df, [order], F.floor(F.col(start_col) / block_bars), lambda: -1, summarize, advance, step, "kept boolean", keys)
+    block_bars = block_bars or int(block_setting(df, "bars"))
+    block = F.floor(F.col(start_col) / block_bars) if block_bars else None
+    return blocked_stream(df, [order], block, lambda: -1, summarize, advance, step, "kept boolean", keys)

@@ -145,6 +145,12 @@ def best_threshold(scores: DataFrame) -> float | None:
     return top[0]["threshold"] if top else None
 
 
+def ranked_cells(scores: DataFrame) -> DataFrame:
+    """Development cells with a score, best first: by Wilson bound, then the shorter expiry, then the higher threshold. Cells are few."""
+    order = Window.orderBy(F.desc("wilson_low"), "expiry_bars", F.desc("threshold"))
+    return scores.filter("score IS NOT NULL").withColumn("rank", F.row_number().over(order))
+
+
 def evaluate(model, rows: DataFrame, threshold: float, cfg: Settlement) -> DataFrame:
     signalled = model.transform(rows).withColumn("signal", probability_signal("probability_up", threshold))
     return metrics(settle(signalled, "signal", cfg))
@@ -159,11 +165,11 @@ def run_model_experiment(bars: DataFrame, kind: str = "logistic", expiries=EXPIR
     for e in expiries:
         cfg = Settlement(e, payout=payout)
         rows = oof_probabilities(of("development", e), kind, gap=e, features=features, **options)
-        scores = threshold_scores(rows, cfg, min_trades=min_trades).collect()
-        tried += [r.asDict() | {"expiry_bars": e} for r in scores if r["score"] is not None]
-    if not tried:
+        tried.append(written(threshold_scores(rows, cfg, min_trades=min_trades).withColumn("expiry_bars", F.lit(e)), "cells"))
+    top = ranked_cells(reduce(DataFrame.unionByName, tried)).filter("rank = 1").drop("rank").collect()
+    if not top:
         return {"status": "no_development_candidate"}
-    best = sorted(tried, key=lambda r: (-r["wilson_low"], r["expiry_bars"], -r["threshold"]))[0]
+    best = top[0].asDict()
     cfg = Settlement(best["expiry_bars"], payout=payout)
     model = FITS[kind][0](of("development", cfg.expiry_bars), features, **options)
     out = {"best": best, "validation": evaluate(model, of("validation", cfg.expiry_bars), best["threshold"], cfg).first().asDict()}

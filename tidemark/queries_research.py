@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from contextlib import contextmanager
 
 from pyspark.sql import functions as F
 
@@ -11,7 +12,7 @@ from tidemark.operators import joins, resample
 from tidemark.operators.settle import Settlement
 from tidemark.plans import boosting, models, search
 from tidemark.queries import (
-    EMA_X, MOMENTUM, STEPS, bars, bars_sql, core_sql, dense, inputs_sql, lag, metrics_sql, momentum, query, r, research_sql, rounded, rule_sql, side_sql, trades_sql,
+    EMA_X, MOMENTUM, ORACLE_SQL, QUERIES, STEPS, bars, bars_sql, core_sql, dense, inputs_sql, lag, metrics_sql, momentum, query, r, research_sql, rounded, rule_sql, side_sql, trades_sql,
 )
 from tidemark.schemas import PRICES
 from tidemark.session import written
@@ -247,6 +248,41 @@ def model_thresholds(spark, sf):
     return rounded(models.threshold_scores(given(spark, sf), Settlement(3), (0.51, *models.THRESHOLDS), "wilson_low", 20, -0.5))
 
 
+CELLS = (1, 3, 5)
+
+
+def _cells_sql(expiry: int) -> str:
+    settled = settled_sql(f"w{expiry}", "kt", expiry, 1, "CASE WHEN p >= threshold THEN 1 WHEN p <= 1 - threshold THEN -1 ELSE 0 END", "threshold")
+    return f"{settled}, z{expiry} AS ({metrics_sql(f'w{expiry}', ['threshold']).replace('a AS (', 'WITH a AS (', 1)})"
+
+
+_CELLS_SQL = f"""WITH RECURSIVE {SCORED_SQL}, kt AS (SELECT kp.*, threshold FROM kp, (VALUES (0.51::DOUBLE), (0.55), (0.575), (0.6), (0.625), (0.65)) v(threshold)), {', '.join(map(_cells_sql, CELLS))},
+al AS ({' UNION ALL '.join(f'SELECT {e}::BIGINT AS expiry_bars, threshold, trades, expectancy, wilson_low FROM z{e}' for e in CELLS)}), ok AS (SELECT * FROM al WHERE trades >= 20 AND expectancy > -0.5 AND wilson_low IS NOT NULL)"""
+
+
+def cells(spark, sf):
+    out = None
+    for e in CELLS:
+        rows = GIVEN.transform(models.prepare(context.add_ml_features(dense(spark, sf)), e, 1, list(GIVEN.features)))
+        made = models.threshold_scores(rows, Settlement(e), (0.51, *models.THRESHOLDS), "wilson_low", 20, -0.5).withColumn("expiry_bars", F.lit(e))
+        out = made if out is None else out.unionByName(made)
+    return out
+
+
+@query("model_cells_ranked", f"{_CELLS_SQL} SELECT row_number() OVER (ORDER BY wilson_low DESC, expiry_bars, threshold DESC) AS rank, expiry_bars, threshold, trades, wilson_low FROM ok")
+def model_cells_ranked(spark, sf):
+    """Development cells of a given model, in the protocol's order of three keys."""
+    return rounded(models.ranked_cells(cells(spark, sf)).select("rank", "expiry_bars", "threshold", "trades", "wilson_low"))
+
+
+@query("model_threshold_choice", f"{_CELLS_SQL} SELECT expiry_bars, arg_max(threshold, (wilson_low, threshold)) AS threshold FROM ok GROUP BY expiry_bars")
+def model_threshold_choice(spark, sf):
+    """The best threshold of each expiry, the higher of equals."""
+    scores = written(cells(spark, sf), "cells")
+    found = [(e, models.best_threshold(scores.filter(F.col("expiry_bars") == e))) for e in CELLS]
+    return spark.createDataFrame([x for x in found if x[1] is not None], "expiry_bars long, threshold double")
+
+
 @query("frozen_evaluation", f"""WITH RECURSIVE {SCORED_SQL}, {settled_sql('w', 'kp', 3, 1, 'CASE WHEN p >= 0.625 THEN 1 WHEN p <= 1 - 0.625::DOUBLE THEN -1 ELSE 0 END')}, {metrics_sql('w', [])}""")
 def frozen_evaluation(spark, sf):
     """The frozen expiry and threshold over a model of given numbers."""
@@ -338,3 +374,29 @@ def boosted_first_split(spark, sf):
     (_, _, feature, threshold, *_), *leaves = boosting.fit_trees(rows, context.ML_FEATURES, boosting.Settings(rounds=1, leaves=2)).table()
     found = [(feature, round(threshold, 6), *(round(x[-1], 6) for x in leaves))] if leaves else []
     return spark.createDataFrame(found, "feature string, threshold double, left_value double, right_value double")
+
+
+@contextmanager
+def in_blocks(spark, **sizes):
+    """Recursions planned while it lasts run over blocks of their series."""
+    for name, size in sizes.items():
+        spark.conf.set(f"tidemark.blocks.{name}", str(size))
+    try:
+        yield
+    finally:
+        for name in sizes:
+            spark.conf.unset(f"tidemark.blocks.{name}")
+
+
+@query("core_features_in_blocks", ORACLE_SQL["core_features"])
+def core_features_in_blocks(spark, sf):
+    """The core features with the one series in blocks of three days, each a task's own."""
+    with in_blocks(spark, days=3):
+        return QUERIES["core_features"](spark, sf)
+
+
+@query("settlement_no_overlap_in_blocks", ORACLE_SQL["settlement_no_overlap_cooldown_2"])
+def settlement_no_overlap_in_blocks(spark, sf):
+    """Trades one after the other, by blocks of 50 bars."""
+    with in_blocks(spark, bars=50):
+        return QUERIES["settlement_no_overlap_cooldown_2"](spark, sf)
