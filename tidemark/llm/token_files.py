@@ -65,10 +65,10 @@ def decode_ranks(control: bytes, data: bytes, n: int) -> np.ndarray:
 def _tokenize(docs: DataFrame, path: str, end_id: int, ranges: int) -> DataFrame:
     """Per range of doc_id and in ascending order: rows of documents' ids; and rows of counts (doc_id null, n null).
 
-    Rows of one id, or without any, are dealt by a hash of their text and their place in the input, so they spread over ranges too.
+    Rows of one id, or without any, are dealt by their place in the input, so they spread over ranges too.
     """
-    order = [F.col("doc_id").asc_nulls_first(), "text_hash", "row"]
-    ordered = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("text_hash"), F.monotonically_increasing_id().alias("row"))
+    order = [F.col("doc_id").asc_nulls_first(), "row"]
+    ordered = docs.select(F.col("doc_id").cast("long"), "text", F.monotonically_increasing_id().alias("row"))
     ordered = ordered.repartitionByRange(ranges, *order).sortWithinPartitions(*order).select("doc_id", "text")
     names = ["part", "seq", "doc_id", "n", "ids"]
     types = [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
