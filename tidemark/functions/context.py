@@ -115,6 +115,7 @@ def add_regime(features: DataFrame, t: RegimeThresholds = RegimeThresholds(), co
     return rows.withColumn(column, label).drop("_hi", "_lo")
 
 
+#: The model inputs of the published protocol, in its order.
 ML_FEATURES = [
     "return_1", "return_3", "return_5", "body_atr", "range_atr", "upper_wick_ratio", "lower_wick_ratio", "ema_spread_atr", "ema20_slope_atr",
     "ema50_slope_atr", "distance_ema20_atr", "rsi_14", "macd_hist_atr", "adx_14", "atr_percentile_100", "bb_position", "atr_ratio_5_50",

@@ -177,7 +177,6 @@ class Family:
     rule: Callable[[Mapping], Column]
     features: Callable[[DataFrame], DataFrame]
     grid: Mapping[str, tuple] = field(hash=False)
-    regimes: tuple[str, ...] = ()
 
     @property
     def size(self) -> int:
@@ -187,27 +186,26 @@ class Family:
         return with_lags(self.features(bars))
 
 
-TRENDS = ("strong_uptrend", "weak_uptrend", "strong_downtrend", "weak_downtrend")
 #: The parameter grids of the six families.
 FAMILIES = {f.name: f for f in (
     Family("trend_pullback", trend_pullback, add_core_features, {
         "adx_min": (15.0, 20.0, 25.0, 30.0), "atr_pct_min": (0.05, 0.15, 0.25), "atr_pct_max": (0.75, 0.90),
-        "ema_distance_atr": (0.20, 0.35, 0.50, 0.75), "rsi_trigger": (50.0, 52.5, 55.0)}, TRENDS),
+        "ema_distance_atr": (0.20, 0.35, 0.50, 0.75), "rsi_trigger": (50.0, 52.5, 55.0)}),
     Family("range_reversion", range_reversion, add_core_features, {
         "adx_max": (15.0, 20.0, 25.0, 30.0), "rsi_lower": (25.0, 30.0, 35.0), "rsi_upper": (65.0, 70.0, 75.0),
-        "band_buffer_atr": (0.0, 0.10, 0.20, 0.35), "atr_pct_max": (0.50, 0.70)}, ("quiet_range",)),
+        "band_buffer_atr": (0.0, 0.10, 0.20, 0.35), "atr_pct_max": (0.50, 0.70)}),
     Family("breakout", breakout, add_core_features, {
         "lookback": (10, 20, 30, 50), "adx_min": (15.0, 20.0, 25.0, 30.0), "body_min": (0.40, 0.55, 0.70),
-        "atr_pct_min": (0.30, 0.50), "trend_filter": (False, True)}, ("breakout_candidate", "strong_uptrend", "strong_downtrend", "high_volatility")),
+        "atr_pct_min": (0.30, 0.50), "trend_filter": (False, True)}),
     Family("htf_aligned_pullback", htf_aligned_pullback, add_research_context, {
         "htf_minutes": (5, 15), "adx_min": (15.0, 20.0, 25.0), "ema_distance_atr": (0.25, 0.50, 0.75),
-        "rsi_trigger": (50.0, 55.0), "atr_pct_max": (0.75, 0.90)}, TRENDS),
+        "rsi_trigger": (50.0, 55.0), "atr_pct_max": (0.75, 0.90)}),
     Family("compression_breakout", compression_breakout, add_research_context, {
         "htf_minutes": (5, 15), "lookback": (20, 30), "compression_max": (0.20, 0.35), "body_min": (0.50, 0.65),
-        "atr_expansion_min": (1.0, 1.2)}, ("breakout_candidate", "high_volatility")),
+        "atr_expansion_min": (1.0, 1.2)}),
     Family("sweep_reversal", sweep_reversal, add_research_context, {
         "lookback": (20, 30, 50), "wick_min": (0.50, 0.65), "rsi_edge": (60.0, 65.0), "overshoot_atr": (0.0, 0.10),
-        "liquid_core_only": (False, True)}, ("quiet_range", "high_volatility", "uncertain")),
+        "liquid_core_only": (False, True)}),
 )}
 
 
