@@ -3,7 +3,8 @@
 Level-wise doubling. The first level is grams of GRAM words, thinned to the anchors that windows
 of WORDS words choose by content (see anchors): an anchor that occurs once stops here. Runs of
 windows that are equal as a whole are settled by one aggregate with partial counts, so copies go
-on as one run; of these, only runs whose anchor other runs share go on. Each further level
+on as one run; of these, only runs whose anchor other runs share go on. The level of twice the anchors' length takes
+all windows of these runs, since the grams between anchors were thinned out and are not known to repeat or not. Each further level
 doubles the length: its candidates are the windows of twice the length both of whose halves
 survived, and those whose words occur again survive. The last level joins two overlapping halves
 into WORDS words and is keyed by the pair of their hashes; what repeats there is removed. Levels
