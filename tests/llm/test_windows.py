@@ -143,3 +143,31 @@ def test_a_large_anchor_is_sorted_by_digit_passes(spark):
         every[key] = bytes(r["bytes"])
     assert got == {key[1:] for key, x in every.items() if first[x] != key}
     assert len(got) == 99_999 + 1_000 and len(spans) < 2_000
+
+
+@pytest.mark.parametrize("line", [90, 180])
+def test_a_line_among_many_texts_is_no_row_per_suffix(docs, monkeypatch, line):
+    """A large anchor's runs become a few blocks each: no table of op4 has many more rows than the texts have anchors."""
+    r = random.Random(line)
+    letters = lambda n: "".join(r.choices("abcdefghij ", k=n))
+    common, near = letters(line), letters(150)
+    rows = [(i, letters(100) + common + letters(r.randint(60, 100))) for i in range(300)]
+    rows += [(1000 + i, near[:140] + letters(10) + common) for i in range(100)]
+    made, write = {}, Workspace.write
+    monkeypatch.setattr(Workspace, "write", lambda self, df, name, *codec: made.setdefault(name, [out := write(self, df, name, *codec), out.count()])[0])
+    got = suffix_dedup.remove_earlier(docs(rows), gathered=40)
+    assert sorted((tuple(x) for x in got.collect()), key=str) == bytes_by_brute_force(rows, 100)
+    counts = {name: n for name, (_, n) in made.items()}
+    assert "large" in counts or "suffixes" in counts, counts
+    assert max(counts.values()) <= 2 * counts["anchors"], counts
+
+
+@pytest.mark.parametrize("gathered", [0, 3, 20])
+def test_blocks_lose_no_suffix(docs, gathered):
+    """Texts that share all but one byte, at any place, through all levels of blocks and to single suffixes."""
+    r = random.Random(9)
+    base = "".join(r.choices("abcdefghij ", k=400))
+    rows = [(i, base[: (p := r.randrange(400))] + r.choice("xyz") + base[p + 1 :]) for i in range(60)] + [(None, base), (7, base[100:300] * 2)]
+    got = suffix_dedup.remove_earlier(docs(rows), gathered=gathered)
+    assert sorted((tuple(x) for x in got.collect()), key=str) == bytes_by_brute_force(rows, 100)
+    assert suffix_dedup.block_sizes(73) == [16, 4] and suffix_dedup.block_sizes(15) == [4] and suffix_dedup.block_sizes(1) == []

@@ -159,15 +159,15 @@ def repeated_anchors(texts: DataFrame, scheme: Scheme, work: Workspace) -> DataF
     return out
 
 
-def context_groups(rows: DataFrame) -> DataFrame:
-    """Per equal run of windows (a, c, no): its number of occurrences n and the first (d, k, at)."""
+def context_groups(rows: DataFrame, content: str = "c") -> DataFrame:
+    """Per equal run of windows (a, content, no): its number of occurrences n and the first (d, k, at)."""
     first = F.min(F.struct("d", "k", "at")).alias("first")
-    return rows.groupBy("a", "c", "no").agg(F.count(F.lit(1)).alias("n"), first).select("a", "c", "no", "n", "first.*")
+    return rows.groupBy("a", content, "no").agg(F.count(F.lit(1)).alias("n"), first).select("a", content, "no", "n", "first.*")
 
 
-def shared_anchors(groups: DataFrame, work: Workspace) -> DataFrame:
+def shared_anchors(groups: DataFrame, work: Workspace, name: str = "shared") -> DataFrame:
     """Groups whose anchor has other groups too, with their number `others`: their windows may be partly equal."""
-    many = work.write(groups.groupBy("a").agg(F.count(F.lit(1)).alias("others")).filter("others > 1"), "shared")
+    many = work.write(groups.groupBy("a").agg(F.count(F.lit(1)).alias("others")).filter("others > 1"), name)
     return groups.join(many.hint("merge"), "a")
 
 

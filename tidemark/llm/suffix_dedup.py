@@ -8,10 +8,13 @@ once, and runs that are equal as a whole go on as one, their later copies settle
 with partial minima. Within an anchor and place suffixes are sorted by digits of DIGIT bytes, as
 big-endian numbers, from the first byte on; groups of one are dropped after each pass.
 
-The passes over an anchor with up to GATHERED runs take place in one task's arrays. Those over a larger one are Spark's:
-each pass groups its suffixes by their next WIDE bytes, counts with partial aggregates, and drops groups of one, so an anchor spreads over as
-many tasks as it needs and a string of any number of copies is a count and a join that adaptive execution splits. All bytes of
-single suffixes are compared; runs that are equal as a whole are found by a 64-bit hash of their bytes, anchor and place.
+The passes over an anchor with up to GATHERED different runs take place in one task's arrays. A larger one is dealt out by more
+of its text first: a run is cut into blocks of neighbouring places, and a block is dealt by the bytes that all windows of those places
+share. Blocks equal as a whole go on as one, blocks that share those bytes with none are dropped, and blocks get shorter until at most GATHERED share them. What is
+larger after the shortest blocks is taken as single suffixes by Spark's passes: each groups by the next WIDE bytes, counts with
+partial aggregates, and drops groups of one, so a string of any number of copies is a count and a join that adaptive execution splits.
+A run becomes a few blocks where it used to become a row for each of its suffixes. All bytes of suffixes and blocks are compared;
+runs that are equal as a whole are found by a 64-bit hash of their bytes, anchor and place.
 
 Defined cases: null text is empty; a text shorter than LENGTH loses nothing; rows that repeat
 a doc_id are documents of their own, ordered as the table's splits and rows are; a null doc_id comes
@@ -135,10 +138,9 @@ def later_suffixes(suffixes: DataFrame, length: int, work: Workspace, wide: int
     return late.repartition("k").sortWithinPartitions("k", "at").mapInArrow(lean(_neighbours), "k long, at long, n long")
 
 
-def _cut_runs(length: int, single: bool):
-    """The bytes of the runs in items (a, at, no): one row a run, or, single, one a suffix with its place."""
-    names = ["a", "place" if single else "no", "bytes", "d", "k", "at"]
-    place_of = (1 << A.PLACE_BITS) - 1
+def _cut_runs(length: int):
+    """The bytes of the runs in items (a, at, no), one row a run."""
+    names = ["a", "no", "bytes", "d", "k", "at"]
 
     def run(batches):
         for b in batches:
@@ -146,14 +148,8 @@ def _cut_runs(length: int, single: bool):
             for k, d, z, items in zip(*(b.column(c).to_pylist() for c in A.ROW), A.item_arrays(b.column("items")), strict=True):
                 text = decompress(z)
                 for a, at, no in items.tolist():
-                    n = no >> A.PLACE_BITS
-                    if single:
-                        rows = [(a, (no & place_of) - i, text[at + i : at + i + length], d, k, at + i) for i in range(n)]
-                    else:
-                        rows = [(a, no, text[at : at + n - 1 + length], d, k, at)]
-                    for row in rows:
-                        for column, value in zip(out, row, strict=True):
-                            column.append(value)
+                    for column, value in zip(out, (a, no, text[at : at + (no >> A.PLACE_BITS) - 1 + length], d, k, at), strict=True):
+                        column.append(value)
                     if len(out[0]) > RUNS_AT_ONCE:
                         yield batch(out)
                         out = [[] for _ in names]
@@ -165,31 +161,78 @@ def _cut_runs(length: int, single: bool):
     return run
 
 
-def cut_runs(texts: DataFrame, runs: DataFrame, length: int, single: bool) -> DataFrame:
+def cut_runs(texts: DataFrame, runs: DataFrame, length: int) -> DataFrame:
     lists = A.by_text(runs, "a", "at", "no")
-    schema = f"a long, {'place' if single else 'no'} long, bytes binary, d long, k long, at long"
-    return texts.join(lists.hint("merge"), "k").select(*A.ROW, "items").mapInArrow(lean(_cut_runs(length, single)), schema)
+    return texts.join(lists.hint("merge"), "k").select(*A.ROW, "items").mapInArrow(lean(_cut_runs(length)), "a long, no long, bytes binary, d long, k long, at long")
+
+
+def block_sizes(span: int) -> list[int]:
+    """Places of a block, level by level, for windows that have their anchor at one of `span` places."""
+    out = [4]
+    while out[0] * 8 <= span:
+        out.insert(0, out[0] * 4)
+    return out if span >= 8 else []
+
+
+def blocks(runs: DataFrame, size: int, length: int) -> DataFrame:
+    """Runs (a, no, bytes, d, k, at) cut where the place of the anchor passes a multiple of `size`; a: hash of the old one, the block's number, and what all windows of its places share."""
+    place, n = F.col("no").bitwiseAND((1 << A.PLACE_BITS) - 1), F.shiftright("no", A.PLACE_BITS)
+    rows = runs.withColumn("top", place).withColumn("low", place - n + 1)
+    rows = rows.withColumn("block", F.explode(F.sequence(F.expr(f"low DIV {size}"), F.expr(f"top DIV {size}"))))
+    rows = rows.withColumn("skip", F.expr(f"top - least(top, block * {size} + {size - 1})"))
+    rows = rows.withColumn("top", F.expr("top - skip")).withColumn("low", F.expr(f"greatest(low, block * {size})"))
+    shared = f"substring(bytes, cast(skip + top - block * {size} + 1 AS int), {length - size + 1})"
+    return rows.selectExpr(
+        f"xxhash64(a, block, {shared}) AS a", f"shiftleft(top - low + 1, {A.PLACE_BITS}) | top AS no",
+        f"substring(bytes, cast(skip + 1 AS int), cast(top - low + {length} AS int)) AS bytes", "d", "k", "at + skip AS at")
+
+
+def single_suffixes(runs: DataFrame, length: int) -> DataFrame:
+    """The suffixes (a, place, bytes, d, k, at) of runs."""
+    rows = runs.withColumn("i", F.explode(F.sequence(F.lit(0).cast("long"), F.shiftright("no", A.PLACE_BITS) - 1)))
+    return rows.selectExpr("a", f"(no & {(1 << A.PLACE_BITS) - 1}) - i AS place", f"substring(bytes, cast(i + 1 AS int), {length}) AS bytes", "d", "k", "at + i AS at")
+
+
+def later_copies(rows: DataFrame, groups: DataFrame, content: str) -> DataFrame:
+    """Spans (k, at, n) of the runs that are equal, as a whole, to an earlier one; groups: context_groups of rows."""
+    copies = groups.filter("n > 1").select("a", content, "no", F.col("k").alias("k0"), F.col("at").alias("at0"))
+    whole = rows.join(copies.hint("merge"), ["a", content, "no"]).filter("k <> k0 OR at <> at0")
+    return whole.select("k", "at", F.shiftright("no", A.PLACE_BITS).alias("n"))
 
 
 def earlier_spans(texts: DataFrame, scheme: A.Scheme, work: Workspace, gathered: int = GATHERED) -> DataFrame:
     """(k, items of (at, n)): runs of suffixes that start earlier too."""
+    length = scheme.length
     rows = A.repeated_anchors(texts, scheme, work)
     groups = work.write(A.context_groups(rows), "groups")
-    copies = groups.filter("n > 1").select("a", "c", "no", F.col("k").alias("k0"), F.col("at").alias("at0"))
-    whole = rows.join(copies.hint("merge"), ["a", "c", "no"]).filter("k <> k0 OR at <> at0")
-    whole = work.write(whole.select("k", "at", F.shiftright("no", A.PLACE_BITS).alias("n")), "whole")
+    spans = work.write(later_copies(rows, groups, "c"), "whole")
     work.drop("repeated")
     part = work.write(A.shared_anchors(groups, work).select("a", "k", "at", "no", "others"), "part")
     work.drop("groups", "shared")
 
-    few = cut_runs(texts, part.filter(F.col("others") <= gathered), scheme.length, False)
-    settled = few.repartition("a").sortWithinPartitions("a").mapInArrow(lean(_sort_runs(scheme.length)), "k long, at long, n long")
-    spans = whole.unionByName(work.write(settled, "settled"))
-    many = part.filter(F.col("others") > gathered)
-    if not many.isEmpty():
-        suffixes = work.write(cut_runs(texts, many, scheme.length, True), "suffixes")
-        spans = spans.unionByName(work.write(later_suffixes(suffixes, scheme.length, work), "later"))
+    def settled(few: DataFrame, name: str) -> DataFrame:
+        return work.write(few.repartition("a").sortWithinPartitions("a").mapInArrow(lean(_sort_runs(length)), "k long, at long, n long"), name)
+
+    spans = spans.unionByName(settled(cut_runs(texts, part.filter(F.col("others") <= gathered), length), "settled"))
+    large = part.filter(F.col("others") > gathered)
+    if large.isEmpty():
+        return work.write(A.by_text(spans, "at", "n"), "spans")
+    large, before = work.write(cut_runs(texts, large, length), "large"), ["large"]
+    for size in block_sizes(length - scheme.gram + 1):
+        rows = work.write(blocks(large, size, length), f"blocks{size}")
+        groups = work.write(A.context_groups(rows, "bytes"), f"groups{size}")
+        spans = spans.unionByName(work.write(later_copies(rows, groups, "bytes"), f"whole{size}"))
+        part = work.write(A.shared_anchors(groups, work, f"shared{size}"), f"part{size}")
+        work.drop(*before, f"blocks{size}", f"groups{size}", f"shared{size}")
+        spans = spans.unionByName(settled(part.filter(F.col("others") <= gathered), f"settled{size}"))
+        large, before = part.filter(F.col("others") > gathered), [f"part{size}"]
+        if large.isEmpty():
+            break
+    else:
+        suffixes = work.write(single_suffixes(large, length), "suffixes")
+        spans = spans.unionByName(work.write(later_suffixes(suffixes, length, work), "later"))
         work.drop("suffixes")
+    work.drop(*before)
     return work.write(A.by_text(spans, "at", "n"), "spans")
 
 
