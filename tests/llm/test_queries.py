@@ -68,6 +68,17 @@ def test_long_runs_take_linear_time(unit):
         assert [x[:3] for x in pii.find_spans(t) if x[0] in pii.BASE] == base_by_definition(t)
 
 
+@pytest.mark.parametrize("rest", ["", " İp", " tip: version", "visaccount"])
+def test_contexts_that_overlap_are_not_read_once_a_span(monkeypatch, rest):
+    """Spans that no context word is near get the score that reading their contexts gives, without reading them."""
+    text = rest + "1.2.3.4 a@b.c " * 500 + "xip" + "1.2.3.4 078-05-1120 " * 20 + rest
+    read, score = [], pii.score
+    monkeypatch.setattr(pii, "score", lambda *args: read.append(args) or score(*args))
+    found = pii.find_spans(text)
+    assert len(found) >= 1000 and all(v == score(text, k, s, e) for k, s, e, v in found)
+    assert len(read) < 100 or "İ" in rest
+
+
 def test_languages_by_plain_loops(spark):
     """The query's predictions are what the fitted machines give, text by text."""
     docs = spark.read.parquet(f"{SF}/documents.parquet")

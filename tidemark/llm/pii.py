@@ -42,6 +42,7 @@ FOR = {
     "local_phone": ("phone", "tel", "call", "mobile", "fax", "telefon", "téléphone", "teléfono"),
 }
 AGAINST = ("version", "isbn", "order", "invoice", "serial", "sample")
+_CONTEXT_WORDS = sorted({*AGAINST, *(w for words in FOR.values() for w in words)})
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _ADDRESS = "".join(map(chr, [*range(48, 58), *range(65, 91), *range(97, 123)])) + "._%+-"
@@ -137,20 +138,41 @@ def proposals(text: str):
 
 
 def score(text: str, kind: str, start: int, end: int) -> float:
-    near = re.findall(r"\w+", (text[max(0, start - CONTEXT_CHARS) : start] + " " + text[end : end + CONTEXT_CHARS]).lower())
-    value = START_SCORE[kind] + 0.3 * any(w in FOR[kind] for w in near) - 0.3 * any(w in AGAINST for w in near)
+    near = {*re.findall(r"\w+", (text[max(0, start - CONTEXT_CHARS) : start] + " " + text[end : end + CONTEXT_CHARS]).lower())}
+    value = START_SCORE[kind] + 0.3 * (not near.isdisjoint(FOR[kind])) - 0.3 * (not near.isdisjoint(AGAINST))
     return round(min(1.0, max(0.0, value)), 2)
 
 
+def _word_starts(text: str) -> list[int] | None:
+    """Where context words begin in a text, inside other words too; None if lower case moves its characters."""
+    low = text.lower()
+    if len(low) != len(text):
+        return None
+    out = []
+    for word in _CONTEXT_WORDS:
+        at = low.find(word)
+        while at >= 0:
+            out.append(at)
+            at = low.find(word, at + 1)
+    return sorted(out)
+
+
+def _any_from(starts: list[int], begin: int, end: int) -> bool:
+    i = bisect_left(starts, begin)
+    return i < len(starts) and starts[i] < end
+
+
 def find_spans(text: str | None) -> list[tuple[str, int, int, float]]:
     """Spans of one text by start, then kind: (kind, start, end, score)."""
     text = text or ""
     found = list(proposals(text))
     taken = sorted((s, e) for k, s, e in found if k in BASE)
     starts, reach = [s for s, _ in taken], list(accumulate((e for _, e in taken), max))
+    named = _word_starts(text) if len(found) * 2 * CONTEXT_CHARS > len(text) else None  # spans so dense that their contexts overlap
     out = []
     for kind, s, e in found:
-        value = score(text, kind, s, e)
+        plain = named is not None and not _any_from(named, s - CONTEXT_CHARS, s) and not _any_from(named, e, e + CONTEXT_CHARS)
+        value = START_SCORE[kind] if plain else score(text, kind, s, e)
         if kind not in BASE:
             if value < MIN_SCORE:
                 continue
